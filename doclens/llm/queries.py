@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, mixing, packing, pii, suffix_dedup, tiff, token_counts, topk
+from . import html_extract, langid, mixing, ngram_join, packing, pii, suffix_dedup, tiff, token_counts, topk
 from .common import table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,10 +59,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing)}
 
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+        ), e AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+        ), k AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ), r(a, b) AS (
+            SELECT doc_id, doc_id FROM s UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a
+        ), c AS (
+            SELECT a, min(b) AS component_id FROM r GROUP BY a
+        ) SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON s.doc_id = c.a
+    """,
     "op4_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
