@@ -168,17 +168,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(langs, idf, weights, calibrated(np.array(rest), y[~kept]) if rest else 1.0)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, all rows kept; columns of these names are replaced.
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with a language and a score, all rows kept; columns of the names given for them are replaced.
 
     The language is `und` with score 0 where the text is null, empty or without a
     letter, and everywhere if no language was learned.  Equal texts get equal
     results; equal scores go to the first language in order.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    docs = docs.drop(lang_out, score_out)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_out}` string, `{score_out}` double"
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({lang_out: F.lit(UNKNOWN), score_out: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.temperature))
 
     def run(batches):
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 else:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
-            yield pdf.assign(lang_pred=langs, score=scores)
+            yield pdf.assign(**{lang_out: langs, score_out: scores})
 
     return docs.mapInPandas(run, schema)
 

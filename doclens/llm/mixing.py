@@ -60,25 +60,26 @@ def draw(*columns: str, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(_DRAWS)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The documents with mix_size, mix_source_size, mix_target and mix_copies, all rows of docs kept.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, prefix: str = "mix_") -> DataFrame:
+    """The documents with size, source_size, target and copies, under names that start with prefix; all rows of docs kept.
 
     Null or empty text has size 0; a null source is a source of its own, last in
     order.  Rows that repeat an id draw alike.  An empty table gives an empty
     table.  Columns of docs that carry the names of the added ones are replaced.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_source_key", "mix_has_source")
-    keyed = docs.withColumns({"mix_size": n_words(F.col(text_col)), "mix_source_key": F.coalesce(F.col(source_col), F.lit("")), "mix_has_source": F.col(source_col).isNotNull()})
+    size, source_size, target, copies, key, has = (prefix + n for n in ("size", "source_size", "target", "copies", "source_key", "has_source"))
+    docs = docs.drop(size, source_size, target, copies, key, has)
+    keyed = docs.withColumns({size: n_words(F.col(text_col)), key: F.coalesce(F.col(source_col), F.lit("")), has: F.col(source_col).isNotNull()})
     sums = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sums, weights, share, most).select(F.coalesce("source", F.lit("")).alias("mix_source_key"), F.col("source").isNotNull().alias("mix_has_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    out = keyed.join(targets, ["mix_source_key", "mix_has_source"]).drop("mix_source_key", "mix_has_source")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(sums, weights, share, most).select(F.coalesce("source", F.lit("")).alias(key), F.col("source").isNotNull().alias(has), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    out = keyed.join(targets, [key, has]).drop(key, has)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return out.withColumn("mix_copies", (whole + (draw(id_col) < rate - whole).cast("long")).cast("long"))
+    return out.withColumn(copies, (whole + (draw(id_col) < rate - whole).cast("long")).cast("long"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document as many times as it is taken, in the columns of docs."""
-    taken = mix(docs, **options)
-    copies = F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies"))).otherwise(F.array().cast("array<bigint>")))
+    taken = mix(docs, prefix="__mix_", **options)
+    copies = F.explode(F.when(F.col("__mix_copies") > 0, F.sequence(F.lit(1), F.col("__mix_copies"))).otherwise(F.array().cast("array<bigint>")))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("__copy")).drop("__copy")

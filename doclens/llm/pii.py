@@ -118,16 +118,16 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0
 _PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "national_id": NATIONAL}
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds pii_spans: all spans of a text as (start, end, kind, score), by start, then kind as in KINDS.
+def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
+    """Adds the column out: all spans of a text as (start, end, kind, score), by start, then kind as in KINDS.
 
     Offsets count code points, the end is exclusive.  Spans of one kind don't
     overlap, spans of several kinds may.  Null text counts as empty and has no
-    span; every row is kept; a column named pii_spans is replaced.
+    span; every row is kept; a column of the name given is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [_matches(text, k, _PATTERNS[k], _HINTS[k]) for k in KINDS]
-    return docs.withColumn("pii_spans", _ordered(F.concat(*kinds)))
+    return docs.withColumn(out, _ordered(F.concat(*kinds)))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -136,7 +136,7 @@ def joined_spans(spans: Column) -> Column:
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; overlapping spans become one, named by the first. Null text stays null."""
-    found = find_pii(docs, text_col)
+    found = find_pii(docs, text_col, "__pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -145,5 +145,5 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         kept = F.when(fresh, F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("out"))
 
-    done = F.aggregate(F.col("pii_spans"), zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("pii_spans") > 0, done).otherwise(F.col(text_col))).drop("pii_spans")
+    done = F.aggregate(F.col("__pii"), zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    return found.withColumn(text_col, F.when(F.size("__pii") > 0, done).otherwise(F.col(text_col))).drop("__pii")
