@@ -147,6 +147,7 @@ def bullets(answers: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def claims(answers: DataFrame, id_col: str = "id", shortest: int = 20) -> DataFrame:
-    """Sentences of an answer that state a number, a unit or a requirement."""
+    """Sentences of an answer, bullets aside, that state a number, a unit or a requirement."""
     rows = answers.select(F.col(id_col).alias("id"), F.posexplode(patterns.sentences(F.col("text"))).alias("pos", "claim"))
+    rows = rows.filter(~F.col("claim").rlike(r"^[-*•] "))
     return rows.filter((F.length("claim") >= shortest) & (F.col("claim").rlike("[0-9]") | patterns.strength(F.col("claim")).isNotNull()))

@@ -120,7 +120,7 @@ def analyse(questions: DataFrame, text_col: str = "text") -> DataFrame:
     q = F.coalesce(F.col(text_col), F.lit(""))
     low, words = T.folded(q), T.tokens(q)
     found = patterns.quantities(q)
-    numbers = F.transform(F.regexp_extract_all(q, F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)), T.number)
+    numbers = F.transform(F.regexp_extract_all(q, F.lit(r"(?:^|[^A-Za-z0-9.,])([0-9]+(?:[.,][0-9]+)?)"), F.lit(1)), T.number)
     out = questions.withColumns(
         {
             "language": F.when(low.rlike("[ğışİ]") | (F.size(F.filter(words, lambda w: w.isin(*TURKISH))) >= 2), "tr").otherwise("en"),

@@ -122,7 +122,7 @@ def entity_search(spark, sf_dir):
     return R.key_search(keyed(chunks, "chunk_id", "id"), keyed(_questions(spark, sf_dir), "query_id", "query_id"))
 
 
-@query(f"WITH {QUESTIONS_SQL} SELECT query_id, 'en' AS language, len(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)?')) AS n_numbers, 'A' AS units, 'EN' || (50000 + query_id * 3) || ',IS' || (3000 + query_id) AS refs, 'reference' AS intent, 'rating,does,give,cable,table,value,is' || (3000 + query_id) AS keywords, 0.4::DOUBLE AS metadata_weight FROM qs")
+@query(f"WITH {QUESTIONS_SQL} SELECT query_id, 'en' AS language, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9.,])([0-9]+(?:[.,][0-9]+)?)', 1)) AS n_numbers, 'A' AS units, 'EN' || (50000 + query_id * 3) || ',IS' || (3000 + query_id) AS refs, 'reference' AS intent, 'rating,does,give,cable,table,value,is' || (3000 + query_id) AS keywords, 0.4::DOUBLE AS metadata_weight FROM qs")
 def query_analysis(spark, sf_dir):
     a = R.analyse(_questions(spark, sf_dir))
     kept = F.filter("keywords", lambda w: ~w.rlike("^[0-9]+$"))

@@ -16,7 +16,7 @@ def list_files(spark: SparkSession, folder: str, kinds: str = KINDS) -> DataFram
 
 def read_texts(spark: SparkSession, folder: str, kinds: str = "*.{txt,md}") -> DataFrame:
     """One row per file: file_name, document_name, file_path, text."""
-    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", kinds).option("recursiveFileLookup", "true").text(folder)
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter=kinds, recursiveFileLookup=True)
     path = F.input_file_name()
     name = F.regexp_extract(path, "([^/]+)$", 1)
     return rows.select(name.alias("file_name"), F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "").alias("document_name"), path.alias("file_path"), F.col("value").alias("text"))
