@@ -215,9 +215,10 @@ class Model:
         return belief[:, 1] > 0.5
 
 
-def fit(pages: list[tuple[Page, np.ndarray]], steps: int = 300, rate: float = 0.3, penalty: float = 1e-3) -> Model:
-    """Weights and pair potentials of greatest likelihood on pages with a 0/1 label for each node."""
+def fit(pages: list[tuple[Page, np.ndarray]], steps: int = 300, rate: float = 0.4, penalty: float = 1e-4) -> Model:
+    """Weights and pair potentials of greatest penalised likelihood on pages with a 0/1 label for each node, by gradients scaled by their past size."""
     weights, pair = np.zeros(N_FEATURES), np.zeros((2, 2))
+    past, past_pair = np.full(N_FEATURES, 1e-8), np.full((2, 2), 1e-8)
     prepared = [(p.parent, p.features(), np.asarray(y, int)) for p, y in pages]
     nodes = sum(len(y) for _, _, y in prepared)
     for _ in range(steps):
@@ -228,8 +229,10 @@ def fit(pages: list[tuple[Page, np.ndarray]], steps: int = 300, rate: float = 0.
             g += x.T @ (y - belief[:, 1])
             gp -= joint.sum(axis=0)
             np.add.at(gp, (y[parent[1:]], y[1:]), 1)
-        weights += rate * g / nodes * 10
-        pair += rate * gp / nodes * 10
+        past += g * g
+        past_pair += gp * gp
+        weights += rate * g / np.sqrt(past)
+        pair += rate * gp / np.sqrt(past_pair)
     return Model(weights, pair)
 
 
@@ -252,9 +255,17 @@ LABELLED = [
     "<body><div class='cookie-notice'><p>{p}</p><button>{s}</button></div><article data-main><h1>{h}</h1><div><p>{p}</p><p>{p}</p></div><div class='share' data-off><ul>{l}</ul></div><table><tr><td>{s}</td><td>{s}</td></tr></table></article><section class=comments><h3>{h}</h3><div class=comment><p>{p}</p></div><div class=comment><p>{p}</p></div><form><p>{s}</p></form></section><footer>{s}</footer></body>",
     "<body><div class=wrapper><ul class=menu>{l}</ul><div class=post data-main><h1>{h}</h1><p>{p}</p><p>{p}</p><aside data-off><p>{p}</p></aside><p>{s}</p></div><div id=comments><ol><li>{p}</li><li>{p}</li></ol></div><div class=banner><p>{s}</p></div></div></body>",
     "<body><div><div><ul>{l}</ul></div><div data-main><h1>{h}</h1><p>{p}</p><p>{p}</p><h2>{h}</h2><p>{p}</p></div><div><ul>{l}</ul></div></div></body>",
-    "<body><nav>{l}</nav><main><article data-main><header data-off><p>{s}</p></header><h1>{h}</h1><p>{p}</p><pre>{p}</pre><figure><figcaption>{s}</figcaption></figure><nav data-off><ul>{l}</ul></nav><footer data-off><p>{s}</p></footer></article><section class=related><h2>{h}</h2><ul>{l}</ul></section></main><form><p>{s}</p><input></form></body>",
+    "<body><nav>{l}</nav><main data-main><article><header data-off><p>{s}</p></header><h1>{h}</h1><p>{p}</p><pre>{p}</pre><figure><figcaption>{s}</figcaption></figure><nav data-off><ul>{l}</ul></nav><footer data-off><p>{s}</p></footer></article><section class=related data-off><h2>{h}</h2><ul>{l}</ul></section></main><form><p>{s}</p><input></form></body>",
     "<body><div class=advert><p>{p}</p></div><div class=entry data-main><p>{s}</p><p>{p}</p><dl><dt>{s}</dt><dd>{p}</dd></dl></div><div class=newsletter><h3>{h}</h3><p>{s}</p></div><div role=contentinfo><p>{s}</p></div></body>",
     "<body><article data-main><h1>{h}</h1><p>{s}</p></article><div class='reader-comments'><h2>{h}</h2><p>{p}</p><p>{p}</p></div><div class=sponsored><p>{p}</p></div></body>",
+    "<div id=header>{s}</div><main data-main><p>{p}</p><ul><li>{s}</li></ul></main><aside>{s}</aside><section class=comments><p>{p}</p></section>",
+    "<body><header><div class=logo>{s}</div></header><div class=notice><p>{p}</p></div><nav><ul>{l}</ul></nav><article data-main><h1>{h}</h1><p>{p}</p><p>{s}</p></article><aside class=sidebar><h3>{h}</h3><p>{p}</p><ul>{l}</ul></aside><section id=comments><h2>{h}</h2><article class=comment><p>{p}</p></article><p>{p}</p></section><footer><p>{s}</p><ul>{l}</ul></footer></body>",
+    "<body><div class=ad>{p}</div><article data-main><h1>{h}</h1><p>{p}<p>{s}<p>{p}</article><div class=comments><p>{p}</p><p>{s}</p></div><form class=newsletter><label>{s}</label><p>{s}</p></form><footer>{s}</footer></body>",
+    "<body><main data-main><h1>{h}</h1><section><h2>{h}</h2><p>{p}</p></section><section><h2>{h}</h2><p>{s}</p><div class=ad data-off><p>{p}</p></div></section></main><footer><nav><ul>{l}</ul></nav><p>{s}</p></footer></body>",
+    "<article data-main><p>{s}</p></article>",
+    "<div class=banner><p>{p}</p></div><div class=content data-main><p>{s}</p><form data-off><p>{s}</p></form></div><div class=menu><ul>{l}</ul></div>",
+    "<div class=post data-main><p>{s}</p></div><div class=footer>{s}</div>",
+    "<div class=body data-main><h2>{h}</h2><p>{p}</p></div>",
     "<body><section data-main><h1>{h}</h1><p>{p}</p><ol><li>{p}</li><li>{s}</li></ol><div class='ads' data-off><p>{p}</p></div><p>{p}</p></section><div class=popup><p>{s}</p></div><aside class=notice><p>{p}</p></aside></body>",
 ]
 _FILL = {"p": "Plain words of a paragraph that goes on for a while, with a comma here and a stop at its end. " * 3, "h": "A heading of five words", "l": "<li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>More of it</a></li>", "s": "A short line."}

@@ -32,6 +32,8 @@ SEPARATOR = 0
 KEPT_WORDS = 600_000
 #: Bounds of the search: fillings looked at for one sequence, alternatives kept, nodes of the backtracking.
 FILL_NODES, KEPT_FILLINGS, SEARCH_NODES = 4000, 3, 2000
+#: Items of one filling that are chosen by search; further ones are taken from the largest.
+DEEP = 16
 #: Pieces of one length that one salted group holds on average, at most.
 GROUP_ROWS = 100_000
 
@@ -123,6 +125,11 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int]) -> list[tupl
 
     def grow(left: int, begin: int, items: tuple[int, ...]) -> bool:
         """lengths[begin:] may follow; True ends the search."""
+        if len(items) >= DEEP:  # many small ones: the rest is filled from the largest
+            for x in lengths[begin:]:
+                n = min(left // x, counts[x] - items.count(x))
+                left, items = left - n * x, items + (x,) * n
+            return note(left, items) or True
         closed = True
         for i in range(begin, len(lengths)):
             x = lengths[i]
@@ -147,8 +154,8 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int]) -> list[tupl
     if not best or best[0][0]:  # the nodes ran out: largest first
         left, items = room, ()
         for x in lengths:
-            while x <= left and items.count(x) < counts[x]:
-                left, items = left - x, (*items, x)
+            n = min(left // x, counts[x])
+            left, items = left - n * x, items + (x,) * n
         note(left, items)
     return [b[2] for b in best]
 
