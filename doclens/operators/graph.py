@@ -95,3 +95,20 @@ def display(nodes_: DataFrame, edges_: DataFrame, limit: int = 100) -> tuple[Dat
     shown = nodes_.orderBy(order, "id").limit(limit)
     ids = shown.select("id")
     return shown, edges_.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def incoming_and_outgoing(edges_: DataFrame, limit: int = 20) -> DataFrame:
+    """(node, direction, type, other, rank): the heaviest references of each node, at most `limit` each way and type."""
+    out = edges_.select(F.col("src").alias("node"), F.lit("out").alias("direction"), "type", F.col("dst").alias("other"), "weight")
+    back = edges_.select(F.col("dst").alias("node"), F.lit("in").alias("direction"), "type", F.col("src").alias("other"), "weight")
+    order = Window.partitionBy("node", "direction", "type").orderBy(F.desc("weight"), "other")
+    return out.unionByName(back).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def reference_summary(edges_: DataFrame, first: int = 15) -> DataFrame:
+    """(document, n_standards, summary): a sentence that names the first standards a document refers to."""
+    order = Window.partitionBy("src").orderBy("dst")
+    rows = edges_.filter("type = 'REFERS_TO' AND src LIKE 'doc:%'").withColumn("n", F.row_number().over(order))
+    named = F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") <= first, F.substr("dst", F.lit(5))))), ", ")
+    out = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n_standards"), named.alias("names"))
+    return out.select(F.substr("src", F.lit(5)).alias("document"), "n_standards", F.concat(F.lit("Refers to "), F.col("n_standards").cast("string"), F.lit(" standards: "), "names").alias("summary"))

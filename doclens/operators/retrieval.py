@@ -166,3 +166,39 @@ def similar_in_other_documents(chunks: DataFrame, vocabulary: DataFrame, k: int
 
 def validate(questions: DataFrame, least: int = 1, most: int = 5000) -> Column:
     return F.length(F.trim("text")).between(least, most)
+
+
+FOLLOW_UPS = (("cable", "Which cable sizes apply?", "How are cables supported?"), ("luminaire", "Which light levels apply?", "Where are luminaires placed?"), ("standard", "Which edition applies?", "What does it replace?"))
+
+
+def follow_ups(answers: DataFrame, most: int = 3) -> DataFrame:
+    """(id, questions): two questions for the first keyword an answer holds, and one on its best document, at most `most`."""
+    low = F.lower("answer")
+    own = F.array().cast("array<string>")
+    for word, *asked in reversed(FOLLOW_UPS):
+        own = F.when(F.contains(low, F.lit(word)), F.array(*[F.lit(q) for q in asked])).otherwise(own)
+    return answers.select("id", F.slice(F.concat(own, F.array(F.concat(F.lit("What else does "), "file_name", F.lit(" say?")))), 1, most).alias("questions"))
+
+
+def from_templates(templates: list[str], words: DataFrame) -> DataFrame:
+    """(focus, question): each template with each focus word in the place of {focus}."""
+    out = None
+    for t in templates:
+        part = words.select("focus", F.replace(F.lit(t), F.lit("{focus}"), F.col("focus")).alias("question"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Words, words that rule it out, parameter types; the first row that fits decides.
+FOCUS_TYPES = ((("widget", "gear"), ("hot",), ("current", "area")), (("bolt", "ring"), (), ("area",)), (("hot",), (), ("illuminance",)))
+ALL_TYPES = ("current", "area", "illuminance")
+
+
+def focus_types(text: Column) -> Column:
+    """Parameter types that a focus text asks for: none without text, a broad set where no rule fits."""
+    low = F.lower(text)
+    any_of = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(low, w)) if ws else F.lit(False)
+    out = F.array(*[F.lit(t) for t in ALL_TYPES])
+    for words, without, types in reversed(FOCUS_TYPES):
+        out = F.when(any_of(words) & ~any_of(without), F.array(*[F.lit(t) for t in types])).otherwise(out)
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(out)

@@ -175,3 +175,11 @@ def html_headings(pages: DataFrame) -> DataFrame:
 def with_facets(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Stored category and project of each file; a parameter wins, then the stored one, then the default."""
     return rows.join(categories, "file_name", "left").withColumns({"category": F.coalesce("category", F.lit("Uncategorized")), "project": F.coalesce("project", F.lit("N/A"))})
+
+
+def title_fallback(docs: DataFrame, titles: DataFrame, doc: str = "doc_name", shortest: int = 4) -> DataFrame:
+    """(doc, identifier, title, line_no): the first title of a table of contents that stands alone on a line, an identifier before it allowed."""
+    own = lines(docs, doc).withColumn("key", F.lower(F.trim(F.regexp_replace("line", r"^[#\s]*(?:[0-9]+(?:\.[0-9]+)*)?\s*", ""))))
+    known = titles.filter(F.length("title") >= shortest).select("identifier", "title", F.lower(F.trim("title")).alias("key"))
+    hit = own.join(known, "key")
+    return hit.groupBy("doc").agg(F.min_by(F.struct("identifier", "title", "line_no"), F.struct("line_no", "identifier")).alias("h")).select("doc", "h.*")
