@@ -104,6 +104,12 @@ def _region(n: int, num: int, den: int) -> int:
     return n if n <= 2 * LARGEST_SMALL else min(n, p + p // 2 + 8)
 
 
+def _reachable(n: Column, pos_n: Column, m: Column, pos_m: Column, num: int, den: int) -> Column:
+    """Whether two sets can share enough if their first common shingle stands at these places of their orders: all that is common follows."""
+    rest = F.least(n - pos_n, m - pos_m)
+    return rest * (num + den) >= (n + m) * num
+
+
 def _compatible(n: Column, m: Column, num: int, den: int) -> Column:
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
@@ -125,7 +131,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             sets = _sets(pdf["text"].tolist(), shingle)
             prints = [_fingerprint(s) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "first": [s[: _region(len(s), num, den)] for s in sets]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "first": pd.Series([s[: _region(len(s), num, den)] for s in sets], dtype=object)})
 
     sketches = written(rows.mapInPandas(sketch, "doc_id long, n int, h1 long, h2 long, first array<bigint>").withColumn("rid", F.monotonically_increasing_id()))
     held = sketches.filter("n > 0").select("rid", "doc_id", "n", "h1", "h2")
@@ -133,11 +139,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = sketches.select("rid", "first").join(classes.select("cls", "n", "h1", "h2"), F.col("rid") == F.col("cls")).select("cls", "n", "first")
     reps = written(reps.filter(_has_partners("n", num, den)))
 
-    # How often a shingle stands in the first P(n) by hash; only what repeats is kept.
-    p = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
-    repeated = written(reps.select(F.explode(F.slice("first", F.lit(1), p)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    # How often a shingle stands among those kept of a set; only what repeats is kept.
+    repeated = written(reps.select(F.explode("first").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
     sizes = {r["n"]: r["k"] for r in reps.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-    totals = reps.agg(F.sum(p).alias("entries")).first()
+    totals = reps.agg(F.sum(F.size("first")).alias("entries")).first()
     spread = {r["log"]: (r["shingles"], r["scanned"]) for r in repeated.groupBy(F.floor(F.log2("k")).cast("int").alias("log")).agg(F.count(F.lit(1)).alias("shingles"), F.sum(F.least("k", F.lit(SHORT_LIST)) * F.col("k")).alias("scanned")).collect()}
     scanned = sum(s for _, s in spread.values()) + (totals["entries"] or 0)
     limit = boundary(sizes, scanned / max(1, totals["entries"] or 0), num, den)
@@ -156,7 +161,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def listing(batches):
         """Keys of the lists (kind 1) and of subsets (kind 3); a set that can't fill its listed part comes as kind 0."""
         for pdf in batches:
-            keys, kinds, ids, ns = [], [], [], []
+            keys, kinds, ids, ns, places = [], [], [], [], []
             for cls, n, first in zip(pdf["cls"], pdf["n"], pdf["first"]):
                 if n <= limit:
                     for c in subset_sizes(n, limit, num, den):
@@ -168,6 +173,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         kinds.append(np.full(len(h), 3))
                         ids.append(np.full(len(h), cls))
                         ns.append(np.full(len(h), n))
+                        places.append(np.zeros(len(h), np.int64))
                 if n < num * (limit + 1) // den:
                     continue
                 light, _ = parts(np.asarray(first))
@@ -177,10 +183,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 kinds.append(np.full(len(key), 1 if len(light) >= most else 0))
                 ids.append(np.full(len(key), cls))
                 ns.append(np.full(len(key), n))
+                places.append(np.arange(len(key)))
             if keys:
-                yield pd.DataFrame({"kind": np.concatenate(kinds), "t": np.concatenate(keys), "cls": np.concatenate(ids), "n": np.concatenate(ns)})
+                yield pd.DataFrame({"kind": np.concatenate(kinds), "t": np.concatenate(keys), "cls": np.concatenate(ids), "n": np.concatenate(ns), "pos": np.concatenate(places), "central": 0})
 
-    emitted = written(reps.mapInPandas(listing, "kind int, t long, cls long, n int"))
+    entry = "kind int, t long, cls long, n int, pos int, central long"
+    emitted = written(reps.mapInPandas(listing, entry))
     again = written(emitted.filter("kind = 0").select("cls", "n"))
 
     # Whole sets of some classes, read from the texts; a bitmap keeps other rows out early.
@@ -193,9 +201,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         def read(batches):
             for pdf in batches:
                 mine = pdf[_in_bitmap(bits.value, _id_key(pdf["doc_id"]))]
+                if not len(mine):
+                    continue
                 sets = _sets(mine["text"].tolist(), shingle)
                 prints = [_fingerprint(s) for s in sets]
-                yield pd.DataFrame({"n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "low": mine["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "s": sets})
+                yield pd.DataFrame({"n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "low": mine["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "s": pd.Series(sets, dtype=object)})
 
         found = rows.mapInPandas(read, "n int, h1 long, h2 long, low long, s array<bigint>")
         return found.join(named, (found["n"] == named["n"]) & (found["h1"] == named["h1"]) & (found["h2"] == named["h2"]) & found["low"].eqNullSafe(named["low"])).select("cls", named["n"], "s")
@@ -207,7 +217,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared_only = entries.join(counts, "t").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("kt"))
     alone = F.col("n") - F.size("kt")
     most = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + MATCHES
-    kept = shared_only.filter(F.size("kt") >= F.ceil(F.col("n") * num / den)).select(F.lit(2).alias("kind"), F.explode(F.slice("kt", F.lit(1), F.greatest(most - alone, F.lit(0)))["t"]).alias("t"), "cls", "n")
+    # how common a set's shingles are: the original of a family of copies has the most common ones
+    central = F.floor(F.aggregate("kt", F.lit(0).cast("long"), lambda a, x: a + x["k"]) / F.col("n"))
+    kept = shared_only.filter(F.size("kt") >= F.ceil(F.col("n") * num / den)).select(F.lit(2).alias("kind"), F.posexplode(F.slice("kt", F.lit(1), F.greatest(most - alone, F.lit(0)))["t"]).alias("i", "t"), "cls", "n", alone.alias("alone"), central.alias("central"))
+    # the shingles that stand alone come first in the order
+    kept = kept.select("kind", "t", "cls", "n", (F.col("i") + F.col("alone")).alias("pos"), "central")
 
     def first_order(batches):
         for pdf in batches:
@@ -215,25 +229,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for s, n in zip(pdf["s"], pdf["n"]):
                 light, heavy = parts(np.asarray(s))
                 out.append(np.concatenate([light, heavy])[: listed(n, num, den)])
-            yield pd.DataFrame({"kind": 1, "t": np.concatenate(out) if out else np.zeros(0, np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), [len(o) for o in out]), "n": np.repeat(pdf["n"].to_numpy(), [len(o) for o in out])})
+            yield pd.DataFrame({"kind": 1, "t": np.concatenate(out) if out else np.zeros(0, np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), [len(o) for o in out]), "n": np.repeat(pdf["n"].to_numpy(), [len(o) for o in out]), "pos": np.concatenate([np.arange(len(o)) for o in out]) if out else np.zeros(0, np.int64), "central": 0})
 
-    late = sat.mapInPandas(first_order, "kind int, t long, cls long, n int")
+    late = sat.mapInPandas(first_order, entry)
     every = emitted.filter("kind > 0").withColumn("new", F.lit(0)).unionByName(late.withColumn("new", F.lit(1))).unionByName(kept.withColumn("new", F.lit(0)))
     # lists of kind 1 that hold only sets ordered again are left to kind 2
     every = written(every)
     lists = every.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("k"), F.min("new").alias("new")).filter("k > 1 AND new = 0").select("kind", "t", "k")
-    lists = written(every.select("kind", "t", "cls", "n").join(lists, ["kind", "t"]))
+    lists = written(every.drop("new").join(lists, ["kind", "t"]))
 
     short, long = lists.filter(F.col("k") <= SHORT_LIST), lists.filter(F.col("k") > SHORT_LIST)
     in_long = long.groupBy("kind", "cls").agg(F.count(F.lit(1)).alias("more"))
     short = short.join(in_long, ["kind", "cls"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    a = short.select("kind", "t", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("more").alias("ma"))
-    b = short.select("kind", "t", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("more").alias("mb"))
+    a = short.select("kind", "t", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("more").alias("ma"), F.col("pos").alias("pa"))
+    b = short.select("kind", "t", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("more").alias("mb"), F.col("pos").alias("pb"))
     met = a.join(b, ["kind", "t"]).filter((F.col("a") < F.col("b")) & _compatible(F.col("na"), F.col("nb"), num, den))
-    met = met.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
-    met = met.filter((F.col("kind") == 3) | (F.col("k") + F.least("ma", "mb") >= MATCHES))
+    met = met.groupBy("kind", "a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"), F.first("ma").alias("ma"), F.first("mb").alias("mb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    # without long lists in common the first shingle in common is the first one here
+    first = (F.least("ma", "mb") > 0) | _reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)
+    met = met.filter((F.col("kind") == 3) | ((F.col("k") + F.least("ma", "mb") >= MATCHES) & first))
     pairs = written(met.groupBy("a", "b").agg(F.max("k").alias("k")))
-    long = written(long.select("kind", "t", "cls", "n"))
+    long = written(long.select("kind", "t", "cls", "n", "pos", "central"))
     return _verified(sketches, classes, pairs, long, whole_sets, num, den)
 
 
@@ -265,10 +281,13 @@ def _verified(sketches, classes, pairs, long, whole_sets, num, den) -> DataFrame
     for round_ in range(ROUNDS + 1):
         if round_ == ROUNDS:
             break
-        members = long if label is None else long.join(label, long["cls"] == label["node"], "left").select("kind", "t", "cls", "n", F.coalesce("label", "cls").alias("comp"))
+        members = long if label is None else long.join(label, long["cls"] == label["node"], "left").select("kind", "t", "cls", "n", "pos", "central", F.coalesce("label", "cls").alias("comp"))
         members = members.withColumn("comp", F.col("cls")) if label is None else members
-        whole = members.groupBy("kind", "t").agg(F.min(F.struct(F.xxhash64(F.col("cls"), F.lit(round_)).alias("h"), "cls", "comp", "n")).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-        against = members.join(whole.select("kind", "t", "pivot"), ["kind", "t"]).filter((F.col("comp") != F.col("pivot.comp")) & _compatible(F.col("n"), F.col("pivot.n"), num, den)).select(*ordered(F.col("cls"), F.col("pivot.cls"))).distinct()
+        # the pivot is the most central member, in later rounds any of the central ones: what links to any member mostly links to it
+        share = -F.col("central") if not round_ else -F.floor(F.log2(F.col("central") + 1) * 4)
+        central = F.struct(share.alias("share"), F.xxhash64(F.col("cls"), F.lit(round_)).alias("h"), "cls", "comp", "n", "pos")
+        whole = members.groupBy("kind", "t").agg(F.min(central).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        against = members.join(whole.select("kind", "t", "pivot"), ["kind", "t"]).filter((F.col("comp") != F.col("pivot.comp")) & _compatible(F.col("n"), F.col("pivot.n"), num, den) & _reachable(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den)).select(*ordered(F.col("cls"), F.col("pivot.cls"))).distinct()
         new = against if round_ else against.union(tried).distinct()
         new = written(new.join(done, ["a", "b"], "left_anti") if done is not None else new)
         if round_ and not new.limit(1).count():
@@ -277,16 +296,18 @@ def _verified(sketches, classes, pairs, long, whole_sets, num, den) -> DataFrame
         done = new if done is None else done.union(new)
         found = fresh if found is None else found.union(fresh)
         label = components(found)
-        if round_ and not _left(long, label, RESIDUAL):
+        if round_ and not _left(long, label, RESIDUAL, num, den):
             break
     # whatever lies between components and wasn't tried: the rest of the pairs, and the rest of the long lists
     comp = label
-    open_ = long.join(comp, long["cls"] == comp["node"], "left").select("kind", "t", "cls", "n", F.coalesce("label", "cls").alias("comp"))
+    open_ = long.join(comp, long["cls"] == comp["node"], "left").select("kind", "t", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp"))
+    # an entry that is reachable for no partner, not even the smallest, pairs with nothing
+    open_ = open_.filter(_reachable(F.col("n"), F.col("pos"), F.ceil(F.col("n") * num / den).cast("int"), F.lit(0), num, den))
     mixed = open_.groupBy("kind", "t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("kind", "t")
     open_ = open_.join(mixed, ["kind", "t"])
-    x = open_.select("kind", "t", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = open_.select("kind", "t", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, ["kind", "t"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    x = open_.select("kind", "t", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    y = open_.select("kind", "t", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    rest = x.join(y, ["kind", "t"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(F.col("na"), F.col("nb"), num, den) & _reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)).select("a", "b")
     apart = pairs.select("a", "b").join(comp.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b", "left")
     apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     last = written(rest.union(apart).distinct().join(done, ["a", "b"], "left_anti"))
@@ -300,9 +321,9 @@ def _verified(sketches, classes, pairs, long, whole_sets, num, den) -> DataFrame
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _left(long: DataFrame, label: DataFrame, most: int) -> bool:
-    """Whether the long lists still hold more than `most` pairs between components."""
-    members = long.join(label, long["cls"] == label["node"], "left").select("kind", "t", F.coalesce("label", "cls").alias("comp"))
+def _left(long: DataFrame, label: DataFrame, most: int, num: int, den: int) -> bool:
+    """Whether the long lists still hold more than about `most` pairs between components, counted among entries that reach a set of their size."""
+    members = long.filter(_reachable(F.col("n"), F.col("pos"), F.col("n"), F.col("pos"), num, den)).join(label, long["cls"] == label["node"], "left").select("kind", "t", F.coalesce("label", "cls").alias("comp"))
     sizes = members.groupBy("kind", "t", "comp").agg(F.count(F.lit(1)).cast("double").alias("k"))
     pairs = sizes.groupBy("kind", "t").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
     return (pairs.agg(F.sum("pairs")).first()[0] or 0) > most
