@@ -345,27 +345,16 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
     nothing.  kept may cut through a character, so it is binary.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumns({"d": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.hash("text"), "key": F.md5(F.col("text").cast("binary"))})
-    firsts = written(rows.select("key", "d", "tie").groupBy("key").agg(F.min("d").alias("d"), F.first("tie").alias("tie")))
-    return _cut(rows, firsts, size)
-
-
-def _cut(rows: DataFrame, firsts: DataFrame, size: int) -> DataFrame:
-    # one row of each text, that of its first document, is scanned
-    texts = rows.join(firsts.select("key", F.col("d").alias("first_d")), "key")
-    once = texts.filter(F.col("d") == F.col("first_d")).select("d", "tie", "text")
-    spans = repeated_spans(once, size).groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = texts.withColumn("own", F.col("d") == F.col("first_d")).join(spans, ["d", "tie"], "left").select("doc_id", "text", "own", "spans")
+    rows = rows.withColumns({"d": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.hash("text")})
+    spans = repeated_spans(rows, size).groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = rows.join(spans, ["d", "tie"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for pdf in batches:
             out = []
-            for i, t, own, spans in zip(pdf["doc_id"], pdf["text"], pdf["own"], pdf["spans"]):
+            for i, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
                 data = t.encode()
-                if not own and len(data) >= size:
-                    runs = [(0, len(data))]
-                else:
-                    runs = merged_spans([(s["start"], s["stop"]) for s in spans]) if spans is not None else []
+                runs = merged_spans([(s["start"], s["stop"]) for s in spans]) if spans is not None else []
                 at, kept = 0, []
                 for a, b in runs:
                     kept.append(data[at:a])
