@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches, rows: int = 1000):
+    """The batches of a task in smaller parts, so that what is made of one part is gone before the next."""
+    for pdf in batches:
+        for begin in range(0, len(pdf), rows):
+            yield pdf.iloc[begin : begin + rows].reset_index(drop=True)
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -8,6 +8,8 @@ loop over words; a shingle's hash mixes those of its words in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 #: Odd, so it has an inverse modulo 2**64.
@@ -17,7 +19,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of one pass over a batch of texts: bounds the memory of a worker.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,7 +79,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def in_batches(texts: list[bytes], limit: int = BATCH_BYTES):
+def in_batches(texts: Iterable[bytes], limit: int = BATCH_BYTES):
     """Consecutive runs of texts of about `limit` bytes; a longer text is a run of its own."""
     run, held = [], 0
     for t in texts:

@@ -38,7 +38,11 @@ GRAM = 32
 #: Contexts of one anchor string that are sorted together, at most.
 GROUP_ROWS = 20_000
 #: Contexts that a task sorts at a time, about.
-SORT_ROWS = 50_000
+SORT_ROWS = 20_000
+#: Bytes of text that are scanned at a time; arrays of some sixty times that size come with it.
+SCAN_BYTES = 1 << 18
+#: Rows of the last step that a task holds at a time.
+CUT_ROWS = 500
 #: Bits of a bitmap, at most: 16 MB.
 BITMAP_BITS = 1 << 27
 #: A byte that UTF-8 has no use for, so what isn't there equals no text.
@@ -198,9 +202,8 @@ def _scan(texts: DataFrame, mode: str, size: int, bitmap=None) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            raw = [t.encode() for t in pdf["text"]]
             at = 0
-            for part in in_batches(raw):
+            for part in in_batches((t.encode() for t in pdf["text"]), SCAN_BYTES):
                 owner, place, near, far, h = anchors(part, size)
                 rows = at + owner
                 at += len(part)
@@ -361,6 +364,12 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
                     at = b
                 kept = b"".join([*kept, data[at:]])
                 out.append((i, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+                if len(out) == CUT_ROWS:
+                    yield framed(out)
+                    out = []
+            yield framed(out)
+
+    def framed(out):
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
     return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
