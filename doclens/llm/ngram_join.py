@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .graph import components
 from .shingles import in_batches, mix, shingle_sets
 from .suffix_dedup import _bitmap, _in_bitmap
@@ -128,10 +128,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sketch(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             sets = _sets(pdf["text"].tolist(), shingle)
             prints = [_fingerprint(s) for s in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "first": pd.Series([s[: _region(len(s), num, den)] for s in sets], dtype=object)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "first": pd.Series([s[: _region(len(s), num, den)].copy() for s in sets], dtype=object)})
 
     sketches = written(rows.mapInPandas(sketch, "doc_id long, n int, h1 long, h2 long, first array<bigint>").withColumn("rid", F.monotonically_increasing_id()))
     held = sketches.filter("n > 0").select("rid", "doc_id", "n", "h1", "h2")
@@ -160,7 +160,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def listing(batches):
         """Keys of the lists (kind 1) and of subsets (kind 3); a set that can't fill its listed part comes as kind 0."""
-        for pdf in batches:
+        for pdf in sliced(batches):
             keys, kinds, ids, ns, places = [], [], [], [], []
             for cls, n, first in zip(pdf["cls"], pdf["n"], pdf["first"]):
                 if n <= limit:
@@ -199,7 +199,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         bits = spark.sparkContext.broadcast(_bitmap(named, ["low"], lambda pdf: _id_key(pdf["low"])))
 
         def read(batches):
-            for pdf in batches:
+            for pdf in sliced(batches):
                 mine = pdf[_in_bitmap(bits.value, _id_key(pdf["doc_id"]))]
                 if not len(mine):
                     continue
@@ -224,7 +224,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = kept.select("kind", "t", "cls", "n", (F.col("i") + F.col("alone")).alias("pos"), "central")
 
     def first_order(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             out = []
             for s, n in zip(pdf["s"], pdf["n"]):
                 light, heavy = parts(np.asarray(s))
