@@ -121,3 +121,21 @@ def technical_queries(findings: DataFrame) -> DataFrame:
     order = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)
     own = Window.partitionBy("source_doc").orderBy(order, "reference_doc", "chunk_id")
     return findings.withColumn("number", F.format_string("TQ-%03d", F.row_number().over(own)))
+
+
+def audit(chunks: DataFrame, values: DataFrame, requirements: DataFrame, references: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All findings (source_doc, reference_doc, category, what, severity) of each pair: value conflicts, requirement gaps, standards that aren't covered."""
+    terms = references.select("chunk_id", "file_name", F.col("key").alias("term"))
+    a = issues(values, requirements, pairs).select("source_doc", "reference_doc", F.lit("value").alias("category"), F.col("type").alias("what"), "severity")
+    b = gaps(chunks, terms, pairs, 1).select("source_doc", "reference_doc", F.lit("gap").alias("category"), F.col("topic").alias("what"), "severity")
+    c = coverage(references, pairs).select("source_doc", "reference_doc", F.lit("coverage").alias("category"), F.col("key").alias("what"), F.lit("medium").alias("severity"))
+    return a.unionByName(b).unionByName(c)
+
+
+def verdicts(supported: DataFrame, cited: DataFrame, sure: DataFrame) -> DataFrame:
+    """(id, quality, warnings): .4 support, .3 citation coverage and .3 confidence of an answer, a missing check counting 1, with a warning for each part under one half."""
+    rows = supported.select("id", "support").join(cited.select("id", "coverage"), "id", "full").join(sure.select("id", "confidence"), "id", "full")
+    part = lambda c: F.coalesce(c, F.lit(1.0))
+    quality = F.round(0.4 * part("support") + 0.3 * part("coverage") + 0.3 * part("confidence"), 6)
+    warnings = F.array_compact(F.array(*[F.when(F.col(c) < 0.5, F.lit(f"low {c}")) for c in ("support", "coverage", "confidence")]))
+    return rows.select("id", quality.alias("quality"), warnings.alias("warnings"))

@@ -138,3 +138,10 @@ def recommendations(stats: DataFrame) -> DataFrame:
         )
     )
     return stats.select("store", F.explode(rules).alias("advice"))
+
+
+def learn(rows: DataFrame, support: int = 3, least: float = 0.6, keyword_least: float = 0.6) -> DataFrame:
+    """(src, dst, type, confidence): the edges that feedback suggests, COMPLEMENTS from pairs and RELATED_TO from shared keywords."""
+    pairs = co_occurrences(positive_baskets(rows), support, least).select(F.col("doc1").alias("src"), F.col("doc2").alias("dst"), F.lit("COMPLEMENTS").alias("type"), "confidence")
+    shared = related(keyword_documents(rows, support, keyword_least)).select("src", "dst", F.lit("RELATED_TO").alias("type"), F.col("weight").alias("confidence"))
+    return pairs.unionByName(shared)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import compliance as C
 from ..operators import entities as E
+from ..operators import feedback as B
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import structure as S
-from ..sources.corpus import SPEC_SQL, spec_chunks, spec_markdown, table
+from ..sources.corpus import FEEDBACK_SQL, SPEC_SQL, feedback, spec_chunks, spec_markdown, table
+from .compliance import PAIRS_SQL, SEVERITY_SQL, _answers
 from .entities import QTY_SQL, STD_SQL, VALUES_SQL
+from .feedback import BASKET_SQL, KW_SQL, PAIR_SQL
 from .graph import EDGES_SQL, _edges
 from .registry import query
 
@@ -56,3 +60,37 @@ def values_in_focus(spark, sf_dir):
 def index_statistics(spark, sf_dir):
     c = spec_chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_name").alias("documents"), F.countDistinct("file_name", "section_number").alias("sections"))
     return c.select(F.explode(F.array(*[F.struct(F.lit(x).alias("what"), F.col(x).alias("n")) for x in ("chunks", "documents", "sections")])).alias("s")).select("s.*")
+
+
+AUDIT_SQL = f"""WITH {SPEC_SQL}, {QTY_SQL}, {STD_SQL}, {VALUES_SQL}, {PAIRS_SQL}, v AS (SELECT DISTINCT file_name, key FROM st),
+    f AS (SELECT file_name, type, arg_min(value, (pos, chunk_id)) AS source_value FROM tv GROUP BY ALL),
+    i AS (SELECT p.source_doc, p.reference_doc, tv.type, any_value(f.source_value) AS s, arg_min(tv.value, (tv.pos, tv.chunk_id)) AS r
+          FROM pairs p JOIN f ON f.file_name = p.source_doc JOIN tv ON tv.file_name = p.reference_doc AND tv.type = f.type JOIN spec ON spec.chunk_id = tv.chunk_id
+          WHERE f.source_value <> tv.value AND (spec.text LIKE '%shall%' OR spec.text LIKE '%must%') GROUP BY ALL),
+    g AS (SELECT p.source_doc, p.reference_doc, s.section_title AS topic, s.chunk_id, s.text, s.pos FROM pairs p JOIN spec s ON s.file_name = p.reference_doc
+          WHERE (s.text LIKE '%shall%' OR s.text LIKE '%must%') AND NOT EXISTS (SELECT 1 FROM st JOIN v ON v.key = st.key WHERE st.chunk_id = s.chunk_id AND v.file_name = p.source_doc)),
+    a AS (SELECT source_doc, reference_doc, 'value' AS category, type AS what, CASE WHEN s = 0 THEN 'critical' ELSE {SEVERITY_SQL.format(p='round(abs(s - r) / abs(s) * 100, 6)')} END AS severity FROM i
+          UNION ALL SELECT source_doc, reference_doc, 'gap', topic, CASE WHEN arg_min(text, (pos, chunk_id)) LIKE '%shall%' THEN 'high' ELSE 'medium' END FROM g GROUP BY source_doc, reference_doc, topic
+          UNION ALL SELECT p.source_doc, p.reference_doc, 'coverage', v.key, 'medium' FROM pairs p JOIN v ON v.file_name = p.reference_doc WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.file_name = p.source_doc AND x.key = v.key))
+    SELECT * FROM a"""
+
+
+@query(AUDIT_SQL)
+def compliance_audit(spark, sf_dir):
+    chunks = spec_chunks(spark, sf_dir)
+    pairs = table(spark, sf_dir, "nation").select(F.concat(F.lit("SPEC-"), F.col("n_nationkey").cast("string")).alias("source_doc"), F.concat(F.lit("SPEC-"), ((F.col("n_nationkey") + 1) % 25).cast("string")).alias("reference_doc"))
+    return C.audit(chunks, E.typed_values(chunks), E.requirements(chunks), E.standards(chunks), pairs)
+
+
+@query(f"WITH {FEEDBACK_SQL}, {BASKET_SQL}, {PAIR_SQL}, {KW_SQL}, k AS (SELECT * FROM kw WHERE n >= 3 AND confidence >= 0.04) SELECT doc1 AS src, doc2 AS dst, 'COMPLEMENTS' AS type, confidence FROM cc WHERE confidence >= 0.01 UNION ALL SELECT a.document_name, b.document_name, 'RELATED_TO', 0.5 FROM k a JOIN k b USING (keyword) WHERE a.document_name < b.document_name GROUP BY ALL")
+def learned_edges(spark, sf_dir):
+    return B.learn(feedback(spark, sf_dir), 3, 0.01, 0.04)
+
+
+@query(f"WITH {SPEC_SQL}, e AS (SELECT value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n, user_id AS id FROM events), c AS (SELECT id, round(avg(value), 6) AS confidence FROM e WHERE n <= 5 GROUP BY id), b AS (SELECT pos // 10 AS id, round(count(*) FILTER (pos % 2 = 1) / count(*), 6) AS coverage FROM spec GROUP BY ALL), s AS (SELECT id, 1.0::DOUBLE AS support FROM b), j AS (SELECT * FROM s FULL JOIN b USING (id) FULL JOIN c USING (id)) SELECT id, round(0.4 * coalesce(support, 1) + 0.3 * coalesce(coverage, 1) + 0.3 * coalesce(confidence, 1), 6) AS quality, concat_ws(',', CASE WHEN support < 0.5 THEN 'low support' END, CASE WHEN coverage < 0.5 THEN 'low coverage' END, CASE WHEN confidence < 0.5 THEN 'low confidence' END) AS warnings FROM j")
+def answer_verdicts(spark, sf_dir):
+    answers = _answers(spark, sf_dir)
+    supported = C.support(answers.select("id", F.col("text").alias("answer"), F.col("text").alias("source")))
+    sure = C.confidence(table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("value").alias("score"), F.col("event_id").alias("source")), 50)
+    out = C.verdicts(supported, C.citation_coverage(E.bullets(answers)), sure)
+    return out.select("id", "quality", F.array_join("warnings", ",").alias("warnings"))
