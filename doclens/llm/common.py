@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sliced(batches, rows: int = 1000):
-    """The batches of a task in smaller parts, so that what is made of one part is gone before the next."""
-    for pdf in batches:
-        for begin in range(0, len(pdf), rows):
-            yield pdf.iloc[begin : begin + rows].reset_index(drop=True)
+    """The batches of a task in smaller parts, so that what is made of one part is gone before the next.
+
+    Workers outlive their tasks; at a task's end what it has freed goes back to the system.
+    """
+    try:
+        for pdf in batches:
+            for begin in range(0, len(pdf), rows):
+                yield pdf.iloc[begin : begin + rows].reset_index(drop=True)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def whole_text(text: str = "text") -> Column:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .token_counts import LETTER, _classes, char_batches
 
 SLOTS = 1 << 15
@@ -130,7 +131,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def frequencies(batches):
         seen, total = np.zeros(SLOTS + 1, np.int64), 0
-        for pdf in batches:
+        for pdf in sliced(batches):
             for slots, _ in counts_of(pdf["text"].tolist()):
                 seen[slots] += 1
                 total += 1
@@ -184,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
     def run(batches):
         own = Model(*shared.value)
         letter = _is_letter()
-        for pdf in batches:
+        for pdf in sliced(batches):
             texts = ["" if t is None else t for t in pdf[text_col]]
             langs, scores = [], []
             for t, (slots, counts) in zip(texts, counts_of(texts)):

@@ -254,7 +254,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _id_key(ids) -> np.ndarray:
-    x = np.array([-1 if pd.isna(i) else int(i) for i in ids], np.int64) if ids.dtype == object or ids.dtype.kind == "f" else ids.to_numpy(dtype=np.int64, na_value=-1) if hasattr(ids.array, "dtype") and str(ids.dtype) == "Int64" else ids.to_numpy(np.int64)
+    x = np.array([-1 if pd.isna(i) else int(i) for i in ids], np.int64)
     return mix(x.view(np.uint64)).view(np.int64)
 
 

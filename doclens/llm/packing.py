@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 from .token_counts import char_batches, compiled, words_of
 
 CAPACITY = 2048
 SEPARATOR = 0
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 #: Bounds of the search: fillings looked at for one sequence, alternatives kept, nodes of the backtracking.
 FILL_NODES, KEPT_FILLINGS, SEARCH_NODES = 4000, 3, 2000
 #: Items of one filling that are chosen by search; further ones are taken from the largest.
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     end = np.array([SEPARATOR], "<u4").tobytes()
 
     def cut(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             rows, at, ids = [], 0, pdf["doc_id"].tolist()
             for run in char_batches(pdf["text"].tolist()):
                 for data in encoded(run, path):
