@@ -2,10 +2,11 @@
 
 How full the sequences can be depends only on how many pieces have each length,
 and there are at most `capacity` lengths.  So the search runs on that bounded
-histogram: around the largest remaining length it enumerates undominated
-fillings, prunes by the waste that the bound on the number of sequences still
-allows, starts from the best-fit solution as incumbent and backtracks while the
-incumbent is above the bound.  A filling is applied to as many pieces as it fits at once.
+histogram: a best-fit plan comes first, each filling applied to as many pieces as it fits at once.
+While it is above the bound, its worst-filled sequences are packed anew by a
+depth-first search over undominated fillings around the largest remaining length, which
+prunes by the bound of what is left.  The search is bounded by a number of nodes; a gap
+that it leaves is logged.
 The result, a short list of patterns with how often each is used, goes to the
 executors, where each piece finds its place from its rank among the pieces of
 its length.  Ranks come from salted groups, so a length that a third of all
@@ -14,9 +15,11 @@ pieces share is not one task.
 
 from __future__ import annotations
 
+import logging
 import sys
 import zlib
 from array import array
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -27,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import sliced, written
 from .token_counts import char_batches, compiled, words_of
 
+_LOG = logging.getLogger(__name__)
+
 CAPACITY = 2048
 SEPARATOR = 0
 KEPT_WORDS = 200_000
-#: Bounds of the search: fillings looked at for one sequence, alternatives kept, nodes of the backtracking.
-FILL_NODES, KEPT_FILLINGS, SEARCH_NODES = 4000, 3, 2000
-#: Items of one filling that are chosen by search; further ones are taken from the largest.
-DEEP = 16
+#: Bounds of the search, whatever the number of patterns: fillings looked at for one sequence, steps to decide that one filling dominates another, fillings looked at in all, parts of them for one set of sequences taken back.
+FILL_NODES, DEAL_NODES, SEARCH_NODES, WINDOWS = 4000, 200, 400_000, 10
 #: Pieces of one length that one salted group holds on average, at most.
 GROUP_ROWS = 100_000
 
@@ -111,96 +114,216 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int]) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first: of two, one whose items each fit into items of the other is dominated, so larger items are tried first and an exact fill ends the search."""
-    best: list[tuple[int, int, tuple[int, ...]]] = []
-    nodes = [FILL_NODES]
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the items of b can be dealt into the items of a, each group no larger than its item: then b can give way to a at no loss.
+
+    Both from the largest.  False as well where DEAL_NODES don't decide it, so that both stay.
+    """
+    if sum(b) > sum(a) or (b and (not a or b[0] > a[0])):
+        return False
+    room, nodes = list(a), [DEAL_NODES]
+
+    def deal(i: int) -> bool:
+        if i == len(b):
+            return True
+        tried = set()
+        for j, left in enumerate(room):
+            if left >= b[i] and left not in tried:
+                tried.add(left)
+                nodes[0] -= 1
+                if nodes[0] < 0:
+                    return False
+                room[j] -= b[i]
+                if deal(i + 1):
+                    return True
+                room[j] += b[i]
+        return False
+
+    return deal(0)
+
 
-    def note(left: int, items: tuple[int, ...]) -> bool:
-        if not any(left >= w and len(items) >= n for w, n, _ in best):
-            best.append((left, len(items), items))
-            best.sort(key=lambda b: b[:2])
-            del best[KEPT_FILLINGS:]
-        return left == 0
+def fillings(room: int, lengths: list[int], counts: dict[int, int], nodes: int = FILL_NODES, every: bool = False) -> tuple[list[tuple[int, ...]], int, bool]:
+    """Undominated fillings of `room`, least waste first; the nodes looked at; whether those are all.
+
+    lengths fall; larger items are tried first.  Unless `every`, an exact filling ends the search.
+    """
+    found: list[tuple[int, tuple[int, ...]]] = []
+    looked, falling = [0], [-x for x in lengths]
 
     def grow(left: int, begin: int, items: tuple[int, ...]) -> bool:
-        """lengths[begin:] may follow; True ends the search."""
-        if len(items) >= DEEP:  # many small ones: the rest is filled from the largest
-            for x in lengths[begin:]:
-                n = min(left // x, counts[x] - items.count(x))
-                left, items = left - n * x, items + (x,) * n
-            return note(left, items) or True
+        """lengths[begin:] may follow, each distinct length once with all its copies; True ends the search."""
         closed = True
-        for i in range(begin, len(lengths)):
+        for i in range(bisect_left(falling, -left, begin), len(lengths)):
             x = lengths[i]
-            if x > left or items.count(x) >= counts[x]:
-                continue
-            closed = False
-            nodes[0] -= 1
-            if nodes[0] < 0:
-                return True
-            if x == left:
-                return note(0, (*items, x))
-            rest = left - x
-            if counts.get(rest, 0) > (*items, x).count(rest) and rest <= x:
-                return note(0, (*items, x, rest))
-            if grow(rest, i, (*items, x)):
-                return True
+            for n in range(min(left // x, counts[x]), 0, -1):
+                closed = False
+                looked[0] += 1
+                if looked[0] > nodes:
+                    return True
+                rest, more = left - n * x, items + (x,) * n
+                if rest == 0:
+                    found.append((0, more))
+                    if not every:
+                        return True
+                elif not every and rest < x and counts.get(rest, 0):
+                    found.append((0, (*more, rest)))
+                    return True
+                elif grow(rest, i + 1, more):
+                    return True
         if closed:
-            note(left, items)
+            found.append((left, items))
         return False
 
     grow(room, 0, ())
-    if not best or best[0][0]:  # the nodes ran out: largest first
+    whole = looked[0] <= nodes
+    if not whole and (not found or min(found)[0]):  # the nodes ran out: largest first
         left, items = room, ()
         for x in lengths:
             n = min(left // x, counts[x])
             left, items = left - n * x, items + (x,) * n
-        note(left, items)
-    return [b[2] for b in best]
+        found.append((left, items))
+    found.sort(key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
+    if not every:
+        return [found[0][1]], looked[0], whole
+    best: list[tuple[int, ...]] = []
+    for _, items in found:
+        if not any(dominates(b, items) for b in best):
+            best.append(items)
+    return best, looked[0], whole
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences needed at least (L2 of Martello and Toth): for each k the items above capacity - k stand alone, those above half never share, and what is k or longer fills the room left by them."""
+    x = np.array(sorted(histogram), np.int64)
+    n = np.array([histogram[i] for i in x.tolist()], np.int64)
+    count, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * x)])
+    half = np.searchsorted(2 * x, capacity, side="right")
+    k = np.concatenate([[0], x[:half]])
+    alone, begin = np.searchsorted(x, capacity - k, side="right"), np.searchsorted(x, k)
+    middle, left = count[alone] - count[half], volume[half] - volume[begin]
+    over = left - (middle * capacity - (volume[alone] - volume[half]))
+    return int((count[-1] - count[half] + np.maximum(0, -(-over // capacity))).max())
+
+
+def greedy(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit plan: the largest item with the filling of least waste, as often as it can be had."""
+    counts, out = dict(histogram), []
+    lengths = sorted(counts, reverse=True)
+    while lengths:
+        largest = lengths[0]
+        counts[largest] -= 1
+        pattern = (largest, *fillings(capacity - largest, lengths, counts)[0][0])
+        counts[largest] += 1
+        out.append((pattern, taken(counts, pattern)))
+        lengths = [x for x in lengths if counts[x]]
+    return out
 
 
-def complete(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths from the largest) and how often each is used, together all items of the histogram."""
-    total = sum(x * n for x, n in histogram.items())
-    # bound: the volume, or the items above half the capacity, which never share
-    bound = max(-(-total // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
-
-    def run(choices: dict[int, int], limit: int | None):
-        """Best-fit solution, but with filling number choices[step] at some steps; None once its waste passes the limit."""
-        counts, out, used, waste, step = dict(histogram), [], 0, 0, 0
-        lengths = sorted(counts, reverse=True)
-        while lengths:
-            largest = lengths[0]
-            counts[largest] -= 1
-            options = fillings(capacity - largest, lengths, counts)
-            counts[largest] += 1
-            pick = options[min(choices.get(step, 0), len(options) - 1)]
-            pattern = (largest, *pick)
-            need = {x: pattern.count(x) for x in pattern}
-            times = min(counts[x] // n for x, n in need.items())
-            for x, n in need.items():
-                counts[x] -= n * times
-            out.append((pattern, times))
-            used += times
-            waste += times * (capacity - sum(pattern))
-            lengths = [x for x in lengths if counts[x]]
-            # the last sequence's waste can't be helped
-            if limit is not None and lengths and waste > limit * capacity - total:
-                return None, used
-            step += 1
-        return out, used
-
-    best, used = run({}, None)
-    nodes, depth = SEARCH_NODES // max(1, len(best)), 0
-    while used > bound and depth < min(len(best), nodes):
-        step = len(best) - 1 - depth
-        for choice in range(1, KEPT_FILLINGS):
-            other, n = run({max(step, 0): choice}, used - 1)
-            if other is not None and n < used:
-                best, used, depth = other, n, -1
+def taken(counts: dict[int, int], pattern: tuple[int, ...], times: int | None = None) -> int:
+    """Takes a pattern out of counts, as often as it can be had or `times`; how often."""
+    need = {x: pattern.count(x) for x in pattern}
+    times = min(counts[x] // n for x, n in need.items()) if times is None else times
+    for x, n in need.items():
+        counts[x] -= n * times
+    return times
+
+
+def search(histogram: dict[int, int], capacity: int, most: int, nodes: int) -> tuple[list[tuple[tuple[int, ...], int]] | None, int, bool]:
+    """A plan of at most `most` sequences or None, by depth-first bin completion; the nodes looked at; whether None is proven.
+
+    Each step takes the largest item left with each of its undominated fillings,
+    as often as they can be had and then once, and goes back where the bound of what is left
+    passes `most` or the same rest has failed before.
+    """
+    counts, path, used, looked, whole = dict(histogram), [], 0, 0, True
+    failed: dict[tuple, int] = {}
+    stack: list = []
+
+    def children(nodes: int):
+        nonlocal looked, whole
+        lengths = sorted((x for x in counts if counts[x]), reverse=True)
+        largest = lengths[0]
+        counts[largest] -= 1
+        options, n, complete_ = fillings(capacity - largest, lengths, counts, min(nodes, FILL_NODES), True)
+        counts[largest] += 1
+        looked += n + 1
+        whole = whole and complete_
+        out = []
+        for o in options:
+            pattern = (largest, *o)
+            many = min(counts[x] // pattern.count(x) for x in set(pattern))
+            out += [(pattern, many)] + [(pattern, 1)] * (many > 1)
+        return iter(out)
+
+    while True:
+        rest = {x: n for x, n in counts.items() if n}
+        if not rest:
+            return path, looked, whole
+        key = tuple(sorted(rest.items()))
+        if used + lower_bound(rest, capacity) <= most and used < failed.get(key, most + 1):
+            failed[key] = used  # holds once this branch has been left
+            stack.append(children(nodes - looked))
+        elif path:
+            pattern, times = path.pop()
+            taken(counts, pattern, -times)
+            used -= times
+        while stack:
+            if looked >= nodes:
+                return None, looked, False
+            step = next(stack[-1], None)
+            if step is not None:
+                taken(counts, *step)
+                path.append(step)
+                used += step[1]
                 break
-        depth += 1
+            stack.pop()
+            if path:
+                pattern, times = path.pop()
+                taken(counts, pattern, -times)
+                used -= times
+        if not stack:
+            return None, looked, whole
+
+
+def complete(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths from the largest) and how often each is used, together all items of the histogram.
+
+    While the plan is above the bound, its worst-filled sequences are taken back and
+    packed anew by search, ever more of them up to all; what saves a sequence is kept.
+    """
+    histogram = {x: n for x, n in histogram.items() if n}
+    if not histogram:
+        return []
+    best, bound = greedy(histogram, capacity), lower_bound(histogram, capacity)
+    used = sum(n for _, n in best)
+    nodes, window = SEARCH_NODES, 0
+    while used > bound and nodes > 0:
+        # one sequence each, the emptiest first; less than a sequence of waste can't save one
+        best.sort(key=lambda p: sum(p[0]))
+        back, kept, waste, many = {}, [], 0, 0
+        for pattern, times in best:
+            n = times
+            if waste >= capacity:
+                n = min(times, max(0, window - many))
+            elif sum(pattern) < capacity:
+                n = min(times, max(window - many, -(-(capacity - waste) // (capacity - sum(pattern)))))
+            for x in pattern if n else ():
+                back[x] = back.get(x, 0) + n
+            if times > n:
+                kept.append((pattern, times - n))
+            waste, many = waste + n * (capacity - sum(pattern)), many + n
+        if waste < capacity:
+            break
+        other, looked, proven = search(back, capacity, many - 1, min(nodes, SEARCH_NODES // WINDOWS))
+        nodes -= max(1, looked)
+        if other is not None:
+            best, used = kept + other, used - many + sum(n for _, n in other)
+        elif not kept:
+            break  # nothing more can be taken back
+        else:
+            window = 2 * many
+    if used > bound:
+        _LOG.warning("packing uses %d sequences of %d, at least %d are needed", used, capacity, bound)
     return best
 
 

@@ -110,6 +110,22 @@ def test_completion_equals_brute_force_on_small_cases():
         assert sum(t for _, t in plan) == least(tuple(sorted(items, reverse=True)))
 
 
+def test_completion_goes_back_on_hard_cases():
+    rng = random.Random(1)
+    items = [rng.randint(20, 100) for _ in range(120)]
+    histogram = {x: items.count(x) for x in items}
+    plan = packing.complete(histogram, 150)
+    assert sum(t for _, t in plan) == packing.lower_bound(histogram, 150) == 51
+    assert all(sum(p) <= 150 for p, _ in plan)
+    assert {x: sum(t * p.count(x) for p, t in plan) for x in histogram} == histogram
+
+
+def test_dominance_needs_items_that_fit_into_items():
+    # fewer items and less waste, but 5 fits into none of the fours
+    assert not packing.dominates((4, 4), (5, 1))
+    assert packing.dominates((7, 3), (4, 3, 3)) and packing.dominates((3,), ()) and not packing.dominates((), (1,))
+
+
 # --- TIFF
 
 
