@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select option".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+QUIET = frozenset("noscript template svg math select optgroup option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source".split())
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table td th tr ul".split())
 CLOSES_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -32,11 +33,34 @@ AGAINST = frozenset("nav navbar navigation menu header masthead footer sidebar s
 FOR = frozenset("article content main post entry body story text maincontent articlebody prose page".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+def _inside(quiet: list[str], name: str, m: re.Match, outer: list[str]) -> bool:
+    """Whether a tag belongs to the open quiet elements, which it changes; they end where it can't, unless they are a template."""
+    first = quiet[0]
+    if m[1]:
+        if name in quiet:
+            del quiet[len(quiet) - 1 - quiet[::-1].index(name) :]
+            return True
+        if "template" in quiet or not (name in outer or (name in INLINE and first != "noscript")):
+            return True
+        quiet.clear()
+        return False
+    if name in CLOSES_P and first not in ("template", "noscript") and not {"template", "foreignobject", "desc"} & set(quiet):
+        if first not in ("select", "optgroup", "option") or name != "hr":
+            quiet.clear()
+            return False
+    if name in ("option", "optgroup") and quiet[-1] == "option":
+        quiet.pop()
+    if name not in VOID and name not in RAW and not m[3].endswith("/"):
+        quiet.append(name)
+    return True
+
+
 class Page:
     """Block elements in page order: parent, tag, words of its attributes, its own text pieces."""
 
@@ -47,10 +71,10 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, at, links, raw = [0], 0, 0, None
-        head, size = False, len(source)
+        stack, at, links, size = [0], 0, 0, len(source)
         current: list[str] | None = None
-        lower = None
+        # the open elements from the outermost whose text is never content; they are no nodes
+        quiet: list[str] = []
         while at < size:
             m = _TOKEN.match(source, at)
             if m is None:
@@ -61,7 +85,7 @@ class Page:
             if name is None:
                 text = m[0]
                 if text[0] != "<" or len(text) == 1:
-                    if not head and text:
+                    if not quiet:
                         node = stack[-1]
                         if current is None:
                             current = []
@@ -73,11 +97,11 @@ class Page:
                             self.linked[node] += n
                 continue
             name = name.lower()
+            if quiet and _inside(quiet, name, m, [self.tag[i] for i in stack[1:]] if m[1] else []) and name not in RAW:
+                continue
             if m[1]:
                 if name == "a":
                     links = max(0, links - 1)
-                elif name == "head":
-                    head = False
                 elif name not in INLINE and name not in VOID:
                     for i in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[i]] == name:
@@ -86,15 +110,16 @@ class Page:
                             break
                 continue
             if name in RAW:
-                if not m[3].endswith("/") or name in ("script", "style", "textarea", "title"):
-                    if lower is None:
-                        lower = source.lower()
-                    end = lower.find(f"</{name}", at)
-                    close = source.find(">", end) if end >= 0 else -1
-                    at = close + 1 if close >= 0 else size
+                closed = m[3].endswith("/") and (name not in ("script", "style", "textarea", "title") or (quiet and quiet[0] in ("svg", "math")))
+                if not closed:
+                    end = _RAW_END[name].search(source, at)
+                    at = end.end() if end else size
                 continue
-            if name == "head":
-                head = True
+            if name in QUIET:
+                if not m[3].endswith("/"):
+                    quiet = [name]
+            elif name == "head":
+                pass
             elif name == "a":
                 links += 1
             elif name == "br" or name == "hr":
@@ -103,8 +128,6 @@ class Page:
             elif name in INLINE or name in VOID:
                 pass
             else:
-                if name == "body":
-                    head = False
                 current, links = None, 0
                 if name in CLOSES_P and self.tag[stack[-1]] == "p":
                     stack.pop()

@@ -234,6 +234,34 @@ def test_main_text(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+ARTICLE = "<article><p>Body text of the post, with some more words in it.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<datalist><option value=a></datalist>",
+        "<datalist><option value=a>A<option value=b>B</datalist>",
+        "<select><option>A<option>B",
+        "<select><optgroup label=x><option>A</select>",
+        "<svg><g><title/><path d=x></svg>",
+        "<svg><path d=x>",
+        "<math><mi>x</mi>",
+        "<div><noscript>no script</div>",
+        "<div><option>x</div>",
+        "<template><div></article></div></template>",
+        "\u0130" * 12 + "<svg></svg><script>x</script>",
+        "<head><meta name=x>",
+        "<script>'</scripts>'</SCRIPT >",
+    ],
+)
+def test_no_text_is_lost_behind_other_elements(before):
+    for source in (before + ARTICLE, before + ARTICLE + "<footer>a > b</footer>"):
+        page = html_extract.Page(source)
+        text = page.text(np.ones(len(page.tag), bool))
+        assert text.replace("\u0130" * 12, "").strip().startswith("Body text of the post, with some more words in it."), text
+
+
 def test_messages_equal_enumeration():
     rng = np.random.default_rng(3)
     parent, unary, pair = [-1, 0, 0, 1, 1, 3], rng.normal(size=(6, 2)), rng.normal(size=(2, 2))
