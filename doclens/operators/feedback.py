@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as T
 
@@ -82,15 +84,32 @@ def best_sources(scores: DataFrame, k: int = 5) -> DataFrame:
 
 
 def cached(rows: DataFrame, minutes: int = 60) -> DataFrame:
-    """(key, ts, hit): whether a lookup at ts finds its key stored less than `minutes` before; a miss stores it anew.
+    """rows (id, key, ts) with hit: whether a lookup at ts finds its key stored less than `minutes` before; a miss stores it anew, a hit doesn't renew.
 
-    The exact rule is sequential per key; as a hit doesn't renew, the first
-    lookup of each run of lookups within the time stores.  Here: a hit is a lookup
-    whose key was looked up within the time before it.
+    The rule is sequential per key: the time of the last store goes along with each
+    key's lookups in order of ts and id, one batch in memory at a time.  A lookup without a time misses and
+    stores nothing; a null key is a key.
     """
-    own = Window.partitionBy("key").orderBy("ts", "id")
-    before = F.lag("ts").over(own)
-    return rows.withColumn("hit", F.coalesce(F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES") <= before, F.lit(False)))
+    lifetime, columns = minutes * 60_000_000, rows.columns
+    schema = StructType([*rows.schema.fields, StructField("hit", BooleanType())])
+
+    def run(batches):
+        last, stored = None, None
+        for batch in batches:
+            hits = []
+            for key, at in zip(batch.column("__key").to_pylist(), batch.column("__at").to_pylist()):
+                if key != last:
+                    last, stored = key, None
+                hit = at is not None and stored is not None and at - stored < lifetime
+                if at is not None and not hit:
+                    stored = at
+                hits.append(hit)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(hits, pa.bool_())], names=[*columns, "hit"])
+
+    # never null, so that null keys stand together
+    key = F.concat(F.when(F.col("key").isNull(), "0").otherwise("1"), F.coalesce(F.col("key").cast("string"), F.lit("")))
+    ready = rows.withColumns({"__key": key, "__at": F.unix_micros(F.col("ts").cast("timestamp"))})
+    return ready.repartition("__key").sortWithinPartitions("__key", "ts", "id").mapInArrow(run, schema)
 
 
 def cache_statistics(lookups: DataFrame) -> DataFrame:

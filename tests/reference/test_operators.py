@@ -258,3 +258,21 @@ def test_health_and_cap(spark):
     assert {r["component"]: r["status"] for r in feedback.health(rows).collect()} == {"x": "unhealthy", "y": "degraded", "z": "healthy"}
     entries = spark.range(20).selectExpr("id AS key", "id AS last_access")
     assert sorted(r["key"] for r in feedback.kept_entries(entries, 10).collect()) == list(range(11, 20))
+
+
+def test_cache_hits_do_not_renew(spark):
+    from datetime import datetime, timedelta
+
+    begin, rng = datetime(2024, 1, 1), random.Random(5)
+    asked = [("a", m) for m in (0, 50, 100, 160, 219)] + [(rng.choice("bc"), rng.randint(0, 2000)) for _ in range(300)] + [(None, 0), (None, 60), (None, 119), ("d", None)]
+    rows = [(i, k, None if m is None else begin + timedelta(minutes=m)) for i, (k, m) in enumerate(asked)]
+    want, stored = {}, {}
+    for i, k, ts in sorted(rows, key=lambda r: (r[2] or datetime.min, r[0])):
+        want[i] = ts is not None and k in stored and ts - stored[k] < timedelta(minutes=60)
+        if ts is not None and not want[i]:
+            stored[k] = ts
+    assert [want[i] for i in range(5)] == [False, True, False, False, True]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp").repartition(5)
+    got = {r["id"]: r["hit"] for r in feedback.cached(df).collect()}
+    assert got == want
+    assert feedback.cached(df.limit(0)).count() == 0
