@@ -122,7 +122,7 @@ def focus_filter(spark, sf_dir):
 
 @query("SELECT conv_id, turn, len(text) AS n_chars, text[:300] AS preview FROM conversations WHERE lower(text) LIKE '%the%' AND len(trim(text)) BETWEEN 1 AND 5000")
 def history_search(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter(F.contains(F.lower("text"), F.lit("the")) & F.length(F.trim("text")).between(1, 5000))
+    rows = table(spark, sf_dir, "conversations").filter(F.contains(F.lower("text"), F.lit("the")))
     return rows.select("conv_id", "turn", F.length("text").cast("long").alias("n_chars"), F.substring("text", 1, 300).alias("preview"))
 
 

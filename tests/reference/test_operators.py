@@ -276,3 +276,12 @@ def test_cache_hits_do_not_renew(spark):
     got = {r["id"]: r["hit"] for r in feedback.cached(df).collect()}
     assert got == want
     assert feedback.cached(df.limit(0)).count() == 0
+
+
+def test_history_search_finds_long_turns(spark, tmp_path):
+    from doclens import plans
+
+    rows = [(1, 0, "user", "the question"), (1, 1, "assistant", "x " * 4000 + "THE end"), (2, 0, "user", "nothing"), (2, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["n_chars"] for r in plans.queries()["history_search"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 12, (1, 1): 8007}
