@@ -21,24 +21,32 @@ again among themselves by their exact counts, over all their shingles.
 Short lists are scanned pair by pair.  Long lists are not: each round compares
 the members with one pivot of the list, and lists whose members have come
 together in one component are done.  What is left after the rounds is scanned
-in full.  Every candidate is verified on whole sets.
+in full, cut by classes of size, of which only neighbours meet, and with one side
+of each class dealt out over as many tasks as the list is long.  Every candidate is
+verified on the whole sets of its shingles' 63-bit hashes; what could tell two
+shingles of one hash apart is not read again.
+
+Each table is dropped once what was made of it is stored.
 """
 
 from __future__ import annotations
 
+import logging
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import Steps, sliced
 from .graph import components
 from .shingles import in_batches, mix, shingle_sets
 from .suffix_dedup import _bitmap, _in_bitmap
 
+_LOG = logging.getLogger(__name__)
+
 SHINGLE = 4
 NUM, DEN = 85, 100
 #: Shingles that the listed parts of two linked sets have in common at least.
@@ -47,11 +55,13 @@ MATCHES = 3
 SHORT_LIST = 16
 #: Frequent shingles that are sent to the executors, at most (2 MB); the threshold rises until they fit.
 FREQUENT = 1 << 18
-#: Sets above this size are never on the light side.
-LARGEST_SMALL = 16
+#: Sets above this size are never on the light side: such a set has more subsets than entries in short lists (one of 33 shingles 528 against 112), so cost never picks a larger boundary.
+LARGEST_SMALL = 32
 ROUNDS = 6
 #: Pairs left in the long lists at which the rounds end early.
 RESIDUAL = 100_000
+#: Entries of a list that one part of the full scan takes against the whole list.
+DEALT = 512
 
 
 def overlap_needed(n: int, m: int, num: int = NUM, den: int = DEN) -> int:
@@ -101,7 +111,7 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 def _region(n: int, num: int, den: int) -> int:
     """Shingles of least hash that are kept of a set at first: enough to fill the listed part though some are frequent."""
     p = listed(n, num, den)
-    return n if n <= 2 * LARGEST_SMALL else min(n, p + p // 2 + 8)
+    return n if n <= LARGEST_SMALL else min(n, p + p // 2 + 8)
 
 
 def _reachable(n: Column, pos_n: Column, m: Column, pos_m: Column, num: int, den: int) -> Column:
@@ -133,24 +143,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             prints = [_fingerprint(s) for s in sets]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "h1": [p[0] for p in prints], "h2": [p[1] for p in prints], "first": pd.Series([s[: _region(len(s), num, den)].copy() for s in sets], dtype=object)})
 
-    sketches = written(rows.mapInPandas(sketch, "doc_id long, n int, h1 long, h2 long, first array<bigint>").withColumn("rid", F.monotonically_increasing_id()))
-    held = sketches.filter("n > 0").select("rid", "doc_id", "n", "h1", "h2")
-    classes = written(held.groupBy("n", "h1", "h2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("low")))
+    spark = docs.sparkSession
+    steps = Steps(spark)
+    sketches = steps.written(rows.mapInPandas(sketch, "doc_id long, n int, h1 long, h2 long, first array<bigint>").withColumn("rid", F.monotonically_increasing_id()))
+    ids = steps.written(sketches.select("rid", "doc_id", "n", "h1", "h2"))
+    classes = steps.written(ids.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("rid").alias("cls"), F.min("doc_id").alias("low")))
     reps = sketches.select("rid", "first").join(classes.select("cls", "n", "h1", "h2"), F.col("rid") == F.col("cls")).select("cls", "n", "first")
-    reps = written(reps.filter(_has_partners("n", num, den)))
+    reps = steps.written(reps.filter(_has_partners("n", num, den)))
+    steps.drop(sketches)
 
     # How often a shingle stands among those kept of a set; only what repeats is kept.
-    repeated = written(reps.select(F.explode("first").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    repeated = steps.written(reps.select(F.explode("first").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
     sizes = {r["n"]: r["k"] for r in reps.filter(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     totals = reps.agg(F.sum(F.size("first")).alias("entries")).first()
     spread = {r["log"]: (r["shingles"], r["scanned"]) for r in repeated.groupBy(F.floor(F.log2("k")).cast("int").alias("log")).agg(F.count(F.lit(1)).alias("shingles"), F.sum(F.least("k", F.lit(SHORT_LIST)) * F.col("k")).alias("scanned")).collect()}
     scanned = sum(s for _, s in spread.values()) + (totals["entries"] or 0)
     limit = boundary(sizes, scanned / max(1, totals["entries"] or 0), num, den)
+    _LOG.info("sets of up to %d shingles are joined by subsets, larger ones by lists", limit)
     level = SHORT_LIST
     while sum(c for log, (c, _) in spread.items() if 2**log >= level) > FREQUENT:
         level *= 2
     frequent = np.sort(repeated.filter(F.col("k") >= level).select("t").toPandas()["t"].to_numpy(np.int64))
-    spark = docs.sparkSession
+    steps.drop(repeated)
     shared = spark.sparkContext.broadcast(frequent)
 
     def parts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +202,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pd.DataFrame({"kind": np.concatenate(kinds), "t": np.concatenate(keys), "cls": np.concatenate(ids), "n": np.concatenate(ns), "pos": np.concatenate(places), "central": 0})
 
     entry = "kind int, t long, cls long, n int, pos int, central long"
-    emitted = written(reps.mapInPandas(listing, entry))
-    again = written(emitted.filter("kind = 0").select("cls", "n"))
+    emitted = steps.written(reps.mapInPandas(listing, entry))
+    steps.drop(reps)
+    again = emitted.filter("kind = 0").select("cls", "n")
 
     # Whole sets of some classes, read from the texts; a bitmap keeps other rows out early.
     by_class = classes.select("cls", "n", "h1", "h2", "low")
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
-        named = written(wanted.join(by_class, "cls"))
+        named = steps.written(wanted.join(by_class, "cls"))
         bits = spark.sparkContext.broadcast(_bitmap(named, ["low"], lambda pdf: _id_key(pdf["low"])))
 
         def read(batches):
@@ -211,7 +226,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return found.join(named, (found["n"] == named["n"]) & (found["h1"] == named["h1"]) & (found["h2"] == named["h2"]) & found["low"].eqNullSafe(named["low"])).select("cls", named["n"], "s")
 
     # The sets that are ordered again: by exact counts among themselves, shingles that stand alone first.
-    sat = written(whole_sets(again.select("cls")).dropDuplicates(["cls"]))
+    sat = steps.written(whole_sets(again.select("cls")).dropDuplicates(["cls"]))
     entries = sat.select("cls", "n", F.explode("s").alias("t"))
     counts = entries.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared_only = entries.join(counts, "t").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("kt"))
@@ -232,13 +247,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"kind": 1, "t": np.concatenate(out) if out else np.zeros(0, np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), [len(o) for o in out]), "n": np.repeat(pdf["n"].to_numpy(), [len(o) for o in out]), "pos": np.concatenate([np.arange(len(o)) for o in out]) if out else np.zeros(0, np.int64), "central": 0})
 
     late = sat.mapInPandas(first_order, entry)
-    every = emitted.filter("kind > 0").withColumn("new", F.lit(0)).unionByName(late.withColumn("new", F.lit(1))).unionByName(kept.withColumn("new", F.lit(0)))
+    late = steps.written(late.withColumn("new", F.lit(1)).unionByName(kept.withColumn("new", F.lit(0))))
+    steps.drop(sat)
+    every = emitted.filter("kind > 0").withColumn("new", F.lit(0)).unionByName(late)
     # lists of kind 1 that hold only sets ordered again are left to kind 2
-    every = written(every)
     lists = every.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("k"), F.min("new").alias("new")).filter("k > 1 AND new = 0").select("kind", "t", "k")
-    lists = written(every.drop("new").join(lists, ["kind", "t"]))
+    lists = steps.written(every.drop("new").join(lists, ["kind", "t"]).withColumn("long", F.col("k") > SHORT_LIST), by="long")
+    steps.drop(emitted, late)
 
-    short, long = lists.filter(F.col("k") <= SHORT_LIST), lists.filter(F.col("k") > SHORT_LIST)
+    short, long = lists.filter("NOT long"), lists.filter("long").select("kind", "t", "cls", "n", "pos", "central")
     in_long = long.groupBy("kind", "cls").agg(F.count(F.lit(1)).alias("more"))
     short = short.join(in_long, ["kind", "cls"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
     a = short.select("kind", "t", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("more").alias("ma"), F.col("pos").alias("pa"))
@@ -248,9 +265,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # without long lists in common the first shingle in common is the first one here
     first = (F.least("ma", "mb") > 0) | _reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)
     met = met.filter((F.col("kind") == 3) | ((F.col("k") + F.least("ma", "mb") >= MATCHES) & first))
-    pairs = written(met.groupBy("a", "b").agg(F.max("k").alias("k")))
-    long = written(long.select("kind", "t", "cls", "n", "pos", "central"))
-    return _verified(sketches, classes, pairs, long, whole_sets, num, den)
+    pairs = steps.written(met.groupBy("a", "b").agg(F.max("k").alias("k")))
+    found = _verified(pairs, long, whole_sets, steps, num, den)
+    label = components(found, steps)
+    degree = found.select(F.col("a").alias("cls")).union(found.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    # classes that link with nothing are their own component
+    named = steps.written(named.join(lows, "label").join(degree, "cls", "left").select("n", "h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    steps.drop_all_but(ids, named)
+    out = ids.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _id_key(ids) -> np.ndarray:
@@ -262,10 +287,10 @@ def _has_partners(n: str, num: int, den: int) -> Column:
     return F.floor(F.col(n) * den / num) > F.ceil(F.col(n) * num / den)
 
 
-def _verified(sketches, classes, pairs, long, whole_sets, num, den) -> DataFrame:
-    """Components from candidate pairs and long lists: rounds against pivots, then whatever is left between components."""
+def _verified(pairs: DataFrame, long: DataFrame, whole_sets, steps: Steps, num: int, den: int) -> DataFrame:
+    """Links (a, b) that keep the components together, of candidate pairs and long lists: rounds against pivots, then whatever is left between components."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long.select("cls")).distinct()
-    sets = written(whole_sets(wanted).dropDuplicates(["cls"]))
+    sets = steps.written(whole_sets(wanted).dropDuplicates(["cls"]))
 
     def links(candidates: DataFrame) -> DataFrame:
         """Those of (a, b) that link."""
@@ -278,9 +303,7 @@ def _verified(sketches, classes, pairs, long, whole_sets, num, den) -> DataFrame
     # first, each set against the candidate it shares most with
     tried = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
     found, done, label = None, None, None
-    for round_ in range(ROUNDS + 1):
-        if round_ == ROUNDS:
-            break
+    for round_ in range(ROUNDS):
         members = long if label is None else long.join(label, long["cls"] == label["node"], "left").select("kind", "t", "cls", "n", "pos", "central", F.coalesce("label", "cls").alias("comp"))
         members = members.withColumn("comp", F.col("cls")) if label is None else members
         # the pivot is the most central member, in later rounds any of the central ones: what links to any member mostly links to it
@@ -289,36 +312,45 @@ def _verified(sketches, classes, pairs, long, whole_sets, num, den) -> DataFrame
         whole = members.groupBy("kind", "t").agg(F.min(central).alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
         against = members.join(whole.select("kind", "t", "pivot"), ["kind", "t"]).filter((F.col("comp") != F.col("pivot.comp")) & _compatible(F.col("n"), F.col("pivot.n"), num, den) & _reachable(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den)).select(*ordered(F.col("cls"), F.col("pivot.cls"))).distinct()
         new = against if round_ else against.union(tried).distinct()
-        new = written(new.join(done, ["a", "b"], "left_anti") if done is not None else new)
+        new = steps.written(new.join(done, ["a", "b"], "left_anti") if done is not None else new)
         if round_ and not new.limit(1).count():
             break
-        fresh = written(links(new))
+        fresh = steps.written(links(new))
         done = new if done is None else done.union(new)
         found = fresh if found is None else found.union(fresh)
-        label = components(found)
+        if label is not None:
+            steps.drop(label)
+        label = components(found, steps)
         if round_ and not _left(long, label, RESIDUAL, num, den):
             break
     # whatever lies between components and wasn't tried: the rest of the pairs, and the rest of the long lists
-    comp = label
-    open_ = long.join(comp, long["cls"] == comp["node"], "left").select("kind", "t", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp"))
+    rest = _scanned(long, label, num, den)
+    apart = pairs.select("a", "b").join(label.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b", "left")
+    apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    last = steps.written(rest.union(apart).distinct().join(done, ["a", "b"], "left_anti"))
+    return steps.written(found.union(links(last)).distinct())
+
+
+def _scanned(long: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the long lists that lie in two components and can link.
+
+    Sizes fall into classes a factor den / num apart, so partners stand in one class
+    or in neighbouring ones; in each class one side is dealt out over as many
+    parts as DEALT goes into it, and the other side meets every part.
+    """
+    open_ = long.join(label, long["cls"] == label["node"], "left").select("kind", "t", "cls", "n", "pos", F.coalesce("label", "cls").alias("comp"))
     # an entry that is reachable for no partner, not even the smallest, pairs with nothing
     open_ = open_.filter(_reachable(F.col("n"), F.col("pos"), F.ceil(F.col("n") * num / den).cast("int"), F.lit(0), num, den))
+    # a little wider than den / num, so that rounding parts no partners
+    open_ = open_.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / (log(den / num) * 1.001)).cast("int"))
     mixed = open_.groupBy("kind", "t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("kind", "t")
-    open_ = open_.join(mixed, ["kind", "t"])
-    x = open_.select("kind", "t", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = open_.select("kind", "t", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    rest = x.join(y, ["kind", "t"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _compatible(F.col("na"), F.col("nb"), num, den) & _reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)).select("a", "b")
-    apart = pairs.select("a", "b").join(comp.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b", "left")
-    apart = apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    last = written(rest.union(apart).distinct().join(done, ["a", "b"], "left_anti"))
-    found = written(found.union(links(last)).distinct())
-    label = components(found)
-    degree = found.select(F.col("a").alias("cls")).union(found.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.select("cls", "n", "h1", "h2", "low").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "label").join(degree, "cls", "left").select("n", "h1", "h2", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sketches.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counts = open_.join(mixed, ["kind", "t"]).groupBy("kind", "t", "size").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
+    x = open_.join(counts, ["kind", "t", "size"]).select("kind", "t", "size", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size")
+    y = open_.select("kind", "t", near, F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    y = y.join(counts, ["kind", "t", "size"]).select("kind", "t", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b", "nb", "pb", "cb")
+    met = x.join(y, ["kind", "t", "size", "part"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    return met.filter(_compatible(F.col("na"), F.col("nb"), num, den) & _reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)).select("a", "b")
 
 
 def _left(long: DataFrame, label: DataFrame, most: int, num: int, den: int) -> bool:
