@@ -179,12 +179,29 @@ def test_top_k_equals_brute_force(spark):
     data = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(900, [float("nan")] * 6), (901, None), (902, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6), (903, [1.0, 2.0]), (904, [3.0, 1.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     asked = df.filter("vec_id % 10 = 0 OR vec_id = 904")
-    got = sorted(tuple(r) for r in topk.top_k(df, asked, 5, block_rows=40, query_rows=16).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, asked, 5, block_rows=40, strip_queries=16).collect())
     ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     assert got == brute_top(ints, [(i, v) for i, v in ints if i % 10 == 0 or i == 904], 5)
     assert topk.top_k(df.limit(0), asked, 5).count() == 0 and topk.top_k(df, asked.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("fall,share", [(0.6, 0.35), (0.0, 1.0)])
+def test_threshold_saves_scored_rows(fall, share):
+    rng = np.random.default_rng(4)
+    vectors = np.floor(256 * rng.normal(size=(6000, 16)) * np.exp(-fall * np.arange(16))).astype(np.int64)
+    ids, asked = np.arange(6000), np.arange(0, 6000, 50)
+    best = topk.Best(asked, vectors[asked], 5)
+    for begin in range(0, 6000, 1000):
+        best.search(ids[begin : begin + 1000], vectors[begin : begin + 1000])
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -(1 << 60)
+    for i in range(len(asked)):
+        order = np.lexsort((ids, -scores[i]))[:5]
+        assert best.ids[i].tolist() == order.tolist() and best.scores[i].tolist() == scores[i][order].tolist()
+    # a row is scored once for a query, and with falling components only few are
+    assert best.scored <= share * len(asked) * len(ids)
+
+
 # --- language
 
 
