@@ -37,7 +37,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents")).select("doc_id", "pii_spans")
     count = lambda k: F.size(F.filter("pii_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
-    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"), pii.joined_spans(F.col("pii_spans")).alias("spans"), pii.joined_scores(F.col("pii_spans")).alias("scores"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,37 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert got[2] == "national_id:11:22" and got[3:] == ["", "", ""]
 
 
+def test_account_number_before_words(spark):
+    number = "DE89 3704 0044 0532 0130 00"
+    got = spans(spark, [f"{number} OK now", f"to AT61 1904 3002 3457 3201 CODE X", f"{number}", f"x{number}", "DE89 3704 0044 0532 0130 01 OK"])
+    assert got == ["iban:0:27", "iban:3:27", "iban:0:27", "", ""]
+
+
+def test_context_is_read_on_both_sides(spark):
+    ids = "123-45-6789"
+    far = "x" * 70
+    got = spans(spark, [f"{ids}, {ids}, {ids} ssn", f"ssn {ids}, {ids}; {ids}", f"ssn {far} {ids}", f"{ids} {far} ssn", f"{ids}\n{far}"])
+    assert got == ["national_id:0:11,national_id:13:24,national_id:26:37", "national_id:4:15,national_id:17:28,national_id:30:41", "", "", ""]
+
+
+def test_time_is_linear_in_matches(spark):
+    import time
+
+    def seconds(text):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.time()
+        found = pii.masked(df).select(pii.F.length("text").alias("n")).first()["n"]
+        return time.time() - begin, found
+
+    seconds("a@b.c 12 ")
+    for unit in ("12-34 x ", "a@b.cd, "):
+        took, found = seconds(unit * (1_000_000 // len(unit)))
+        assert took < 60, (unit, took)
+    text = "é a@b.cd " * 3000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.masked(df).first()["text"] == "é <EMAIL> " * 3000
+
+
 def test_masking_replaces_whole_spans(spark):
     df = spark.createDataFrame([(1, "mail a@b.de or +49 30 1234567!", 3), (2, None, 4), (3, "none", 5)], "doc_id long, text string, pii_spans int")
     got = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
