@@ -25,6 +25,8 @@ from .token_counts import LETTER, _classes, char_batches
 SLOTS = 1 << 15
 #: Bound of the sample that the weights and the temperature are fitted on, all languages together.
 SAMPLE_ROWS = 1600
+#: Rows that are ranked for each row of the sample.
+OVERSHOOT = 8
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 2e-3, 1e-4
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 20
@@ -146,9 +148,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         return None
     idf = np.log((1 + seen[SLOTS]) / (1 + seen[:SLOTS])) + 1
 
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(1, sample_rows // len(langs))).select("id", "lang", "n")
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(held)
+    wanted = max(1, sample_rows // len(langs))
+    # a share of each language by the hash, several times what is wanted, so that no language is ranked whole
+    key = F.xxhash64("id", "text")
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, OVERSHOOT * wanted / n))) for lang, n in held.items()])
+    keyed = rows.select("id", "lang", key.alias("key")).filter(F.pmod("key", F.lit(1 << 30)) <= share * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("key", "id")
+    picked = keyed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= wanted).select("id", "lang", "n")
     # at most sample_rows rows of an id and a language
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("text", "lang", "n", F.xxhash64("id").alias("h"))
 

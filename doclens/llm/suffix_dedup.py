@@ -17,8 +17,11 @@ work is in three steps, none of which holds the corpus in one place:
    their left are a repeat group.  An interval whose left extensions are too
    diverse for a whole window holds none.  Groups come with all occurrences.
 
-A group of more contexts than GROUP_ROWS is not brought together: its windows are
-compared by a 128-bit hash and a partial minimum instead.
+A group of more contexts than GROUP_ROWS is halved by the distance from a window's
+start to the anchor, until its parts are small: all windows of one half hold the same
+bytes to the left of the anchor, those of the other half the same bytes to its right, so
+contexts that differ there go apart, and no window belongs to both.  At a
+single distance the windows of a part are equal, and a partial minimum finds the first.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, written
+from .common import Steps, parallelism
 from .shingles import _powers, in_batches, mix
 
 SIZE = 100
 GRAM = 32
-#: Contexts of one anchor string that are sorted together, at most.
+#: Contexts of one group that are sorted together, at most.
 GROUP_ROWS = 20_000
 #: Contexts that a task sorts at a time, about.
 SORT_ROWS = 20_000
@@ -190,7 +193,7 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 # What is done with the anchors of a text in the three passes.
-_FIND, _FILTER, _CONTEXT = "h long", "h long, c long, d long, tie int, at long", "h long, d long, tie int, at long, left binary, right binary"
+_FIND, _FILTER, _CONTEXT = "h long", "h long, c long, d long, tie long, at long", "h long, d long, tie long, at long, left binary, right binary"
 
 
 def _packed(place, near, far):
@@ -244,53 +247,53 @@ def _in_bitmap(bitmap: bytes, key: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(keys: DataFrame, columns: list[str], make) -> bytes:
-    """A bitmap of the keys, at most BITMAP_BITS large; its parts are united on the executors."""
+    """A bitmap of the keys, at most BITMAP_BITS large; each part of it is filled in one task, from distinct slots."""
     n = keys.count()
     size = min(BITMAP_BITS, max(1 << 16, 1 << int(16 * n).bit_length()))
-    part = 1 << 18
+    part = min(1 << 21, size)
 
-    def fill(batches):
-        bits = np.zeros(size // 8, np.uint8)
+    def slots(batches):
         for pdf in batches:
-            slot = make(pdf).view(np.uint64) & np.uint64(size - 1)
-            np.bitwise_or.at(bits, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
-        for i in range(0, len(bits), part):
-            if bits[i : i + part].any():
-                yield pd.DataFrame({"i": [i], "bits": [bits[i : i + part].tobytes()]})
-
-    def unite(key, rows):
-        out = np.zeros(min(part, size // 8), np.uint8)
-        for b in rows["bits"]:
-            out |= np.frombuffer(b, np.uint8)
-        return pd.DataFrame({"i": [key[0]], "bits": [out.tobytes()]})
-
-    parts = keys.select(*columns).coalesce(32).mapInPandas(fill, "i int, bits binary").groupBy("i").applyInPandas(unite, "i int, bits binary").collect()
+            yield pd.DataFrame({"slot": (make(pdf).view(np.uint64) & np.uint64(size - 1)).astype(np.int64)})
+
+    def fill(key, rows):
+        bits = np.zeros(part, np.uint8)
+        bits[rows["slot"].to_numpy() % part] = 1
+        return pd.DataFrame({"i": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    found = keys.select(*columns).mapInPandas(slots, "slot long").distinct()
+    parts = found.groupBy(F.floor(F.col("slot") / part).alias("i")).applyInPandas(fill, "i long, bits binary").collect()
     out = bytearray(size // 8)
     for r in parts:
-        out[r["i"] : r["i"] + len(r["bits"])] = r["bits"]
+        out[r["i"] * (part // 8) : (r["i"] + 1) * (part // 8)] = r["bits"]
     return bytes(out)
 
 
-def repeated_spans(texts: DataFrame, size: int = SIZE, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeated_spans(texts: DataFrame, steps: Steps, size: int = SIZE, group_rows: int | None = None) -> DataFrame:
     """(d, tie, start, stop): spans of (d, tie, text) that windows with an earlier equal cover; d, tie and place give the order."""
-    spark = texts.sparkSession
+    spark, group_rows = texts.sparkSession, group_rows or GROUP_ROWS
     broadcast = spark.sparkContext.broadcast
     counted = _scan(texts, _FIND, size).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    repeated = written(counted)
+    repeated = steps.written(counted)
     own = _bitmap(repeated, ["h"], lambda pdf: pdf["h"].to_numpy())
-    found = written(_scan(texts, _FILTER, size, broadcast(own)))
+    steps.drop(repeated)
+    found = steps.written(_scan(texts, _FILTER, size, broadcast(own)))
     # what the bitmap lets through by mistake stands alone in its group and falls out below
     order = F.struct("d", "tie", "at")
-    contexts = written(found.groupBy("h", "c").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
+    contexts = steps.written(found.groupBy("h", "c").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
     start = (F.shiftright("at", 14) - F.col("at").bitwiseAND(127)).alias("start")
     stop = (F.shiftright("at", 14) - F.shiftright("at", 7).bitwiseAND(127) + size).alias("stop")
     # the later occurrences of a context are covered as a whole
-    whole = found.join(contexts.filter("n > 1").select("h", "c", "first"), ["h", "c"]).filter(order != F.col("first")).select("d", "tie", start, stop)
+    whole = steps.written(found.join(contexts.filter("n > 1").select("h", "c", "first"), ["h", "c"]).filter(order != F.col("first")).select("d", "tie", start, stop))
+    steps.drop(found)
     several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    needed = written(contexts.join(several, "h").select("h", "m", "first.d", "first.tie", "first.at"))
+    needed = steps.written(contexts.join(several, "h").select("h", "m", "first.d", "first.tie", "first.at"))
+    steps.drop(contexts)
     places = _bitmap(needed, ["d", "tie", "at"], lambda pdf: _place_key(pdf["d"].to_numpy(), pdf["tie"].to_numpy(), pdf["at"].to_numpy()))
     scanned = _scan(texts, _CONTEXT, size, broadcast(places))
-    rows = written(scanned.join(needed, ["h", "d", "tie", "at"]).dropDuplicates(["h", "d", "tie", "at"]))
+    rows = steps.written(scanned.join(needed, ["h", "d", "tie", "at"]).dropDuplicates(["h", "d", "tie", "at"]))
+    steps.drop(needed)
+    width = size - GRAM
 
     def sort(batches):
         held: list[pd.DataFrame] = []
@@ -307,8 +310,8 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, group_rows: int = GROUP_R
 
     def spans_of(pdf):
         at = pdf["at"].to_numpy()
-        place, near, far = at >> 14, (at >> 7) & 127, at & 127
-        width = size - GRAM
+        place = at >> 14
+        near, far = np.maximum((at >> 7) & 127, pdf["low"].to_numpy()), np.minimum(at & 127, pdf["high"].to_numpy())
         left = np.frombuffer(b"".join(x[::-1].ljust(width, PAD) for x in pdf["left"]), np.uint8).reshape(-1, width)
         right = np.frombuffer(b"".join(x.ljust(size, PAD) for x in pdf["right"]), np.uint8).reshape(-1, size)
         d, tie = pdf["d"].to_numpy(), pdf["tie"].to_numpy()
@@ -319,24 +322,32 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, group_rows: int = GROUP_R
         low, high = np.array([g[1] for g in got], np.int64), np.array([g[2] for g in got], np.int64)
         return pd.DataFrame({"d": d[i], "tie": tie[i], "start": place[i] - high, "stop": place[i] - low + size})
 
-    small = rows.filter(F.col("m") <= group_rows).select("h", "d", "tie", "at", "left", "right")
-    sorted_ = small.repartition(parallelism(spark), "h").sortWithinPartitions("h").mapInPandas(sort, "d long, tie int, start long, stop long")
-
-    def windows(batches):
-        for pdf in batches:
-            out = []
-            for h, d, tie, at, left, right in zip(pdf["h"], pdf["d"], pdf["tie"], pdf["at"], pdf["left"], pdf["right"]):
-                place, near, far = at >> 14, (at >> 7) & 127, at & 127
-                text = left + right
-                for a in range(near, far + 1):
-                    out.append((hashlib.blake2b(text[far - a : far - a + size], digest_size=16).digest(), d, tie, place - a))
-            yield pd.DataFrame(out, columns=["w", "d", "tie", "start"])
-
-    large = rows.filter(F.col("m") > group_rows).mapInPandas(windows, "w binary, d long, tie int, start long")
-    here = F.struct("d", "tie", "start")
-    firsts = large.groupBy("w").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "first")
-    single = large.join(firsts, "w").filter(here != F.col("first")).select("d", "tie", "start", (F.col("start") + size).alias("stop"))
-    return whole.unionByName(sorted_).unionByName(single)
+    def sorted_groups(part: DataFrame) -> DataFrame:
+        part = part.select("h", "d", "tie", "at", "left", "right", "low", "high")
+        return part.repartition(parallelism(spark), "h").sortWithinPartitions("h").mapInPandas(sort, "d long, tie long, start long, stop long")
+
+    rows = rows.withColumns({"low": F.lit(0), "high": F.lit(width)})
+    out = whole.unionByName(sorted_groups(rows.filter(F.col("m") <= group_rows)))
+    large, low, high = rows.filter(F.col("m") > group_rows).drop("m"), F.col("low"), F.col("high")
+    # log2 of the width rounds bring every part to a single distance
+    while large.limit(1).count():
+        middle = F.floor((low + high) / 2).cast("int")
+        halves = F.explode(F.when(low < high, F.array(F.struct(low.alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), high.alias("b")))).otherwise(F.array(F.struct(low.alias("a"), high.alias("b"))))).alias("half")
+        parts = large.select("h", "d", "tie", "at", "left", "right", halves).withColumns({"low": F.col("half.a"), "high": F.col("half.b")}).drop("half")
+        # only rows with a window in that half
+        parts = parts.filter((F.col("at").bitwiseAND(127) >= low) & (F.shiftright("at", 7).bitwiseAND(127) <= high))
+        shared = F.concat(F.expr("CASE WHEN low > 0 THEN substring(left, -low, low) ELSE CAST('' AS BINARY) END"), F.expr(f"substring(right, 1, {size} - high)"))
+        parts = steps.written(parts.withColumn("h", F.xxhash64("h", "low", "high", F.lit(1), shared)))
+        sizes = parts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        sized = parts.join(sizes, "h")
+        out = out.unionByName(sorted_groups(sized.filter(F.col("m") <= group_rows)))
+        # equal windows: all but the first go
+        single = sized.filter((F.col("m") > group_rows) & (low == high)).select("h", "d", "tie", (F.shiftright("at", 14) - low).alias("start"))
+        here = F.struct("d", "tie", "start")
+        first = single.groupBy("h").agg(F.min(here).alias("first"))
+        out = out.unionByName(single.join(first, "h").filter(here != F.col("first")).select("d", "tie", "start", (F.col("start") + size).alias("stop")))
+        large = sized.filter((F.col("m") > group_rows) & (low < high)).drop("m")
+    return out
 
 
 def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,8 +359,10 @@ def dedup(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: s
     nothing.  kept may cut through a character, so it is binary.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumns({"d": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.hash("text")})
-    spans = repeated_spans(rows, size).groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = rows.withColumns({"d": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text", F.length("text"))})
+    steps = Steps(docs.sparkSession)
+    spans = steps.written(repeated_spans(rows, steps, size).groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    steps.drop_all_but(spans)
     joined = rows.join(spans, ["d", "tie"], "left").select("doc_id", "text", "spans")
 
     def cut(batches):

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from doclens.llm import suffix_dedup as sd
+from doclens.llm.common import Steps
 
 
 def brute(docs, size=100):
@@ -61,12 +62,13 @@ def test_equals_brute_force(spark, seed):
     assert run(spark, docs) == brute(docs)
 
 
-def test_large_groups_go_by_windows(spark, monkeypatch):
+@pytest.mark.parametrize("group_rows", [1, 4])
+def test_large_groups_are_halved(spark, group_rows):
     docs = made(3)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = df.selectExpr("doc_id AS d", "0 AS tie", "text")
+    rows = df.selectExpr("doc_id AS d", "0L AS tie", "text")
     got = {}
-    for r in sd.repeated_spans(rows, group_rows=1).collect():
+    for r in sd.repeated_spans(rows, Steps(spark), group_rows=group_rows).collect():
         got.setdefault(r["d"], []).append((r["start"], r["stop"]))
     want = brute(docs)
     for i, _ in docs:
