@@ -18,16 +18,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 # Tags, codes of compression, sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, PLANAR = 266, 284
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 ROW_BYTES = 64
 PAGE_ROWS = 1024
 STRIP_ROWS = 256
+#: Samples of a page, at most: a damaged header asks for no more memory than this.
+PAGE_SAMPLES = 1 << 30
 
 
 def packbits_encode(data: bytes) -> bytes:
@@ -177,9 +182,18 @@ def write_tiff(pages: list[tuple[np.ndarray, int, int, bool]]) -> bytes:
 def read_tiff(data: bytes):
     """Yields one dict per image directory: page, width, height, compression, predictor, tiled, samples (bytes, row by row).
 
-    Data that isn't TIFF, and pages of another kind than 8-bit samples, raise
-    ValueError; a chain that comes back to a directory it has seen ends there.
+    Data that isn't TIFF, is cut off or damaged, and pages of another kind than
+    8-bit samples in one plane, raise ValueError, after the pages before;
+    strips that hold less than they should are filled with zeros; a chain that
+    comes back to a directory it has seen ends there.
     """
+    try:
+        yield from _directories(data)
+    except (struct.error, KeyError, IndexError, zlib.error, OverflowError, ZeroDivisionError) as e:
+        raise ValueError(f"damaged TIFF file: {type(e).__name__} {e}") from e
+
+
+def _directories(data: bytes):
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise ValueError("not a TIFF file")
     order = "<" if data[:2] == b"II" else ">"
@@ -201,6 +215,10 @@ def read_tiff(data: bytes):
         compression, predictor, tiled = one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in tags
         if any(b != 8 for b in tags.get(BITS, (1,))):
             raise ValueError("only samples of 8 bits are read")
+        if one(PLANAR, 1) != 1 or one(FILL_ORDER, 1) != 1:
+            raise ValueError("only samples in one plane, high bits first, are read")
+        if width * height * samples > PAGE_SAMPLES:
+            raise ValueError("the page is too large")
         across, down = (one(TILE_WIDTH, width), one(TILE_HEIGHT, height)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
         image = np.zeros((height, width * samples), np.uint8)
         columns = -(-width // across) if width else 0
@@ -248,26 +266,53 @@ def store(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     """(doc_id, n_bytes, media): each whole text as a TIFF file; null text counts as empty."""
 
     def make(batches):
-        for pdf in batches:
+        for pdf in sliced(batches):
             raw = [t.encode() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(t) for t in raw], "media": [tiff_of(payload_of(t)) for t in raw]})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(make, "doc_id long, n_bytes long, media binary")
 
 
+_PAGE = "page int, width int, height int, compression int, predictor int, tiled boolean, samples binary, error string"
 
 
 def pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page of each file: doc_id, page (from 0), width, height, compression, predictor, tiled, samples.  Null media have no pages."""
+    """One row per page of each file: the other columns of media, doc_id, page (from 0), width, height, compression, predictor, tiled, samples, error.
+
+    Null media have no pages.  A file that can't be read, from its beginning or
+    from some page on, ends in a row that has no samples but says why in error;
+    rows of a file follow one another in their order.  Columns of media with
+    the names of the added ones give way.
+    """
+    added = [c.split(" ")[0] for c in _PAGE.split(", ")]
+    kept = [c for c in media.columns if c not in (id_col, media_col, "doc_id", *added)]
+    source = media.filter(F.col(media_col).isNotNull()).select(F.col(id_col).alias("doc_id"), *[F.col(f"`{c}`") for c in kept], F.col(media_col).alias("__media"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__media") + ", " + _PAGE
+
+    def rows_of(data: bytes):
+        page = 0
+        try:
+            for p in read_tiff(data):
+                page = p["page"] + 1
+                yield [p[c] for c in added[:-1]] + [None]
+        except ValueError as e:
+            yield [page] + [None] * 6 + [str(e)]
+        else:
+            if not page:
+                yield [0] + [None] * 6 + ["no page"]
 
     def read(batches):
-        for pdf in batches:
-            for i, data in zip(pdf["doc_id"], pdf["media"]):
-                rows = [p | {"doc_id": i} for p in read_tiff(bytes(data))]
-                if rows:
-                    yield pd.DataFrame(rows)[["doc_id", "page", "width", "height", "compression", "predictor", "tiled", "samples"]]
+        for pdf in sliced(batches, 100):
+            own = [c for c in pdf.columns if c != "__media"]
+            at, rows = [], []
+            for i, data in enumerate(pdf["__media"]):
+                for row in rows_of(bytes(data)):
+                    at.append(i)
+                    rows.append(row)
+            found = pd.DataFrame(rows, columns=added).astype({c: "Int32" for c in added[:5]} | {"tiled": "boolean"})
+            yield pd.concat([pdf[own].iloc[at].reset_index(drop=True), found], axis=1)
 
-    return media.filter(F.col(media_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInPandas(read, "doc_id long, page int, width int, height int, compression int, predictor int, tiled boolean, samples binary")
+    return source.mapInPandas(read, schema)
 
 
 def features(image: np.ndarray) -> str:
@@ -281,19 +326,34 @@ def features(image: np.ndarray) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) to what the stored bytes hold once read back: sizes, checksums, features.
+    """(doc_id, n_bytes, media) to what the stored bytes hold once read back page by page: sizes, checksums, features.
 
-    Pages of a file stay in the task that holds the file, so rows that repeat an
-    id don't meet.
+    The pages of a file stay in the task that holds the file, in their order, so
+    they are put together as they come and rows that repeat an id don't meet.  A
+    file that can't be read raises.
     """
+    sized = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
 
     def digest(batches):
+        whole, parts = None, []
+
+        def row():
+            payload = b"".join(parts)
+            return (*whole[:2], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), *whole[2:], features(np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)))
+
+        framed = lambda rows: pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
         for pdf in batches:
             rows = []
-            for i, n, data in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"]):
-                data = bytes(data)
-                payload = b"".join(p["samples"] for p in read_tiff(data))
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(data), hashlib.sha256(data).hexdigest(), features(np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES))))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.mapInPandas(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            for i, n, size, sha, page, samples, error in zip(*[pdf[c] for c in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "samples", "error")]):
+                if error is not None:
+                    raise ValueError(error)
+                if page == 0:
+                    if whole:
+                        rows.append(row())
+                    whole, parts = (None if pd.isna(i) else int(i), n, size, sha), []
+                parts.append(bytes(samples))
+            yield framed(rows)
+        if whole:
+            yield framed([row()])
+
+    return pages(sized).mapInPandas(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -129,6 +129,31 @@ def test_dominance_needs_items_that_fit_into_items():
 # --- TIFF
 
 
+def test_damaged_files_have_an_error_row(spark):
+    rows = np.arange(64 * 300, dtype=np.int64).astype(np.uint8).reshape(-1, 64)
+    good = tiff.write_tiff([(rows[:100], tiff.DEFLATE, 2, False), (rows, tiff.DEFLATE, 1, False)])
+    two = tiff.write_tiff([(rows, tiff.NONE, 1, False)])
+    tagged = lambda tag, value: good_with(two, tag, value)
+
+    def good_with(data, tag, value):
+        """The first field of the last directory turned into another tag."""
+        place = int.from_bytes(data[4:8], "little")
+        return data[: place + 2] + tag.to_bytes(2, "little") + b"\3\0\1\0\0\0" + value.to_bytes(4, "little") + data[place + 14 :]
+
+    files = {1: good, 2: b"II*\0", 3: b"", 4: None, 5: good[:-20], 6: good[:200].replace(b"x\x9c", b"zz") + good[200:], 7: tagged(284, 2), 8: tagged(266, 2), 9: good[:4] + b"\xff\xff\xff\x7f" + good[8:]}
+    df = spark.createDataFrame([(i, d, "clash", "kept") for i, d in files.items()], "id long, media binary, error string, more string")
+    got = {}
+    for r in tiff.pages(df, "id").collect():
+        got.setdefault(r["doc_id"], []).append((r["page"], r["error"] is None, r["samples"] is None, r["more"]))
+    assert got[1] == [(0, True, False, "kept"), (1, True, False, "kept")] and 4 not in got
+    for i in (2, 3, 7, 8, 9):
+        assert got[i] == [(0, False, True, "kept")], i
+    assert got[5][-1][1:3] == (False, True) and got[6][0] == (0, False, True, "kept")
+    for i in (2, 3, 7, 8, 9):
+        with pytest.raises(ValueError):
+            list(tiff.read_tiff(files[i]))
+
+
 def test_tiff_round_trips(spark):
     rng = random.Random(7)
     for n in (0, 1, 64, 65, 4097, 70000):
