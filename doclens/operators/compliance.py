@@ -65,19 +65,6 @@ def summary(findings: DataFrame) -> DataFrame:
     return counts.withColumn("score", score).withColumn("verdict", F.when(F.col("score") >= 80, "compliant").when(F.col("score") >= 50, "partly").otherwise("not compliant"))
 
 
-def strength_conflicts(requirements: DataFrame, least: float = 0.3) -> DataFrame:
-    """Mandatory against recommended sentences of two documents on one topic whose words overlap by more than `least`; requirements hold topic, file_name, sentence, strength.
-
-    One sentence per file and topic and strength, the first, so that a topic
-    with many sentences does not pair them all.
-    """
-    first = requirements.groupBy("topic", "file_name", "strength").agg(F.min_by("sentence", F.struct("pos", "chunk_id")).alias("sentence"))
-    a = first.filter("strength = 'mandatory'").select("topic", F.col("file_name").alias("doc1"), F.col("sentence").alias("s1"))
-    b = first.filter("strength = 'recommended'").select("topic", F.col("file_name").alias("doc2"), F.col("sentence").alias("s2"))
-    ratio = F.round(T.overlap_ratio(T.tokens(F.col("s1")), T.tokens(F.col("s2"))), 6)
-    return a.join(b, "topic").filter("doc1 <> doc2").withColumn("overlap", ratio).filter(F.col("overlap") > least)
-
-
 def number_conflicts(chunks: DataFrame, keywords: tuple[str, ...], pairs: DataFrame) -> DataFrame:
     """First chunk of each file and keyword against the other's: conflict if their numbers differ, high if either is mandatory."""
     rows = chunks.select("chunk_id", "file_name", "pos", "text", F.explode(F.array(*[F.when(F.contains(F.lower("text"), F.lit(k)), F.lit(k)) for k in keywords])).alias("keyword")).filter("keyword IS NOT NULL")

@@ -1,7 +1,7 @@
 """The registered queries and, where SQL can express them, their equivalents."""
 
 from . import registry
-from . import compliance, documents, entities, feedback, graph, more, retrieval, stream  # noqa: F401  they register
+from . import comparison, compliance, documents, entities, feedback, graph, more, retrieval, stream  # noqa: F401  they register
 
 
 def queries():

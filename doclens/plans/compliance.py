@@ -89,17 +89,6 @@ def number_conflicts(spark, sf_dir):
     return C.number_conflicts(spec_chunks(spark, sf_dir), ("cable", "conductor", "luminaire", "standard"), _pairs(spark, sf_dir))
 
 
-@query(f"""WITH {SPEC_SQL}, r AS (SELECT section_title AS topic, file_name, {STRENGTH_SQL} AS strength, text[:-2] AS sentence, pos, chunk_id FROM spec WHERE {STRENGTH_SQL} IS NOT NULL),
-    f AS (SELECT topic, file_name, strength, arg_min(sentence, (pos, chunk_id)) AS sentence FROM r GROUP BY ALL),
-    w AS (SELECT *, list_distinct({TOKEN_SQL.replace('text', 'sentence')}) AS w FROM f)
-    SELECT a.topic, a.file_name AS doc1, a.sentence AS s1, b.file_name AS doc2, b.sentence AS s2, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS overlap
-    FROM w a JOIN w b USING (topic) WHERE a.strength = 'mandatory' AND b.strength = 'recommended' AND a.file_name <> b.file_name AND round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) > 0.05""")
-def strength_conflicts(spark, sf_dir):
-    chunks = spec_chunks(spark, sf_dir)
-    r = E.requirements(chunks).drop("pos").join(chunks.select("chunk_id", "pos", F.col("section_title").alias("topic")), "chunk_id")
-    return C.strength_conflicts(r, 0.05)
-
-
 GRAM_SQL = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || '_' || {0}[i + 1] || '_' || {0}[i + 2]))"
 
 

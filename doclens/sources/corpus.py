@@ -7,7 +7,9 @@ suppliers; feedback, caches and history are made of events and conversations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -97,3 +99,58 @@ def spec_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), row.alias("row")))).alias("rows"))
     head = F.concat(F.lit("Intro line.\nTable "), (F.col("l_orderkey") % 9 + 1).cast("string"), F.lit(": Ratings\n| Item | Current | Code |\n|---|---|---|\n"))
     return rows.select(F.concat(F.lit("ORD-"), F.col("l_orderkey").cast("string")).alias("doc_name"), F.concat(head, F.array_join(F.col("rows.row"), "\n"), F.lit("\nEnd.")).alias("text"))
+
+
+#: Clauses of technical documents: text, and in braces the numbers that follow from a line item.
+CLAUSES = (
+    "The cable length of run shall not exceed {q} m and the conductor size shall be {d}.5 mm2 per EN 50{e}-1-{n}.",
+    "The rated current of the breaker must be {q} A at 230 V; the response time is {d}00 ms.",
+    "Bedding sand in the trench shall be 1,{d} m deep for the cable duct. In use since {y}.",
+    "The ambient temperature of the motor panel shall be between {t} °C and 40.5 °C.",
+    "Power cables shall not be laid in the trench without sand bedding and protection of {d}0 mm.",
+    "Power cables shall be laid in the trench with sand bedding and protection of {d}0 mm.",
+    "The voltage drop of the lighting circuit should be below {d}.2 % of {h} V.",
+    "The motor may run at {x} rpm with a torque of {t} Nm, weight {s} kg.",
+    "IEC 60364 of {y} requires {q} kW for the transformer; a pipe pressure of {d} bar is required.",
+    "The panel lighting must give {x} lux in the motor room, with {t} dB of noise.",
+    "The depth of the cable trench shall be {m} mm and the maximum cable length {t} m.",
+    "A fuse rating of {q} A is mandatory for the cable in the duct; see BS-{b}.",
+)
+_NUMBERS = {"q": "qty", "d": "pk % 9 + 1", "e": "100 + pk % 90", "n": "line", "y": "1985 + pk % 50", "t": "pk % 60", "h": "100 + pk % 60", "x": "10 * qty", "s": "sk", "m": "100 * qty", "b": "1000 + pk % 7000"}
+
+
+def _clause(text: str, quoted) -> list:
+    """The parts of a clause: texts, and expressions of numbers as text."""
+    parts = re.split(r"\{(\w)\}", text)
+    return [f"CAST({_NUMBERS[p]} AS {quoted})" if i % 2 else "'" + p + "'" for i, p in enumerate(parts) if p]
+
+
+def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chunk per order line, a document per order: chunk_id, file_name, section_number, section_title, pos, text."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("long").alias("qty"))
+    kinds = " ".join(f"WHEN {i} THEN concat({', '.join(_clause(t, 'STRING'))})" for i, t in enumerate(CLAUSES))
+    return lines.select(
+        F.concat_ws("-", "l_orderkey", "line").alias("chunk_id"),
+        F.concat(F.lit("DOC-"), F.col("l_orderkey").cast("string")).alias("file_name"),
+        F.concat_ws(".", F.col("pk") % 9 + 1, "line").alias("section_number"),
+        F.when(F.col("pk") % 3 == 0, "").otherwise(F.concat(F.lit("Part "), (F.col("pk") % 100).cast("string"))).alias("section_title"),
+        F.col("line").alias("pos"),
+        F.expr(f"CASE (pk + 3 * line) % {len(CLAUSES)} {kinds} END").alias("text"),
+    )
+
+
+def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_doc, reference_doc): each order's document against that of the same customer's next order."""
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", following.alias("next")).filter("next IS NOT NULL")
+    return rows.select(F.concat(F.lit("DOC-"), F.col("o_orderkey").cast("string")).alias("source_doc"), F.concat(F.lit("DOC-"), F.col("next").cast("string")).alias("reference_doc"))
+
+
+CLAUSE_SQL = f"""
+    cl AS (
+        SELECT l_orderkey || '-' || line AS chunk_id, 'DOC-' || l_orderkey AS file_name, (pk % 9 + 1) || '.' || line AS section_number,
+               CASE WHEN pk % 3 = 0 THEN '' ELSE 'Part ' || (pk % 100) END AS section_title, line AS pos,
+               CASE (pk + 3 * line) % {len(CLAUSES)} {' '.join(f"WHEN {i} THEN {' || '.join(_clause(t, 'VARCHAR'))}" for i, t in enumerate(CLAUSES))} END AS text
+        FROM (SELECT l_orderkey, l_linenumber::BIGINT AS line, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity)::BIGINT AS qty FROM lineitem GROUP BY ALL)
+    ),
+    op AS (SELECT 'DOC-' || o_orderkey AS source_doc, 'DOC-' || nxt AS reference_doc FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders) WHERE nxt IS NOT NULL)"""
