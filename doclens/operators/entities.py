@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..functions import text as T
+from ..functions.values import places
 
 
 def positioned(text: Column, pattern: str) -> Column:
     """(start, match) of each match, from 0, by cutting the text at its matches."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-    pairs = F.transform(found, lambda m, i: F.struct(F.element_at(pieces, i + 1).alias("before"), m.alias("match")))
-
-    def step(acc, p):
-        start = acc["at"] + F.length(p["before"])
-        return F.struct((start + F.length(p["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), p["match"].alias("match")))).alias("out"))
-
-    return F.aggregate(pairs, zero, step)["out"]
+    return places(text, F.lit(pattern))
 
 
 def standards(chunks: DataFrame) -> DataFrame:

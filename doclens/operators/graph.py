@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def nodes(chunks: DataFrame, references: DataFrame) -> DataFrame:
     """(id, type, name, page): documents, sections with their first title and page, standards; one row per id."""
@@ -39,18 +41,26 @@ def parents(sections: DataFrame) -> DataFrame:
 def neighbours(edges_: DataFrame, start: DataFrame, hops: int = 2, limit: int = 50) -> DataFrame:
     """(start, node, hops): nodes within `hops` undirected steps of each start (id), nearest first, at most `limit`.
 
-    Each hop keeps one row per (start, node), the shortest, so it grows with
-    what is reached and not with the paths.
+    Of a hub only so many neighbours are read as can still enter: a start has
+    reached `limit` nodes at most, so the first 2 * limit + 1 neighbours of a
+    node in order hold all that it can add.  A start that is full goes no further;
+    one that isn't has lost nothing, so the next hop is whole.
     """
     both = edges_.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges_.select("dst", "src")).distinct()
-    reached = start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops"))
+    first = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    both = stored(both.withColumn("n", first).filter(F.col("n") <= 2 * limit + 1).drop("n"))
+    reached = stored(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct())
     front = reached
     for hop in range(1, hops + 1):
         step = front.join(both, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        front = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        reached = reached.unionByName(front)
-    order = Window.partitionBy("start").orderBy("hops", "node")
-    return reached.filter("hops > 0").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
+        step = step.join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        step = step.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("node"))).filter(F.col("n") <= limit)
+        had = reached.groupBy("start").agg((F.count(F.lit(1)) - 1).alias("had"))
+        step = stored(step.join(had, "start").filter(F.col("n") + F.col("had") <= limit).select("start", "node", F.lit(hop).alias("hops")))
+        reached = reached.unionByName(step)
+        full = reached.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("start")
+        front = step.join(full, "start", "left_anti")
+    return reached.filter("hops > 0")
 
 
 def document_references(edges_: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text as T
+from ..sources.store import stored
 
 DIGITS = 6
 
@@ -31,19 +32,21 @@ def ranked(df: DataFrame, k: int, score: str = "score", by: str = "query_id", ti
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", query_col: str = "query_id") -> DataFrame:
     """(query_id, id, score, rank): idf = ln((N - df + .5) / (df + .5) + 1); repeated query terms count again; only scores above 0.
 
-    The term statistics of the whole corpus are one aggregate over (chunk, term);
-    only the terms that questions hold are joined back, by term.
+    Texts are cut into terms once: entries of the questions' terms are stored with
+    their chunk's length, and counts of terms and chunks come from what is stored.
+    The questions' terms are stored too, so that their size is known and they are
+    sent to the scan where they are few.
     """
-    asked = questions.select(F.col(query_col).alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    lengths = chunks.select(F.size(T.tokens(F.col("text"))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    wanted = asked.select("term").distinct()
-    entries = postings(chunks, id_col).join(wanted, "term", "left_semi")
-    stats = entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row
-    scored = entries.join(stats, "term").join(asked, "term").crossJoin(F.broadcast(lengths))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))) * F.col("times")
-    total = scored.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
+    asked = stored(questions.select(F.col(query_col).alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
+    words = stored(chunks.select(F.col(id_col).alias("id"), T.tokens(F.col("text")).alias("words")))
+    sizes = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    entries = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    entries = stored(entries.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")))
+    df = F.col("df")
+    idf = F.log((F.lit(sizes["n"]) - df + 0.5) / (df + 0.5) + 1)
+    weights = asked.join(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(sizes["mean"])))
+    total = entries.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
     return ranked(total, k)
 
 

@@ -9,6 +9,7 @@ from ..functions import patterns
 from ..operators import compliance as C
 from ..operators import entities as E
 from ..sources.corpus import SPEC_SQL, spec_chunks, table
+from ..sources.store import stored
 from .entities import QTY_SQL, STD_SQL, STRENGTH_SQL, VALUES_SQL
 from .registry import query
 from .retrieval import TOKEN_SQL
@@ -31,7 +32,7 @@ COMPARED_SQL = f"""
 
 
 def _compared(spark, sf_dir):
-    chunks = spec_chunks(spark, sf_dir)
+    chunks = stored(spec_chunks(spark, sf_dir))
     values = E.typed_values(chunks).join(chunks.select("chunk_id", "section_number"), "chunk_id")
     return C.compared_values(values, _pairs(spark, sf_dir))
 
@@ -59,7 +60,7 @@ def technical_queries(spark, sf_dir):
     q AS (SELECT *, round(abs(i.source_value - i.value) / abs(i.source_value) * 100, 6) AS p FROM i)
     SELECT source_doc, reference_doc, type, i.chunk_id AS chunk_id, i.source_value AS source_value, i.value AS required_value, CASE WHEN i.source_value = 0 THEN 'critical' ELSE {SEVERITY_SQL.format(p='p')} END AS severity, i.sentence AS requirement, 'Set ' || type || ' to ' || i.value::BIGINT || ' ' || i.unit AS recommendation FROM q""")
 def compliance_issues(spark, sf_dir):
-    chunks = spec_chunks(spark, sf_dir)
+    chunks = stored(spec_chunks(spark, sf_dir))
     return C.issues(E.typed_values(chunks), E.requirements(chunks), _pairs(spark, sf_dir))
 
 
@@ -68,7 +69,7 @@ def compliance_issues(spark, sf_dir):
           WHERE (s.text LIKE '%shall%' OR s.text LIKE '%must%') AND NOT EXISTS (SELECT 1 FROM st JOIN v ON v.key = st.key WHERE st.chunk_id = s.chunk_id AND v.file_name = p.source_doc))
     SELECT source_doc, reference_doc, topic, arg_min(chunk_id, (pos, chunk_id)) AS chunk_id, CASE WHEN arg_min(text, (pos, chunk_id)) LIKE '%shall%' THEN 'high' ELSE 'medium' END AS severity FROM g GROUP BY ALL""")
 def requirement_gaps(spark, sf_dir):
-    chunks = spec_chunks(spark, sf_dir)
+    chunks = stored(spec_chunks(spark, sf_dir))
     terms = E.standards(chunks).select("chunk_id", "file_name", F.col("key").alias("term"))
     return C.gaps(chunks, terms, _pairs(spark, sf_dir), 1)
 

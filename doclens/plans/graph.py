@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import entities as E
 from ..operators import graph as G
 from ..sources.corpus import SPEC_SQL, spec_chunks, table
+from ..sources.store import stored
 from .entities import STD_SQL
 from .registry import query
 
@@ -18,7 +19,7 @@ EDGES_SQL = """
 
 
 def _edges(spark, sf_dir):
-    chunks = spec_chunks(spark, sf_dir)
+    chunks = stored(spec_chunks(spark, sf_dir))
     return G.edges(chunks, E.standards(chunks), E.section_references(chunks))
 
 
@@ -47,7 +48,7 @@ def section_parents(spark, sf_dir):
 
 @query(f"WITH {SPEC_SQL}, {STD_SQL}, {EDGES_SQL}, b AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), h1 AS (SELECT a AS start, b AS node FROM b WHERE a LIKE 'std:%'), h2 AS (SELECT DISTINCT h1.start, b.b AS node FROM h1 JOIN b ON h1.node = b.a WHERE b.b <> h1.start AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.start = h1.start AND x.node = b.b)), u AS (SELECT start, node, 1::INTEGER AS hops FROM h1 UNION ALL SELECT start, node, 2 FROM h2) SELECT start, node, hops FROM u QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, node) <= 50")
 def graph_neighbours(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = stored(_edges(spark, sf_dir))
     return G.neighbours(edges, edges.filter("dst LIKE 'std:%'").select(F.col("dst").alias("id")).distinct())
 
 
