@@ -110,3 +110,26 @@ def strength_conflicts(requirements: DataFrame, pairs: DataFrame, least: float =
     met = met.join(side(1), "id1").join(side(2), "id2")
     overlap = F.size(F.array_intersect("words1", "words2")) / F.greatest(F.size("words1"), F.size("words2"))
     return met.withColumn("overlap", F.round(overlap, 6)).filter(overlap > least).select("source_doc", "reference_doc", "id1", "strength1", "sentence1", "id2", "strength2", "sentence2", "overlap", F.lit("high").alias("severity"))
+
+
+# Groups of words that make two chunks speak of one topic.
+CONFLICT_WORDS = (("maximum", "max"), ("minimum", "min"), ("shall", "must"), ("impedance", "resistance"), ("voltage", "current"), ("temperature", "°C"), ("mm²", "mm2", "cross-sectional area"), ("rating", "capacity"), ("complies", "compliance"))
+
+
+def conflict_analysis(chunks: DataFrame, pairs: DataFrame, k: int = 5) -> DataFrame:
+    """(source_doc, reference_doc, base_chunk, compared_chunk, topic, severity): each source chunk against the k chunks of the reference most like it.
+
+    They conflict if both hold a word of one group and numbers, and their numbers
+    differ; high where either obliges.
+    """
+    turned = pairs.select(F.col("source_doc").alias("reference_doc"), F.col("reference_doc").alias("source_doc"))
+    met = similar_chunks(chunks, turned, k=k).select(F.col("reference_doc").alias("source_doc"), F.col("source_doc").alias("reference_doc"), F.col("reference_chunk").alias("base_chunk"), F.col("source_chunk").alias("compared_chunk"))
+    low = F.lower("text")
+    topics = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in group]), lambda w: F.contains(low, w)), F.lit(group[0])) for group in CONFLICT_WORDS]))
+    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*"), F.lit(0))))
+    rows = chunks.select("chunk_id", topics.alias("topics"), numbers.alias("numbers"), low.rlike("shall|must|required|mandatory").alias("hard"))
+    side = lambda name, i: rows.select(F.col("chunk_id").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("topics", "numbers", "hard")])
+    out = met.join(side("base_chunk", 1), "base_chunk").join(side("compared_chunk", 2), "compared_chunk")
+    shared = F.array_intersect("topics1", "topics2")
+    out = out.filter((F.size(shared) > 0) & (F.size("numbers1") > 0) & (F.size("numbers2") > 0) & (F.col("numbers1") != F.col("numbers2")))
+    return out.select("source_doc", "reference_doc", "base_chunk", "compared_chunk", F.initcap(F.array_join(shared, ", ")).alias("topic"), F.when(F.col("hard1") | F.col("hard2"), "high").otherwise("medium").alias("severity"))

@@ -122,3 +122,26 @@ def reference_summary(edges_: DataFrame, first: int = 15) -> DataFrame:
     named = F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") <= first, F.substr("dst", F.lit(5))))), ", ")
     out = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n_standards"), named.alias("names"))
     return out.select(F.substr("src", F.lit(5)).alias("document"), "n_standards", F.concat(F.lit("Refers to "), F.col("n_standards").cast("string"), F.lit(" standards: "), "names").alias("summary"))
+
+
+def query_star(results: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, src, dst, label): from each question to its first `limit` sources, labelled with document and section."""
+    label = F.concat("file_name", F.lit("\n"), F.substr("section_title", F.lit(1), F.lit(30)))
+    return results.filter(F.col("rank") <= limit).select("query_id", F.lit("query").alias("src"), F.concat(F.lit("source_"), (F.col("rank") - 1).cast("string")).alias("dst"), label.alias("label"))
+
+
+def expanded_results(results: DataFrame, asked: DataFrame, found: DataFrame, edges_: DataFrame, entities: int = 10, first: int = 7, further: int = 5) -> DataFrame:
+    """(query_id, source_type, pos, id): the context of each question from its results and from the graph.
+
+    Entities of the question and of its results, (query_id, key) each, are
+    united; the first `entities` in order are looked up; sections that refer to
+    most of them come first.  `first` results and `further` sections make the context.
+    """
+    both = asked.select("query_id", "key").union(found.select("query_id", "key")).distinct()
+    own = Window.partitionBy("query_id").orderBy("key")
+    chosen = both.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= entities).select("query_id", F.concat(F.lit("std:"), "key").alias("dst"))
+    refers = edges_.filter("type = 'REFERS_TO' AND src LIKE 'sec:%'").select("src", "dst")
+    reached = chosen.join(refers, "dst").groupBy("query_id", "src").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), "src")
+    sections = reached.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= further).select("query_id", F.lit("graph").alias("source_type"), "pos", F.col("src").alias("id"))
+    return results.filter(F.col("rank") <= first).select("query_id", F.lit("vector").alias("source_type"), F.col("rank").alias("pos"), "id").unionByName(sections)

@@ -205,3 +205,49 @@ def focus_types(text: Column) -> Column:
     for words, without, types in reversed(FOCUS_TYPES):
         out = F.when(any_of(words) & ~any_of(without), F.array(*[F.lit(t) for t in types])).otherwise(out)
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(out)
+
+
+def adaptive_weights(analysed: DataFrame) -> DataFrame:
+    """(query_id, weights, sources) of analysed questions: weights by source that sum to 1, and the sources that the question calls for.
+
+    Vector and BM25 lists always count; metadata where the question names a
+    standard, entities where it holds a quantity.  A question on a reference gives
+    metadata half as much again and entities a third as much again.
+    """
+    raised = F.transform_values("weights", lambda s, w: F.when(F.col("intent") == "reference", w * F.when(s == "metadata", 1.5).when(s == "entity", 1.3).otherwise(1.0)).otherwise(w))
+    total = F.aggregate(F.map_values("raised"), F.lit(0.0), lambda a, w: a + w)
+    called = F.array_compact(F.array(F.lit("vector"), F.lit("bm25"), F.when(F.size("references") > 0, "metadata"), F.when(F.size("units") > 0, "entity")))
+    rows = analysed.select("query_id", raised.alias("raised"), called.alias("sources")).withColumn("total", total)
+    return rows.select("query_id", F.transform_values("raised", lambda s, w: w / F.col("total")).alias("weights"), "sources")
+
+
+def hybrid(lists: DataFrame, weights: DataFrame, k: int = 10, smooth: int = 60) -> DataFrame:
+    """(query_id, id, score, sources, rank): the k best rows of each question over its own lists, with its own weights.
+
+    lists: (source, query_id, id, rank); weights as from adaptive_weights.  Lists
+    that a question doesn't call for don't count; a question without weights has no rows.
+    """
+    rows = lists.join(weights.withColumnRenamed("sources", "called"), "query_id").filter(F.array_contains("called", F.col("source")))
+    part = F.element_at("weights", F.col("source")) / (smooth + F.col("rank"))
+    return ranked(rows.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.countDistinct("source").alias("sources")), k)
+
+
+def routed(results: DataFrame, questions: DataFrame, k: int = 10, own: int = 3, least: float = 0.3) -> DataFrame:
+    """(query_id, route, id, score, rank): questions without a filter take the best rows of each document, those with one the k best rows of that document.
+
+    questions: (query_id, file_name); a null file_name is no filter.
+    """
+    rows = results.drop("rank").join(questions.select("query_id", F.col("file_name").alias("wanted")), "query_id")
+    apart = per_document(rows.filter("wanted IS NULL"), own, least).select("query_id", F.lit("documents").alias("route"), "id", "score", "rank")
+    kept = ranked(rows.filter("file_name = wanted"), k).select("query_id", F.lit("filtered").alias("route"), "id", "score", "rank")
+    return apart.unionByName(kept)
+
+
+# What an answer says that found nothing.
+NOTHING_FOUND = ("does not contain", "no information", "not mentioned", "cannot find", "not found", "no relevant", "doesn't provide", "not available")
+
+
+def informative(answer: Column, shortest: int = 20) -> Column:
+    """Whether an answer is long enough and doesn't say that nothing was found; null isn't."""
+    text = F.coalesce(F.trim(answer), F.lit(""))
+    return (F.length(text) >= shortest) & ~F.exists(F.array(*[F.lit(p) for p in NOTHING_FOUND]), lambda p: F.contains(F.lower(text), p))

@@ -183,3 +183,38 @@ def title_fallback(docs: DataFrame, titles: DataFrame, doc: str = "doc_name", sh
     known = titles.filter(F.length("title") >= shortest).select("identifier", "title", F.lower(F.trim("title")).alias("key"))
     hit = own.join(known, "key")
     return hit.groupBy("doc").agg(F.min_by(F.struct("identifier", "title", "line_no"), F.struct("line_no", "identifier")).alias("h")).select("doc", "h.*")
+
+
+def document_summary(name: Column, description: Column, standard_no: Column, categories: Column) -> Column:
+    """A line on a document: its description, else its standard number, else its name, the last two with the categories if there are any."""
+    held = lambda c: F.coalesce(c, F.lit("")) != ""
+    own = F.when(held(standard_no), F.concat(F.lit("Technical standard "), standard_no, F.lit(" ("), name, F.lit(")"), F.when(held(categories), F.concat(F.lit(" covering "), categories)).otherwise("")))
+    own = own.otherwise(F.concat(F.lit("Document '"), name, F.lit("'"), F.when(held(categories), F.concat(F.lit(" categorized as "), categories)).otherwise("")))
+    return F.when(held(description), F.concat(F.lit("Document '"), name, F.lit("': "), description)).otherwise(own)
+
+
+def table_context(text: Column) -> Column:
+    """What the first table of a text shows: its caption if that reads "Table n", else its first five headers; null without a table."""
+    lines = F.split(text, "\n")
+    # the first line that opens with a bar and holds another, with the line before it
+    numbered = F.transform(lines, lambda line, i: F.struct(line.alias("line"), F.when(i > 0, F.trim(F.get(lines, i - 1))).otherwise(F.lit("")).alias("before")))
+    row = F.get(F.filter(numbered, lambda r: r["line"].rlike(r"^\s*\|") & F.contains(F.substr(r["line"], F.lit(2)), F.lit("|"))), F.lit(0))
+    caption = F.when(row["before"].rlike(r"(?i)^(?:Table|Tablo)\s+\d+"), F.concat(F.lit("Contains "), row["before"]))
+    headers = F.filter(F.transform(F.split(row["line"], r"\|"), lambda h: F.trim(h)), lambda h: h != "")
+    named = F.when(F.size(headers) > 0, F.concat(F.lit("Contains table with columns: "), F.array_join(F.slice(headers, 1, 5), ", ")))
+    return F.when(text.rlike(r"\|[-:\s]+\|"), F.coalesce(caption, named, F.lit("Contains tabular data")))
+
+
+def facet_documents(catalog: DataFrame) -> DataFrame:
+    """(facet, value, display, document): what the second list shows for a category or project, one document for each display name.
+
+    catalog: (name, display_name, standard_no, categories, project, pos).  In the
+    category Standard a document goes by its standard number, otherwise by its
+    display name, or by its name; of documents with one display the first counts.
+    """
+    shown = F.coalesce("display_name", "name")
+    by_category = catalog.select(F.lit("category").alias("facet"), F.explode("categories").alias("value"), "name", "pos", "standard_no", shown.alias("shown"))
+    by_category = by_category.withColumn("display", F.when((F.col("value") == "Standard") & (F.coalesce("standard_no", F.lit("")) != ""), F.col("standard_no")).otherwise(F.col("shown")))
+    by_project = catalog.filter("project IS NOT NULL AND project <> 'N/A'").select(F.lit("project").alias("facet"), F.col("project").alias("value"), "name", "pos", shown.alias("display"))
+    both = by_category.select("facet", "value", "display", "name", "pos").unionByName(by_project.select("facet", "value", "display", "name", "pos"))
+    return both.groupBy("facet", "value", "display").agg(F.min_by("name", "pos").alias("document"))

@@ -115,3 +115,18 @@ def strength_conflicts(spark, sf_dir):
 @query(f"WITH {CLAUSE_SQL} SELECT chunk_id, coalesce(nullif(section_title, ''), nullif(regexp_extract(substr(text, 1, 100), '[A-Z][a-z]+(?:\\s+[A-Za-z]+){{0,3}}', 0), ''), substr(text, 1, 50)) AS topic FROM cl")
 def clause_topics(spark, sf_dir):
     return clause_chunks(spark, sf_dir).select("chunk_id", V.chunk_topic(F.col("section_title"), F.col("text")).alias("topic"))
+
+
+_GROUPS_SQL = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in g) + f" THEN '{g[0]}' END" for g in C.CONFLICT_WORDS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {CLAUSE_SQL},
+    w AS (SELECT chunk_id, file_name, pos, {WORDS_SQL.format('text')} AS words, list_filter(list_distinct(list_transform({WORDS_SQL.format('text')}, lambda x: regexp_replace(x, '[^a-z]', '', 'g'))), lambda x: list_contains({V.CONTEXT_WORDS!r}, x)) AS context,
+          {_GROUPS_SQL} AS topics, list_sort(list_distinct(regexp_extract_all(text, '\\d+\\.?\\d*'))) AS numbers, regexp_matches(lower(text), 'shall|must|required|mandatory') AS hard FROM cl),
+    m AS (SELECT source_doc, reference_doc, b.chunk_id AS base_chunk, c.chunk_id AS compared_chunk, b.topics AS t1, c.topics AS t2, b.numbers AS n1, c.numbers AS n2, b.hard OR c.hard AS hard,
+          row_number() OVER (PARTITION BY reference_doc, b.chunk_id ORDER BY len(list_intersect(b.context, c.context)) DESC, len(list_intersect(b.words, c.words)) DESC, c.pos, c.chunk_id) AS rank
+          FROM op JOIN w b ON b.file_name = source_doc JOIN w c ON c.file_name = reference_doc WHERE len(list_intersect(b.context, c.context)) >= 2 AND len(list_intersect(b.words, c.words)) >= 5 QUALIFY rank <= 5)
+    SELECT source_doc, reference_doc, base_chunk, compared_chunk, array_to_string(list_transform(list_filter(t1, lambda x: list_contains(t2, x)), lambda x: upper(x[1]) || x[2:]), ', ') AS topic, CASE WHEN hard THEN 'high' ELSE 'medium' END AS severity
+    FROM m WHERE list_has_any(t1, t2) AND len(n1) > 0 AND len(n2) > 0 AND n1 <> n2""")
+def conflict_analysis(spark, sf_dir):
+    return C.conflict_analysis(stored(clause_chunks(spark, sf_dir)), order_pairs(spark, sf_dir))
