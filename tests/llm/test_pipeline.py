@@ -63,3 +63,21 @@ def test_empty_table(spark):
         out = stage(spark, docs, "")
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def test_stages_on_repeats_nulls_and_clashing_names(spark):
+    docs = documents(spark)
+    base = docs.filter("doc_id = 7").first()
+    rows = [(7, base["text"], None, "s0", 1, "m", "n"), (7, base["text"], "en", "s0", 1, "m", "n"), (None, base["text"], "en", None, None, "m", "n"), (5000, None, None, None, None, None, None), (5001, "", None, "s1", 0, None, "n"), (5002, base["text"] + " call +49 30 1234567 now", "en", "s1", 9, "m", "n")]
+    docs = docs.union(spark.createDataFrame(rows, COLUMNS)).withColumns({"pii_spans": cp.F.lit(1), "component_id": cp.F.lit("c"), "h": cp.F.lit(2), "size": cp.F.lit(3)})
+    kept = cp.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    # rows with the smallest id all stay, so do null ids and rows without text; the near copy goes
+    assert ids.count(7) == 3 and None in ids and 5000 in ids and 5001 in ids and 5002 not in ids
+    clean = cp.private_data(spark, docs, "")
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    found = {r["doc_id"]: r for r in clean.collect()}
+    assert found[5000]["text"] is None and found[5000]["n_chars"] is None and found[5001]["text"] == ""
+    assert found[5002]["text"].endswith("call <PHONE> now") and found[5002]["size"] == 3
+    assert cp.language_id(spark, docs, "").columns == docs.columns and cp.mixture(spark, docs, "").columns == docs.columns
