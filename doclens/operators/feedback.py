@@ -117,15 +117,22 @@ def cache_statistics(lookups: DataFrame) -> DataFrame:
 
 
 def kept_entries(entries: DataFrame, most: int = 1000, drop: float = 0.1) -> DataFrame:
-    """Entries (key, last_access) after the size cap: above `most` the oldest tenth of the cap and the surplus go."""
-    order = Window.orderBy(F.desc("last_access"), "key")
-    counted = entries.withColumns({"n": F.row_number().over(order), "total": F.count(F.lit(1)).over(Window.partitionBy())})
-    keep = F.when(F.col("total") > most, F.lit(int(most * (1 - drop)))).otherwise(F.col("total"))
-    return counted.filter(F.col("n") <= keep).drop("n", "total")
+    """Entries (key, last_access) after the size cap: above `most` the oldest tenth of the cap and the surplus go.
+
+    The entries are counted first; a store within the cap is left as it is, of
+    another one the newest are taken, which needs no order of all.
+    """
+    if entries.count() <= most:
+        return entries
+    return entries.orderBy(F.desc("last_access"), "key").limit(int(most * (1 - drop)))
 
 
-def nearest_cached(questions: DataFrame, entries: DataFrame, least: float = 0.92, recent: int = 100) -> DataFrame:
-    """(query_id, key, similarity): the best of the `recent` newest entries (key, vector, ts) for each question (query_id, vector), if it reaches `least`."""
+def nearest_cached(questions: DataFrame, entries: DataFrame, least: float = 0.92, recent: int = 100, since=None) -> DataFrame:
+    """(query_id, key, similarity): the best of the `recent` newest entries (key, vector, ts) for each question (query_id, vector), if it reaches `least`.
+
+    Entries before `since` have outlived their lifetime and don't count.
+    """
+    entries = entries if since is None else entries.filter(F.col("ts") >= F.lit(since))
     newest = entries.orderBy(F.desc("ts"), "key").limit(recent)
     rows = questions.select("query_id", F.col("vector").alias("q")).crossJoin(F.broadcast(newest.select("key", "vector"))).withColumn("similarity", F.round(T.cosine(F.col("q"), F.col("vector")), 6))
     best = rows.filter(F.col("query_id") != F.col("key")).groupBy("query_id").agg(F.max_by(F.struct("key", "similarity"), F.struct("similarity", -F.col("key"))).alias("b"))

@@ -50,10 +50,22 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, k1: float = 1.5,
     return ranked(total, k)
 
 
+#: Questions whose vectors are sent to every task at a time.
+QUESTION_BLOCK = 5000
+
+
 def vector_top_k(vectors: DataFrame, questions: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank) by cosine; questions hold query_id and vector, a bounded set that is sent to every task."""
-    pairs = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(questions.select("query_id", "vector")))
-    return ranked(pairs.select("query_id", "id", F.round(T.cosine(F.col("v"), F.col("vector")), DIGITS).alias("score")), k)
+    """(query_id, id, score, rank) by cosine; questions (query_id, vector) go to the vectors in blocks of bounded size."""
+    asked = stored(questions.select("query_id", "vector"))
+    blocks = max(1, -(-asked.count() // QUESTION_BLOCK))
+    rows = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    out = None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = rows.crossJoin(F.broadcast(part))
+        part = ranked(pairs.select("query_id", "id", F.round(T.cosine(F.col("v"), F.col("vector")), DIGITS).alias("score")), k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fuse(lists: DataFrame, weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
@@ -155,18 +167,6 @@ def expand(questions: DataFrame, synonyms: DataFrame, most: int = 3) -> DataFram
     return questions.join(best.select("query_id", new.alias("added")), "query_id", "left").withColumn("expanded", F.concat_ws(" ", "text", F.array_join(F.coalesce("added", F.array().cast("array<string>")), " ")))
 
 
-def similar_in_other_documents(chunks: DataFrame, vocabulary: DataFrame, k: int = 5, least: int = 2) -> DataFrame:
-    """For each chunk the k chunks of another document that share most distinct vocabulary words, `least` at least.
-
-    vocabulary holds the technical words (word) that are joined on; a word's chunks meet by key.
-    """
-    words = chunks.select("chunk_id", "file_name", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")).join(F.broadcast(vocabulary), "word")
-    a = words.select("word", F.col("chunk_id").alias("query_id"), F.col("file_name").alias("own"))
-    b = words.select("word", F.col("chunk_id").alias("id"), F.col("file_name").alias("other"))
-    shared = a.join(b, "word").filter("own <> other").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
-    return ranked(shared.filter(F.col("score") >= least), k)
-
-
 def validate(questions: DataFrame, least: int = 1, most: int = 5000) -> Column:
     return F.length(F.trim("text")).between(least, most)
 

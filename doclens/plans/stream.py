@@ -33,8 +33,8 @@ def stream_running_scores(spark, sf_dir):
 def stream_component_status(spark, sf_dir):
     rows, checkpoint = _paths(spark)
     checks = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("component-"), (F.col("user_id") % 10).cast("string")).alias("component"), (F.col("event_type") != "error").alias("ok"))
-    jobs.latest_into(jobs.status_changes(checks), rows, checkpoint, ["component"])
-    return jobs.newest(spark, rows, ["component"])
+    jobs.status_into(checks, rows, checkpoint)
+    return jobs.status_of(spark, rows)
 
 
 @query(f"WITH {FEEDBACK_SQL}, e AS (SELECT *, max(ts) OVER () AS last FROM fb), w AS (SELECT document_name, unnest(range(ts::DATE::TIMESTAMP - INTERVAL 6 DAY, ts::DATE::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS begin, last FROM e WHERE feedback_type = 'positive') SELECT begin, begin + INTERVAL 7 DAY AS finish, document_name, count(*) AS n FROM w WHERE begin + INTERVAL 7 DAY <= date_trunc('millisecond', last) - INTERVAL 1 DAY GROUP BY ALL")

@@ -1,13 +1,9 @@
-"""Incremental forms: event-time windows with watermarks, keyed state, idempotent merges by batch."""
+"""Incremental forms: event-time windows with watermarks, sums by batch, idempotent merges by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.feedback import delta
 
@@ -47,24 +43,30 @@ def first_lookups(lookups: DataFrame, lifetime: str = "60 minutes") -> DataFrame
     return lookups.withWatermark("ts", lifetime).dropDuplicatesWithinWatermark(["key"])
 
 
-STATUS = "component string, checks long, failed long, status string"
+def status_into(checks: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream of checks (id, ts, component, ok) over what is there now; each batch leaves one row per component.
+
+    The row holds the checks, the failures and those behind the last success, made
+    by partial sums before any shuffle, so no task holds a component's checks.
+    """
 
+    def put(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("component").agg(F.max(F.when(F.col("ok"), F.struct("ts", "id"))).alias("good"))
+        rows = batch.join(F.broadcast(last) if last.count() <= 10_000 else last, "component")
+        behind = F.col("good").isNull() | (F.struct("ts", "id") > F.col("good"))
+        parts = rows.groupBy("component").agg(F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(behind).alias("behind"), F.max(F.col("good").isNotNull()).alias("any_good"))
+        parts.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
 
-def status_changes(checks: DataFrame, failures: int = 3) -> DataFrame:
-    """The status of each component after each batch: unhealthy after `failures` failures in a row, degraded after one."""
+    checks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        checked, failed, row = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        for ok in rows["ok"]:
-            checked += 1
-            failed += not ok
-            row = 0 if ok else row + 1
-        state.update((checked, failed, row))
-        status = "unhealthy" if row >= failures else "degraded" if row else "healthy"
-        yield pd.DataFrame({"component": [key[0]], "checks": [checked], "failed": [failed], "status": [status]})
 
-    return checks.groupBy("component").applyInPandasWithState(follow, STATUS, "checks long, failed long, row long", "update", GroupStateTimeout.NoTimeout)
+def status_of(spark: SparkSession, path: str, failures: int = 3) -> DataFrame:
+    """(component, checks, failed, status) after the batches of status_into; a run of failures goes on from batch to batch."""
+    rows = spark.read.parquet(path).drop("part")
+    last = rows.groupBy("component").agg(F.max(F.when(F.col("any_good"), F.col("batch"))).alias("good"))
+    run = F.sum(F.when(F.col("batch") >= F.coalesce("good", F.lit(-1)), F.col("behind")).otherwise(0))
+    out = rows.join(last, "component").groupBy("component").agg(F.sum("checks").alias("checks"), F.sum("failed").alias("failed"), run.alias("run"))
+    return out.select("component", "checks", "failed", F.when(F.col("run") >= failures, "unhealthy").when(F.col("run") > 0, "degraded").otherwise("healthy").alias("status"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -80,5 +80,16 @@ def test_status_needs_failures_in_a_row(spark):
     base = folder()
     spark.createDataFrame([(i, c, ok) for i, (c, ok) in enumerate([("x", False), ("x", False), ("x", False), ("y", False), ("y", True), ("z", False)])], "id long, component string, ok boolean").selectExpr("id", "timestamp_seconds(id) AS ts", "component", "ok").coalesce(1).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("id long, ts timestamp, component string, ok boolean").parquet(f"{base}/in")
-    jobs.latest_into(jobs.status_changes(stream), f"{base}/out", f"{base}/cp", ["component"])
-    assert {(r["component"], r["status"]) for r in jobs.newest(spark, f"{base}/out", ["component"]).collect()} == {("x", "unhealthy"), ("y", "healthy"), ("z", "degraded")}
+    jobs.status_into(stream, f"{base}/out", f"{base}/cp")
+    assert {(r["component"], r["status"]) for r in jobs.status_of(spark, f"{base}/out").collect()} == {("x", "unhealthy"), ("y", "healthy"), ("z", "degraded")}
+
+
+def test_a_run_of_failures_goes_on_from_batch_to_batch(spark):
+    base = folder()
+    schema = "id long, ts timestamp, component string, ok boolean"
+    for batch, oks in enumerate([(True, False), (False,), (False,)]):
+        rows = [(10 * batch + i, "x", ok) for i, ok in enumerate(oks)]
+        spark.createDataFrame(rows, "id long, component string, ok boolean").selectExpr("id", "timestamp_seconds(id) AS ts", "component", "ok").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        jobs.status_into(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/cp")
+        row = jobs.status_of(spark, f"{base}/out").first()
+        assert (row["checks"], row["failed"], row["status"]) == (batch + 2, batch + 1, ("degraded", "degraded", "unhealthy")[batch])
