@@ -49,6 +49,7 @@ UNITS_SHOWN = {"temperature": "°C", "voltage": "V", "current": "A", "power": "W
 NUMBERED_STANDARD = r"\b(?:IS|EN|IEC|BS|NFPA|IEEE|ISO|ASTM|DIN)[\s-]?\d+(?:[-/:]\d+)*(?:\s*[:\(]\d{4}[:\)])?"
 STANDARD_CONTEXT = r"\b(?:IS|EN|IEC|BS|NFPA|IEEE|ISO|ASTM|DIN)[\s-]?\d+[-/:0-9]*"
 PREFIXES = ("en ", "en-", "bs ", "bs-", "is ", "is-", "iec ", "iec-", "iso ")
+_PREFIX = "|".join(PREFIXES)
 YEAR = r"\b(19[89]\d|20[0-3]\d)\b"
 # Patterns of what a value describes, by type, and words that are taken otherwise.
 SUBJECTS = {
@@ -122,14 +123,16 @@ def typed(text: Column) -> Column:
         def valid(v):
             begin = F.greatest(v["start"] - 25, F.lit(0))
             near = F.lower(F.substr(text, begin + 1, v["start"] + F.length(v["original"]) + 10 - begin))
-            standard = (v["value"] == F.floor(v["value"])) & v["value"].between(1000, 99999) & F.exists(F.array(*[F.lit(p) for p in PREFIXES]), lambda p: F.contains(near, p))
+            standard = (v["value"] == F.floor(v["value"])) & v["value"].between(1000, 99999) & near.rlike(_PREFIX)
             inside = F.coalesce(v["value"] >= kind["low"], F.lit(True)) & F.coalesce(v["value"] <= kind["high"], F.lit(True))
             return inside & ~F.array_contains(taboo, v["value"]) & ~standard
 
         def described(v):
             begin = F.greatest(v["start"] - 60, F.lit(0))
             context = F.lower(F.substr(text, begin + 1, v["start"] + F.length(v["original"]) + 20 - begin))
-            return F.struct(kind["type"].alias("type"), v["value"].alias("value"), v["original"].alias("original"), v["start"].alias("start"), subject(context, kind).alias("subject"))
+            # the context is cut out once
+            named = F.transform(F.array(context), lambda c: subject(c, kind))[0]
+            return F.struct(kind["type"].alias("type"), v["value"].alias("value"), v["original"].alias("original"), v["start"].alias("start"), named.alias("subject"))
 
         return F.transform(F.filter(found, valid), described)
 
