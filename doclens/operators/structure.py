@@ -78,7 +78,8 @@ def semantic_breaks(docs: DataFrame, id_col: str, percentile: float = 0.95) -> D
     own = Window.partitionBy("doc_id").orderBy("i")
     words = T.tokens(F.col("s"))
     rows = rows.withColumn("w", words).withColumn("distance", F.when(F.col("i") > 0, F.round(1 - T.overlap_ratio(F.lag("w").over(own), F.col("w")), 6)))
-    limit = F.percentile("distance", percentile).over(Window.partitionBy("doc_id"))
+    # rounded, so that ties don't hang on how a percentile is interpolated
+    limit = F.round(F.percentile("distance", percentile).over(Window.partitionBy("doc_id")), 9)
     rows = rows.withColumn("limit", limit).withColumn("chunk", F.sum(F.coalesce((F.col("distance") > F.col("limit")).cast("int"), F.lit(0))).over(own))
     return rows.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n_sentences"), F.array_join(F.sort_array(F.collect_list(F.struct("i", "s")))["s"], " ").alias("text"))
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import structure as S
 from ..sources.corpus import SPEC_SQL, spec_chunks, spec_markdown, spec_tables, table
 from .registry import query
+from .retrieval import TOKEN_SQL
 
 MD_SQL = "md AS (SELECT 'ORD-' || (pos // 10) AS doc, (row_number() OVER (PARTITION BY pos // 10 ORDER BY pos))::INTEGER AS section, ((pos % 10) % 3 + 1)::INTEGER AS level, section_number AS number, section_title AS title, text AS content FROM spec)"
 
@@ -54,7 +55,14 @@ def context_prefixes(spark, sf_dir):
     return rows.select("chunk_id", S.context_prefix(F.col("file_name"), F.concat_ws(" ", "section_number", "section_title"), F.col("page_number"), F.col("i"), F.col("n")).alias("prefix"))
 
 
-@query()
+_OVERLAP_SQL = "CASE WHEN greatest(len(w), len(pw)) > 0 THEN len(list_intersect(w, pw)) / greatest(len(w), len(pw)) ELSE 0 END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS text FROM p), w AS (SELECT *, list_distinct({TOKEN_SQL}) AS w FROM s),
+    l AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS pw FROM w), d AS (SELECT *, CASE WHEN i > 1 THEN round(1 - {_OVERLAP_SQL}, 6) END AS distance FROM l),
+    q AS (SELECT *, round(quantile_cont(distance, 0.95) OVER (PARTITION BY doc_id), 9) AS lim FROM d), c AS (SELECT *, sum(CASE WHEN distance > lim THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS chunk FROM q)
+    SELECT doc_id, chunk, count(*) AS n_sentences, string_agg(text, ' ' ORDER BY i) AS text FROM c GROUP BY doc_id, chunk""")
 def semantic_chunks(spark, sf_dir):
     return S.semantic_breaks(table(spark, sf_dir, "documents"), "doc_id")
 
