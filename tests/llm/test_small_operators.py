@@ -36,6 +36,13 @@ def test_counts_equal_the_library(spark):
     assert token_counts.token_counts(df.limit(0), PATH).count() == 0
 
 
+def test_one_very_long_word():
+    rng = random.Random(12)
+    word = "".join(rng.choice("abcdefghij") for _ in range(60_000))
+    want = len(library([word])[0])
+    assert token_counts.count_tokens([word], PATH).tolist() == [want] and len(packing.encoded([word], PATH)[0]) == 4 * want
+
+
 def test_splitter_does_not_depend_on_chunks(monkeypatch):
     t = texts(200, 2)
     whole = token_counts.words_of(t)[0]
