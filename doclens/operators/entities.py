@@ -129,6 +129,11 @@ def unstored(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("rule_text").distinct(), "rule_text", "left_anti").withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
+def unmined(documents: DataFrame, rules: DataFrame) -> DataFrame:
+    """Documents (file_name) that no stored rule comes from."""
+    return documents.select("file_name").distinct().join(rules.select(F.col("source_doc").alias("file_name")).distinct(), "file_name", "left_anti")
+
+
 def bullets(answers: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, pos, bullet, source): bullet lines of an answer and the "(Source, 1.2)" they cite, as Source#1.2."""
     line = F.posexplode(F.split("text", "\n")).alias("pos", "line")

@@ -145,3 +145,12 @@ def expanded_results(results: DataFrame, asked: DataFrame, found: DataFrame, edg
     order = Window.partitionBy("query_id").orderBy(F.desc("n"), "src")
     sections = reached.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= further).select("query_id", F.lit("graph").alias("source_type"), "pos", F.col("src").alias("id"))
     return results.filter(F.col("rank") <= first).select("query_id", F.lit("vector").alias("source_type"), F.col("rank").alias("pos"), "id").unionByName(sections)
+
+
+def with_references(results: DataFrame, edges_: DataFrame, first: int = 5) -> DataFrame:
+    """(query_id, id, rank, references): each result with the first standards that its section refers to; none gives an empty list."""
+    order = Window.partitionBy("src").orderBy("dst")
+    refers = edges_.filter("type = 'REFERS_TO' AND src LIKE 'sec:%'").select("src", "dst", F.row_number().over(order).alias("n")).filter(F.col("n") <= first)
+    lists = refers.groupBy("src").agg(F.array_sort(F.collect_list(F.substr("dst", F.lit(5)))).alias("references"))
+    rows = results.select("query_id", "id", "rank", F.concat(F.lit("sec:"), "file_name", F.lit("#"), "section_number").alias("src"))
+    return rows.join(lists, "src", "left").select("query_id", "id", "rank", F.coalesce("references", F.array().cast("array<string>")).alias("references"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns
 from ..functions import values as V
 from ..operators import comparison as C
+from ..operators import entities as E
 from ..sources.corpus import CLAUSE_SQL, clause_chunks, order_pairs
 from ..sources.store import stored
 from .registry import query
@@ -130,3 +131,10 @@ _GROUPS_SQL = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(
     FROM m WHERE list_has_any(t1, t2) AND len(n1) > 0 AND len(n2) > 0 AND n1 <> n2""")
 def conflict_analysis(spark, sf_dir):
     return C.conflict_analysis(stored(clause_chunks(spark, sf_dir)), order_pairs(spark, sf_dir))
+
+
+@query(f"WITH {CLAUSE_SQL}, m AS (SELECT DISTINCT file_name FROM cl WHERE regexp_matches(text, '(?i)\\bmandatory\\b')) SELECT DISTINCT file_name FROM cl WHERE file_name NOT IN (SELECT file_name FROM m)")
+def unmined_documents(spark, sf_dir):
+    chunks = clause_chunks(spark, sf_dir)
+    rules = chunks.filter(F.col("text").rlike(r"(?i)\bmandatory\b")).select(F.col("file_name").alias("source_doc"))
+    return E.unmined(chunks, rules)

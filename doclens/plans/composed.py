@@ -107,3 +107,12 @@ def adaptive_search(spark, sf_dir):
     lists = _lists(spark, sf_dir).withColumn("source", F.when(F.col("source") == "keys", "metadata").otherwise(F.col("source")))
     lists = lists.select("source", "query_id", "id", "rank").unionByName(R.vector_top_k(vectors, questions, 20).select(F.lit("vector").alias("source"), "query_id", "id", "rank"))
     return R.hybrid(lists, R.adaptive_weights(R.analyse(asked)))
+
+
+@query(f"""WITH {SPEC_SQL}, {STD_SQL}, {EDGES_SQL}, {QUESTIONS_SQL}, {RESULTS_SQL},
+    r5 AS (SELECT src, dst[5:] AS s FROM ed WHERE type = 'REFERS_TO' AND src LIKE 'sec:%' QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5),
+    ls AS (SELECT src, string_agg(s, ',' ORDER BY s) AS refs FROM r5 GROUP BY src)
+    SELECT query_id, id, rank, coalesce(refs, '') AS refs FROM res LEFT JOIN ls ON ls.src = 'sec:' || file_name || '#' || section_number""")
+def results_with_references(spark, sf_dir):
+    found = G.with_references(_spec_results(spark, sf_dir), _edges(spark, sf_dir))
+    return found.select("query_id", "id", "rank", F.array_join("references", ",").alias("refs"))
