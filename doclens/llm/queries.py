@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, mixing, ngram_join, packing, pii, suffix_dedup, tiff, token_counts, topk
+from . import chunk_bpe, html_extract, langid, mixing, ngram_join, packing, pii, suffix_dedup, tiff, token_counts, topk
 from .common import table
 
 
@@ -58,8 +58,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing, op12_chunk_bpe)}
 
 
 ORACLE_SQL = {
