@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, html_extract, langid, mixing, ngram_join, packing, pii, suffix_dedup, tiff, token_counts, topk
+from . import chunk_bpe, html_extract, langid, mixing, ngram_join, packing, pii, prefix_trie, suffix_dedup, tiff, token_counts, topk
 from .common import table
 
 
@@ -58,12 +58,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing, op12_chunk_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing, op11_prefix_trie, op12_chunk_bpe)}
 
 
 ORACLE_SQL = {
@@ -117,4 +121,32 @@ ORACLE_SQL = {
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         ) SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INTEGER))::BIGINT AS taken FROM r
     """,
+    "op11_prefix_trie": """
+        WITH crc AS (
+            SELECT list(v ORDER BY i) AS crc FROM (
+                SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i)
+            )
+        ), t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS l FROM t GROUP BY conv_id
+        ), h AS (
+            SELECT conv_id, l, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                lambda a, b: xor(a >> 8, crc[(xor(a, b) % 256 + 1)::INTEGER])), 4294967295::UBIGINT) % 4)::INTEGER AS h FROM own, crc
+        ), s AS (
+            SELECT a.conv_id, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS s FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20
+        ), x AS (
+            SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM s)
+        ), n AS (
+            SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM x GROUP BY p, d
+        ), k AS (
+            SELECT p[1:d - 1] AS p, count(*) AS k FROM n WHERE d > 0 GROUP BY 1
+        ), m AS (
+            SELECT n.*, coalesce(k.k, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.p[n.d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS saved FROM n LEFT JOIN k ON k.p = n.p
+        ), u AS (
+            SELECT p[1:a] AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM m) GROUP BY 1
+        ) SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+                 u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(m.e) AS ends_sha256
+        FROM m JOIN u ON u.p = m.p LEFT JOIN m q ON m.d > 0 AND q.p = m.p[1:m.d - 1]
+    """,
 }
