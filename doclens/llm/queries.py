@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, html_extract, langid, mixing, ngram_join, packing, pii, prefix_trie, suffix_dedup, tiff, token_counts, topk
+from . import chunk_bpe, html_extract, langid, mixing, ngram_join, packing, pii, prefix_trie, structure_repair, suffix_dedup, tiff, token_counts, topk
 from .common import table
 
 
@@ -66,8 +66,12 @@ def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing, op11_prefix_trie, op12_chunk_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_tiff_pages, op4_exact_topk, op5_suffix_dedup, op6_pii, op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_mixing, op11_prefix_trie, op12_chunk_bpe, op13_structure_repair)}
 
 
 ORACLE_SQL = {
@@ -149,4 +153,52 @@ ORACLE_SQL = {
                  u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(m.e) AS ends_sha256
         FROM m JOIN u ON u.p = m.p LEFT JOIN m q ON m.d > 0 AND q.p = m.p[1:m.d - 1]
     """,
+    "op13_structure_repair": """
+        WITH RECURSIVE crc AS (
+            SELECT list(v ORDER BY i) AS crc FROM (
+                SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i)
+            )
+        ), o AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, (xor(list_reduce(list_prepend(4294967295::UBIGINT,
+                list_transform(string_split(conv_id::VARCHAR || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: xor(a >> 8, crc[(xor(a, b) % 256 + 1)::INTEGER])), 4294967295::UBIGINT) % 20)::INTEGER AS k
+            FROM conversations, crc WHERE conv_id IS NOT NULL
+        ), t AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, o.role, o.text, c) AS i
+            FROM (SELECT *, unnest(range(0, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c FROM o) o
+        ), f AS (
+            SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+                WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS f,
+                lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next_r FROM t
+        ), n AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1, 0) - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+                   count(*) FILTER (f = 't') AS truncated, count(*) FILTER (next_r IS NOT NULL AND (r || next_r) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+        ), w AS (  -- from the last row to the first: the least (cost, audit) to the end from each state 0 nothing, 1 s, 2 u, 3 pair
+            SELECT conv_id, n AS i, [{'c': 0::BIGINT, 'a': ''}, {'c': 4, 'a': 'II'}, {'c': 2, 'a': 'I'}, {'c': 0, 'a': ''}] AS v FROM n
+            UNION ALL
+            SELECT conv_id, i - 1, list_transform(range(1, 5), lambda s: list_min([v[s], {'c': v[to_[s]].c + 2, 'a': 'I' || v[to_[s]].a}, {'c': v[to_[to_[s]]].c + 4, 'a': 'II' || v[to_[to_[s]]].a}])) FROM (
+                SELECT w.conv_id, w.i, to_, list_transform(range(1, 5), lambda s: list_min([
+                    {'c': w.v[s].c + 3, 'a': 'D' || w.v[s].a},
+                    {'c': CASE WHEN f.f IN ('b', 'd') THEN 1000000000 ELSE w.v[to_[s]].c + 2 + (f.f = 't')::BIGINT END, 'a': 'R' || w.v[to_[s]].a},
+                    CASE WHEN f.r = 's' AND s = 1 AND f.f NOT IN ('b', 'd') THEN {'c': w.v[2].c + (f.f = 't')::BIGINT, 'a': 'K' || w.v[2].a}
+                         WHEN f.r = CASE s WHEN 3 THEN 'a' ELSE 'u' END AND f.f NOT IN ('b', 'd') THEN {'c': w.v[to_[s]].c + (f.f = 't')::BIGINT, 'a': 'K' || w.v[to_[s]].a}
+                         ELSE {'c': 1000000000, 'a': ''} END])) AS v
+                FROM w JOIN f ON f.conv_id = w.conv_id AND f.i = w.i, (SELECT [3, 3, 4, 3] AS to_))
+        ), a AS (
+            SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM w WHERE i = 0
+        ), l AS (  -- along the audit: rows used, role expected next, repaired lines
+            SELECT conv_id, 0 AS p, 0::BIGINT AS i, 'u' AS expected, []::VARCHAR[] AS lines FROM a
+            UNION ALL
+            SELECT conv_id, p + 1, i, CASE WHEN letter = 'D' THEN expected WHEN left(given, 1) = 'u' THEN 'a' ELSE 'u' END,
+                   CASE WHEN letter = 'D' THEN lines ELSE list_append(lines, given || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END) END
+            FROM (
+                SELECT l.conv_id, l.p, a.audit[l.p + 1] AS letter, l.i + (a.audit[l.p + 1] <> 'I')::BIGINT AS i, l.expected, l.lines, f.text,
+                       CASE WHEN a.audit[l.p + 1] = 'K' THEN f.role WHEN l.expected = 'u' THEN 'user' ELSE 'assistant' END AS given
+                FROM l JOIN a ON a.conv_id = l.conv_id LEFT JOIN f ON f.conv_id = l.conv_id AND f.i = l.i + 1 WHERE l.p < length(a.audit))
+        ), h AS (
+            SELECT l.conv_id, sha256(array_to_string(l.lines, chr(10))) AS repaired_sha256 FROM l JOIN a ON a.conv_id = l.conv_id AND l.p = length(a.audit)
+        ) SELECT c.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(n.duplicate, 0)::BIGINT AS duplicate, coalesce(n.truncated, 0)::BIGINT AS truncated,
+                 coalesce(n.illegal, 0)::BIGINT AS illegal, coalesce(a.cost, 0)::BIGINT AS cost, coalesce(a.audit, '') AS audit, coalesce(h.repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM o) c LEFT JOIN n ON n.conv_id = c.conv_id LEFT JOIN a ON a.conv_id = c.conv_id LEFT JOIN h ON h.conv_id = c.conv_id
+    """,
 }
