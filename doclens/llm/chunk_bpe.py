@@ -237,7 +237,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             for run in _batches(pdf):
                 found = {d: c for i in run for c, d, m in marked(pdf["text"].iat[i]) if m}
-                yield pd.DataFrame({"digest": list(found), "text": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"digest": list(found), "text": list(found.values())})
 
     def encode(batches):
         own = codec(path)
