@@ -56,34 +56,34 @@ def listed_sha256(rows: DataFrame, group: str, number: str, steps: Steps) -> Dat
 
     def join(batches):
         key, held = None, []
-        for (found,), part in runs(batches, [group]):
-            numbers = part[number].tolist()
-            while numbers:
+        for pdf in batches:
+            out = []
+            for found, n_ in zip(pdf[group].tolist(), pdf[number].tolist()):
                 if held and (found != key or len(held) >= JOINED_ROWS):
-                    yield pd.DataFrame({group: [key], "first": [held[0]], "text": [",".join(map(str, held))]})
+                    out.append((key, held[0], ",".join(map(str, held))))
                     held = []
-                key, room = found, JOINED_ROWS - len(held)
-                held, numbers = held + numbers[:room], numbers[room:]
+                key = found
+                held.append(n_)
+            if out:
+                yield pd.DataFrame(out, columns=[group, "first", "text"])
         if held:
-            yield pd.DataFrame({group: [key], "first": [held[0]], "text": [",".join(map(str, held))]})
+            yield pd.DataFrame([(key, held[0], ",".join(map(str, held)))], columns=[group, "first", "text"])
 
     def fold(batches):
-        key, sha, done = None, None, ([], [])
-        for (found,), part in runs(batches, [group]):
-            texts = part["text"].tolist()
-            if sha is not None and found == key:
-                texts.insert(0, "")
-            else:
+        key, sha = None, None
+        for pdf in batches:
+            done = []
+            for found, text in zip(pdf[group].tolist(), pdf["text"].tolist()):
+                if sha is not None and found == key:
+                    sha.update(b"," + text.encode())
+                    continue
                 if sha is not None:
-                    done[0].append(key)
-                    done[1].append(sha.hexdigest())
-                key, sha = found, hashlib.sha256()
-            sha.update(",".join(texts).encode())
-            if len(done[0]) >= JOINED_ROWS:
-                yield pd.DataFrame({group: done[0], "sha256": done[1]})
-                done = ([], [])
+                    done.append((key, sha.hexdigest()))
+                key, sha = found, hashlib.sha256(text.encode())
+            if done:
+                yield pd.DataFrame(done, columns=[group, "sha256"])
         if sha is not None:
-            yield pd.DataFrame({group: [*done[0], key], "sha256": [*done[1], sha.hexdigest()]})
+            yield pd.DataFrame([(key, sha.hexdigest())], columns=[group, "sha256"])
 
     held = steps.written(rows.select(group, number))
     lists = held.repartitionByRange(n, group, number).sortWithinPartitions(group, number).mapInPandas(join, f"{group} {kind}, first long, text string")
