@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as T
 
@@ -86,30 +84,27 @@ def best_sources(scores: DataFrame, k: int = 5) -> DataFrame:
 def cached(rows: DataFrame, minutes: int = 60) -> DataFrame:
     """rows (id, key, ts) with hit: whether a lookup at ts finds its key stored less than `minutes` before; a miss stores it anew, a hit doesn't renew.
 
-    The rule is sequential per key: the time of the last store goes along with each
-    key's lookups in order of ts and id, one batch in memory at a time.  A lookup without a time misses and
-    stores nothing; a null key is a key.
+    Where a key rests for that long, what follows is a store in any case, so its
+    lookups are cut there: sums by lifetime find the pauses, and no window sees a key's
+    lookups.  Each run's distinct times, as numbers, are then folded in order.  Of
+    lookups at one time the one with the least id is first, and ids are unique there.
+    A lookup without a time misses and stores nothing; a null key is a key.
     """
-    lifetime, columns = minutes * 60_000_000, rows.columns
-    schema = StructType([*rows.schema.fields, StructField("hit", BooleanType())])
-
-    def run(batches):
-        last, stored = None, None
-        for batch in batches:
-            hits = []
-            for key, at in zip(batch.column("__key").to_pylist(), batch.column("__at").to_pylist()):
-                if key != last:
-                    last, stored = key, None
-                hit = at is not None and stored is not None and at - stored < lifetime
-                if at is not None and not hit:
-                    stored = at
-                hits.append(hit)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(hits, pa.bool_())], names=[*columns, "hit"])
-
+    lifetime = minutes * 60_000_000
     # never null, so that null keys stand together
     key = F.concat(F.when(F.col("key").isNull(), "0").otherwise("1"), F.coalesce(F.col("key").cast("string"), F.lit("")))
     ready = rows.withColumns({"__key": key, "__at": F.unix_micros(F.col("ts").cast("timestamp"))})
-    return ready.repartition("__key").sortWithinPartitions("__key", "ts", "id").mapInArrow(run, schema)
+    times = ready.filter("__at IS NOT NULL").groupBy("__key", "__at").agg(F.min("id").alias("__id")).withColumn("__slot", F.floor(F.col("__at") / lifetime))
+    slots = times.groupBy("__key", "__slot").agg(F.min("__at").alias("low"), F.max("__at").alias("high"))
+    in_key = Window.partitionBy("__key").orderBy("__slot")
+    pause = F.col("low") - F.lag("high").over(in_key) >= lifetime
+    slots = slots.withColumn("__pause", F.coalesce(pause, F.lit(True)).cast("int")).withColumn("__run", F.sum("__pause").over(in_key)).select("__key", "__slot", "__run")
+    runs = times.join(slots, ["__key", "__slot"]).groupBy("__key", "__run").agg(F.sort_array(F.collect_list(F.struct("__at", "__id"))).alias("all"))
+    step = lambda held, x: F.when((F.size(held) == 0) | (x["__at"] - F.element_at(held, -1)["__at"] >= lifetime), F.concat(held, F.array(x))).otherwise(held)
+    kept = runs.select("__key", F.explode(F.aggregate("all", F.slice("all", 1, 0), step)).alias("x")).select("__key", "x.__at", "x.__id", F.lit(True).alias("__stores"))
+    met = ready.join(kept, (ready["__key"] == kept["__key"]) & (ready["__at"] == kept["__at"]) & (ready["id"] == kept["__id"]), "left")
+    hit = F.col("__stores").isNull() & F.col("ts").isNotNull()
+    return met.select(*[ready[c] for c in rows.columns], hit.alias("hit"))
 
 
 def cache_statistics(lookups: DataFrame) -> DataFrame:

@@ -79,7 +79,11 @@ def recent_feedback(spark, sf_dir):
     return feedback(spark, sf_dir).withColumn("n", F.row_number().over(order)).filter("n <= 3").select("user_id", "feedback_id", "query", "ts")
 
 
-LOOKUP_SQL = "lk AS (SELECT event_id AS id, ts, sha256(lower(trim(event_type || ' ' || (user_id % 40))) || '|') AS key, coalesce(ts - INTERVAL 60 MINUTE <= lag(ts) OVER (PARTITION BY event_type, user_id % 40 ORDER BY ts, event_id), false) AS hit FROM events)"
+#: The rule as it stands: one lookup of a key after the other, each with the time of the last store.
+LOOKUP_SQL = """
+    l0 AS (SELECT event_id AS id, ts, sha256(lower(trim(event_type || ' ' || (user_id % 40))) || '|') AS key, row_number() OVER (PARTITION BY event_type, user_id % 40 ORDER BY ts, event_id) AS n FROM events),
+    lk AS (SELECT id, ts, key, n, ts AS stored, false AS hit FROM l0 WHERE n = 1
+           UNION ALL SELECT l0.id, l0.ts, l0.key, l0.n, CASE WHEN l0.ts - lk.stored < INTERVAL 60 MINUTE THEN lk.stored ELSE l0.ts END, l0.ts - lk.stored < INTERVAL 60 MINUTE FROM lk JOIN l0 ON l0.key = lk.key AND l0.n = lk.n + 1)"""
 
 
 def _lookups(spark, sf_dir):
@@ -88,17 +92,17 @@ def _lookups(spark, sf_dir):
     return B.cached(rows.select(F.col("event_id").alias("id"), "ts", cache_key(asked, F.lit("")).alias("key")))
 
 
-@query(f"WITH {LOOKUP_SQL} SELECT id, ts, key, hit FROM lk")
+@query(f"WITH RECURSIVE {LOOKUP_SQL} SELECT id, ts, key, hit FROM lk")
 def response_cache_lookups(spark, sf_dir):
     return _lookups(spark, sf_dir)
 
 
-@query(f"WITH {LOOKUP_SQL} SELECT count(*) AS lookups, count(*) FILTER (hit) AS hits, count(DISTINCT key) AS entries, round(count(*) FILTER (hit) / count(*) * 100, 6) AS hit_rate FROM lk")
+@query(f"WITH RECURSIVE {LOOKUP_SQL} SELECT count(*) AS lookups, count(*) FILTER (hit) AS hits, count(DISTINCT key) AS entries, round(count(*) FILTER (hit) / count(*) * 100, 6) AS hit_rate FROM lk")
 def response_cache_statistics(spark, sf_dir):
     return B.cache_statistics(_lookups(spark, sf_dir))
 
 
-@query(f"WITH {LOOKUP_SQL}, e AS (SELECT key, max(ts) AS last_access FROM lk GROUP BY key), n AS (SELECT *, row_number() OVER (ORDER BY last_access DESC, key) AS n, count(*) OVER () AS total FROM e) SELECT key, last_access FROM n WHERE n <= CASE WHEN total > 150 THEN 135 ELSE total END")
+@query(f"WITH RECURSIVE {LOOKUP_SQL}, e AS (SELECT key, max(ts) AS last_access FROM lk GROUP BY key), n AS (SELECT *, row_number() OVER (ORDER BY last_access DESC, key) AS n, count(*) OVER () AS total FROM e) SELECT key, last_access FROM n WHERE n <= CASE WHEN total > 150 THEN 135 ELSE total END")
 def cache_size_cap(spark, sf_dir):
     return B.kept_entries(_lookups(spark, sf_dir).groupBy("key").agg(F.max("ts").alias("last_access")), 150)
 
@@ -123,7 +127,7 @@ def component_health(spark, sf_dir):
     return B.health(rows)
 
 
-@query(f"""WITH {LOOKUP_SQL}, s AS (SELECT 'response_cache' AS store, count(*) FILTER (NOT hit) AS expired, count(DISTINCT key) AS entries, round(count(*) FILTER (hit) / count(*) * 100, 6) AS hit_rate, 0 AS total, 100.0 AS positive_rate FROM lk
+@query(f"""WITH RECURSIVE {LOOKUP_SQL}, s AS (SELECT 'response_cache' AS store, count(*) FILTER (NOT hit) AS expired, count(DISTINCT key) AS entries, round(count(*) FILTER (hit) / count(*) * 100, 6) AS hit_rate, 0 AS total, 100.0 AS positive_rate FROM lk
     UNION ALL SELECT 'feedback', 0, 0, 100.0, count(*), round(count(*) FILTER (event_type IN ('purchase', 'signup')) / count(*) * 100, 6) FROM events)
     SELECT store, unnest(list_filter([CASE WHEN expired > 100 THEN 'clear expired entries' END, CASE WHEN hit_rate < 50 AND entries > 10 THEN 'raise the lifetime of entries' END, CASE WHEN positive_rate < 70 AND total > 20 THEN 'review negative feedback' END], lambda x: x IS NOT NULL)) AS advice FROM s""")
 def maintenance_recommendations(spark, sf_dir):
