@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
+from ..operators import asof
 from ..operators import feedback as B
 from ..sources.corpus import FEEDBACK_SQL, feedback, table
 from .registry import query
@@ -116,6 +117,19 @@ def semantic_cache(spark, sf_dir):
     return B.nearest_cached(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), entries, 0.3)
 
 
+#: Embeddings as what was asked: a moment for each, out of order of their ids.
+ASKED_SQL = "v AS (SELECT vec_id, TIMESTAMP '2024-01-01' + to_minutes((vec_id * 7919) % 100003) AS ts, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+@query(f"""WITH {ASKED_SQL}, e AS (SELECT *, row_number() OVER (ORDER BY ts, vec_id) AS n FROM v), l AS (SELECT e.*, (rank() OVER (ORDER BY ts)) - 1 AS seen FROM e),
+    s AS (SELECT l.vec_id AS query_id, e.vec_id AS key, round(list_cosine_similarity(l.v, e.v), 6) AS similarity FROM l JOIN e ON e.n <= l.seen AND e.n > l.seen - 100 AND e.ts > l.ts - INTERVAL 7 DAY AND e.vec_id <> l.vec_id)
+    SELECT query_id, key, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key) = 1 AND similarity >= 0.3""")
+def semantic_cache_as_of(spark, sf_dir):
+    moment = F.timestamp_add("minute", F.col("vec_id") * 7919 % 100003, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), moment.alias("ts"))
+    return asof.nearest_before(rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "key"), 0.3)
+
+
 @query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(len(text)), 6) AS avg_chars, max(turn) AS last_turn FROM conversations GROUP BY role")
 def history_statistics(spark, sf_dir):
     return B.history_statistics(table(spark, sf_dir, "conversations"))

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources.corpus import FEEDBACK_SQL
+from ..functions.text import cache_key
+from ..sources.corpus import FEEDBACK_SQL, table
 from ..sources.store import scratch
-from ..streaming import jobs
+from ..streaming import cache_state, jobs
+from .feedback import LOOKUP_SQL
 from .registry import query
 
 
@@ -43,3 +45,14 @@ def stream_windowed_feedback(spark, sf_dir):
     out = jobs.windowed_counts(jobs.as_feedback(_events(spark, sf_dir)))
     jobs.run_available(out, rows, checkpoint)
     return spark.read.schema("begin timestamp, finish timestamp, document_name string, n long").parquet(rows)
+
+
+@query(f"WITH RECURSIVE {LOOKUP_SQL} SELECT id, ts, key, hit FROM lk")
+def stream_cache_lookups(spark, sf_dir):
+    """Lookups of all events, in files as they came, through keyed state in several batches."""
+    rows, checkpoint = _paths(spark)
+    events = table(spark, sf_dir, "events")
+    asked = F.concat("event_type", F.lit(" "), (F.col("user_id") % 40).cast("string"))
+    cache_state.replayed(events.select(F.col("event_id").alias("id"), cache_key(asked, F.lit("")).alias("key"), "ts"), f"{rows}-source", 4)
+    cache_state.run_lookups(spark, f"{rows}-source", rows, checkpoint)
+    return cache_state.judged(spark, rows).select("id", "ts", "key", "hit")
