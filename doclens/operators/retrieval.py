@@ -32,20 +32,22 @@ def ranked(df: DataFrame, k: int, score: str = "score", by: str = "query_id", ti
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", query_col: str = "query_id") -> DataFrame:
     """(query_id, id, score, rank): idf = ln((N - df + .5) / (df + .5) + 1); repeated query terms count again; only scores above 0.
 
-    Texts are cut into terms once: entries of the questions' terms are stored with
-    their chunk's length, and counts of terms and chunks come from what is stored.
-    The questions' terms are stored too, so that their size is known and they are
-    sent to the scan where they are few.
+    The texts are scanned once: each chunk gives its entries of the questions' terms
+    and one entry of no term, which carries its length; only these are stored, and counts of
+    terms and chunks come from them.  The questions' terms are stored too, so that
+    their size is known and they are sent to the scan where they are few.
     """
     asked = stored(questions.select(F.col(query_col).alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
-    words = stored(chunks.select(F.col(id_col).alias("id"), T.tokens(F.col("text")).alias("words")))
-    sizes = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    entries = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    words = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col("text")).alias("words"))
+    entries = words.select("id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
     entries = stored(entries.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")))
+    sizes = entries.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean")).first()
+    entries = entries.filter("term <> ''")
     df = F.col("df")
-    idf = F.log((F.lit(sizes["n"]) - df + 0.5) / (df + 0.5) + 1)
+    idf = F.log((F.lit(sizes["n"] or 0) - df + 0.5) / (df + 0.5) + 1)
     weights = asked.join(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(sizes["mean"])))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(sizes["mean"] or 1.0)))
     total = entries.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
     return ranked(total, k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..functions import text as T
+from ..operators import impact_index
 from ..operators import retrieval as R
 from ..sources.corpus import SPEC_SQL, feedback, spec_chunks, table
 from ..sources.store import stored
@@ -32,6 +33,13 @@ def bm25_search(spark, sf_dir):
     return _bm25(spark, sf_dir)
 
 
+@query(f"WITH {BM25_SQL.format(k=10)} SELECT query_id, id, score, rank FROM bm25")
+def bm25_index_search(spark, sf_dir):
+    """The same questions through the stored index, which reads the ranges that can still matter."""
+    index, docs, n = impact_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return impact_index.search(index, docs, n, table(spark, sf_dir, "benchmark"), query_col="item_id")[0]
+
+
 @query(f"WITH t AS (SELECT doc_id, unnest({TOKEN_SQL}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def bm25_term_stats(spark, sf_dir):
     return R.term_stats(R.postings(table(spark, sf_dir, "documents"), "doc_id"))
