@@ -8,6 +8,7 @@ from ..functions import patterns
 from ..functions import text as T
 from ..operators import impact_index
 from ..operators import retrieval as R
+from ..operators import vector_index
 from ..sources.corpus import SPEC_SQL, feedback, spec_chunks, table
 from ..sources.store import stored
 from .registry import query
@@ -74,6 +75,16 @@ def vector_top_k(spark, sf_dir):
     return R.vector_top_k(rows, _centroids(rows))
 
 
+@query()
+def approximate_vector_search(spark, sf_dir):
+    """Every twentieth vector against all of them, through the index; its recall is measured in a test."""
+    rows = table(spark, sf_dir, "embeddings")
+    own = stored(vector_index.usable(rows, "vec_id", "embedding"))
+    model = vector_index.fit(own)
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(vector_index.build(own, model), model, own, asked)
+
+
 def _lists(spark, sf_dir):
     """Two ranked lists for each benchmark question: BM25 and shared rare trigram keys."""
     lexical = _bm25(spark, sf_dir, 20).select(F.lit("bm25").alias("source"), "query_id", "id", "score", "rank")

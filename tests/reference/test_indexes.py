@@ -2,7 +2,9 @@
 
 import random
 
-from doclens.operators import impact_index, retrieval
+import numpy as np
+
+from doclens.operators import impact_index, retrieval, vector_index
 
 DOCS = "doc_id long, text string"
 
@@ -28,3 +30,27 @@ def test_pruned_search_equals_bm25_and_reads_less(spark, monkeypatch):
     assert 0 < read < 0.6 * held and all(r["read"] <= r["held"] for r in counted)
     empty = impact_index.build(docs.limit(0))
     assert impact_index.search(*empty, questions)[0].count() == 0
+
+
+def test_recall_of_the_vector_index(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "BLOCK", 100)
+    monkeypatch.setattr(vector_index, "CHUNK", 10)
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 24))
+    data = middles[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (None, [1.0] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    own = vector_index.usable(df, "vec_id", "embedding")
+    assert own.count() == 4001
+    model = vector_index.fit(own)
+    index = vector_index.build(own, model)
+    assert index.selectExpr("sum(size(ids))").first()[0] == 4001 and index.count() > len(model.centres) // 2
+    asked = df.filter("vec_id % 20 = 0").select("vec_id", "embedding").toDF("query_id", "vector")
+    found = {(r["query_id"], r["id"]) for r in vector_index.search(index, model, own, asked).collect()}
+    exact = {(r["query_id"], r["id"]): r["score"] for r in retrieval.vector_top_k(df.filter("vec_id <> 5002"), asked.filter("query_id < 5000")).collect()}
+    assert len(found & set(exact)) >= 0.9 * len(exact) > 0
+    # all cells probed and many codes looked at: nothing is missed
+    every = vector_index.search(index, model, own, asked.filter("query_id < 200"), probes=len(model.centres), looked_at=30).collect()
+    assert {(r["query_id"], r["id"]): r["score"] for r in every} == {k: s for k, s in exact.items() if k[0] < 200}
+    none = own.limit(0)
+    assert vector_index.search(vector_index.build(none, vector_index.fit(none)), vector_index.fit(none), none, asked.limit(0)).count() == 0
