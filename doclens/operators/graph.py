@@ -63,6 +63,36 @@ def neighbours(edges_: DataFrame, start: DataFrame, hops: int = 2, limit: int =
     return reached.filter("hops > 0")
 
 
+def walks(edges_: DataFrame, start: DataFrame, hops: int = 3, limit: int = 50) -> DataFrame:
+    """(start, node, hops, path): the nodes that `neighbours` finds, each with its shortest way there, an array of (type, node) for each step.
+
+    Edges (src, dst, type) may be walked either way; a shortest way takes none twice.  Of
+    several the least by type and node, step for step, is kept.  Which nodes enter is decided
+    on the first neighbours of each node alone; the way is then sought between the nodes of the
+    last hop and those that enter, at most `limit` of each a start, so no hub is read whole.
+    """
+    both = edges_.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type").union(edges_.select("dst", "src", "type")).filter("a <> b")
+    links = stored(both.groupBy("a", "b").agg(F.min("type").alias("type")))
+    first = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    near = stored(links.withColumn("n", first).filter(F.col("n") <= 2 * limit + 1).select("a", "b"))
+    nothing = F.array().cast("array<struct<type:string,node:string>>")
+    reached = stored(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops"), nothing.alias("path")).distinct())
+    front = reached
+    for hop in range(1, hops + 1):
+        step = front.join(near, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+        step = step.join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        had = reached.groupBy("start").agg((F.count(F.lit(1)) - 1).alias("had"))
+        step = step.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("node"))).join(had, "start")
+        enter = stored(step.filter(F.col("n") + F.col("had") <= limit).select("start", "node"))
+        ways = front.select("start", F.col("node").alias("a"), "path").join(enter.withColumnRenamed("node", "b"), "start").join(links, ["a", "b"])
+        way = F.concat("path", F.array(F.struct("type", F.col("b").alias("node"))))
+        step = stored(ways.groupBy("start", F.col("b").alias("node")).agg(F.lit(hop).alias("hops"), F.min(way).alias("path")))
+        reached = reached.unionByName(step)
+        full = reached.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("start")
+        front = step.join(full, "start", "left_anti")
+    return reached.filter("hops > 0")
+
+
 def document_references(edges_: DataFrame) -> DataFrame:
     """(document, standards, sections): sorted lists of what each document refers to and contains."""
     of = edges_.filter(F.col("src").startswith("doc:"))

@@ -52,6 +52,23 @@ def graph_neighbours(spark, sf_dir):
     return G.neighbours(edges, edges.filter("dst LIKE 'std:%'").select(F.col("dst").alias("id")).distinct())
 
 
+WALK_SQL = """
+    b AS (SELECT a, b, min(type) AS type FROM (SELECT src AS a, dst AS b, type FROM ed UNION ALL SELECT dst, src, type FROM ed) WHERE a <> b GROUP BY a, b),
+    w AS (SELECT DISTINCT dst AS start, dst AS node, 0::INTEGER AS hops, []::STRUCT(type VARCHAR, node VARCHAR)[] AS path FROM ed WHERE dst LIKE 'std:%'
+        UNION ALL SELECT start, node, hops, path FROM (
+            SELECT w.start, b.b AS node, w.hops + 1 AS hops, list_append(w.path, {'type': b.type, 'node': b.b}) AS path,
+                   row_number() OVER (PARTITION BY w.start, b.b ORDER BY list_append(w.path, {'type': b.type, 'node': b.b})) AS n
+            FROM w JOIN b ON b.a = w.node WHERE w.hops < 3 AND b.b <> w.start AND NOT list_contains(list_transform(w.path, lambda p: p.node), b.b)) WHERE n = 1),
+    sh AS (SELECT * FROM w WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY hops, path) = 1)"""
+
+
+@query(f"WITH RECURSIVE {SPEC_SQL}, {STD_SQL}, {EDGES_SQL}, {WALK_SQL} SELECT start, node, hops, array_to_string(list_transform(path, lambda p: p.type), ',') AS types, array_to_string(list_transform(path, lambda p: p.node), ',') AS via FROM sh QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, node) <= 50")
+def graph_walks(spark, sf_dir):
+    edges = stored(_edges(spark, sf_dir))
+    found = G.walks(edges, edges.filter("dst LIKE 'std:%'").select(F.col("dst").alias("id")).distinct())
+    return found.select("start", "node", "hops", F.array_join("path.type", ",").alias("types"), F.array_join("path.node", ",").alias("via"))
+
+
 @query(f"WITH {SPEC_SQL}, {STD_SQL}, {EDGES_SQL} SELECT src AS document, string_agg(dst, ',' ORDER BY dst) FILTER (type = 'REFERS_TO') AS standards, string_agg(dst, ',' ORDER BY dst) FILTER (type = 'CONTAINS') AS sections FROM ed WHERE src LIKE 'doc:%' GROUP BY src")
 def document_references(spark, sf_dir):
     return G.document_references(_edges(spark, sf_dir)).select("document", F.array_join("standards", ",").alias("standards"), F.array_join("sections", ",").alias("sections"))
