@@ -97,64 +97,59 @@ RELATED = (
 MANDATORY = r"(?i)\b(?:shall|must|required|mandatory|compulsory|essential)\b"
 
 
-def places(text: Column, pattern: Column) -> Column:
-    """(start, match) of each match of a pattern, from 0; the text is cut once."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("before"), m.alias("match")))
-    ends = lambda part: F.aggregate(part, F.lit(0), lambda a, p: a + p["before"] + F.length(p["match"]))
-    found = F.transform(F.array(pairs), lambda all_: F.transform(all_, lambda p, i: F.struct((ends(F.slice(all_, F.lit(1), i)) + p["before"]).alias("start"), p["match"].alias("match"))))[0]
-    # the piece behind the last match stands alone
-    return F.filter(found, lambda p: p["match"].isNotNull())
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def typed(text: Column) -> Column:
-    """All values of a text as (type, value, original, start, subject), by type in order, then place.
+def places(text: str, pattern: str) -> str:
+    """(start, match) of each match of a pattern in a text column, from 0, as SQL; the pattern is compiled once and the text cut once.
+
+    Matches stand between two marks, which in the text itself become blanks; a piece is a
+    match, its mark, and what stands before the next one.
+    """
+    marked = f"regexp_replace(translate({text}, '\\u0001\\u0002', '  '), {_quoted(pattern)}, '\\u0001$0\\u0002')"
+    step = "named_struct('at', acc.at + length(piece) - 1, 'found', concat(acc.found, array(named_struct('start', acc.at, 'match', substring_index(piece, '\\u0002', 1)))))"
+    begin = "named_struct('at', length(pieces[0]), 'found', CAST(array() AS array<struct<start:int,match:string>>))"
+    return f"transform(array(split({marked}, '\\u0001', -1)), pieces -> aggregate(slice(pieces, 2, size(pieces)), {begin}, (acc, piece) -> {step}, acc -> acc.found))[0]"
+
+
+def _subject(kind: str) -> str:
+    """What a value describes, as SQL: the first pattern of its type in the context c, else the first technical word with the type, else the type."""
+    named = [f"nullif(lower(trim(regexp_substr(c, {_quoted('(?i)' + p)}))), '')" for p in SUBJECTS.get(kind, ())]
+    technical = f"get(filter(regexp_extract_all(c, {_quoted(chr(92) + 'b([a-z]{4,})' + chr(92) + 'b')}, 1), w -> w IN ({', '.join(map(_quoted, TECHNICAL_WORDS))})), 0)"
+    return f"coalesce({', '.join([*named, f'concat({technical}, {_quoted(" " + kind.replace("_", " "))})', _quoted(kind)])})"
+
+
+def _kept(text: str, kind: str, pattern: str) -> str:
+    """The values of one type, as SQL; `taboo` holds the numbers that are none."""
+    low, high = RANGES.get(kind, (None, None))
+    around = lambda before, after: f"lower(substr({text}, greatest(v.start - {before}, 0) + 1, v.start + length(v.original) + {after} - greatest(v.start - {before}, 0)))"
+    found = f"transform({places(text, pattern)}, p -> named_struct('start', p.start, 'original', p.match, 'value', CAST(regexp_extract(p.match, '^[0-9]+(?:[.][0-9]+)?', 0) AS double)))"
+    standard = f"(v.value = floor(v.value) AND v.value BETWEEN 1000 AND 99999 AND {around(25, 10)} RLIKE {_quoted(_PREFIX)})"
+    inside = [f"v.value >= {low}"] * (low is not None) + [f"v.value <= {high}"] * (high is not None)
+    valid = " AND ".join([f"NOT array_contains(taboo, v.value) AND NOT {standard}", *inside])
+    # the context is cut out once
+    named = f"transform(array({around(60, 20)}), c -> {_subject(kind)})[0]"
+    described = f"named_struct('type', {_quoted(kind)}, 'value', v.value, 'original', v.original, 'start', v.start, 'subject', {named})"
+    return f"CASE WHEN {text} RLIKE {_quoted(pattern)} THEN transform(filter({found}, v -> {valid}), v -> {described}) ELSE {_NOTHING} END"
+
+
+_NOTHING = "CAST(array() AS array<struct<type:string,value:double,original:string,start:int,subject:string>>)"
+
+
+def typed(text: str) -> Column:
+    """All values of a text column, by its name, as (type, value, original, start, subject), by type in order, then place.
 
     Left out are numbers that stand in a standard's number or are years of the
     text, those of 1,000 and more near a standard's prefix, and those outside the
-    range of their type.
+    range of their type.  The rule stands in the plan once for each type, so that its
+    patterns are constants, and runs where the type's pattern is found.  It is SQL as
+    text, because a column of some ten thousand calls takes longer to build than to run.
     """
-    digits = lambda pattern: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0))))
-    years = F.regexp_extract_all(text, F.lit(YEAR), F.lit(0))
-    numbers = F.transform(F.concat(digits(NUMBERED_STANDARD), digits(STANDARD_CONTEXT), years), lambda n: n.cast("double"))
-
-    def kept(kind: Column, taboo: Column) -> Column:
-        found = F.transform(places(text, kind["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["match"].alias("original"), F.regexp_extract(p["match"], r"^\d+(?:\.\d+)?", 0).cast("double").alias("value")))
-
-        def valid(v):
-            begin = F.greatest(v["start"] - 25, F.lit(0))
-            near = F.lower(F.substr(text, begin + 1, v["start"] + F.length(v["original"]) + 10 - begin))
-            standard = (v["value"] == F.floor(v["value"])) & v["value"].between(1000, 99999) & near.rlike(_PREFIX)
-            inside = F.coalesce(v["value"] >= kind["low"], F.lit(True)) & F.coalesce(v["value"] <= kind["high"], F.lit(True))
-            return inside & ~F.array_contains(taboo, v["value"]) & ~standard
-
-        def described(v):
-            begin = F.greatest(v["start"] - 60, F.lit(0))
-            context = F.lower(F.substr(text, begin + 1, v["start"] + F.length(v["original"]) + 20 - begin))
-            # the context is cut out once
-            named = F.transform(F.array(context), lambda c: subject(c, kind))[0]
-            return F.struct(kind["type"].alias("type"), v["value"].alias("value"), v["original"].alias("original"), v["start"].alias("start"), named.alias("subject"))
-
-        return F.transform(F.filter(found, valid), described)
-
-    # the table of types is one constant: the rule stands in the plan once, not once for each type
-    types = F.filter(_types(), lambda kind: F.rlike(text, kind["pattern"]))
-    every = F.transform(F.array(numbers), lambda taboo: F.flatten(F.transform(types, lambda kind: kept(kind, taboo))))[0]
-    return F.when(text.rlike(r"\d"), every).otherwise(F.array().cast("array<struct<type:string,value:double,original:string,start:int,subject:string>>"))
-
-
-def _types() -> Column:
-    """The parameter types in order: type, pattern, low, high, patterns of subjects."""
-    bound = lambda kind, i: F.lit(RANGES.get(kind, (None, None))[i]).cast("double")
-    subjects = lambda kind: F.array(*[F.lit("(?i)" + p) for p in SUBJECTS.get(kind, ())]).cast("array<string>")
-    return F.array(*[F.struct(F.lit(kind).alias("type"), F.lit("(?i)" + p).alias("pattern"), bound(kind, 0).alias("low"), bound(kind, 1).alias("high"), subjects(kind).alias("subjects")) for kind, p in VALUE_PATTERNS.items()])
-
-
-def subject(context: Column, kind: Column) -> Column:
-    """What a value describes: the first pattern of its type in the context, else the first technical word with the type, else the type."""
-    named = F.filter(F.transform(kind["subjects"], lambda p: F.lower(F.trim(F.regexp_substr(context, p)))), lambda w: F.coalesce(w, F.lit("")) != "")
-    words = F.regexp_extract_all(context, F.lit(r"\b([a-z]{4,})\b"), F.lit(1))
-    technical = F.get(F.filter(words, lambda w: w.isin(*TECHNICAL_WORDS)), F.lit(0))
-    return F.coalesce(F.get(named, F.lit(0)), F.concat(technical, F.lit(" "), F.translate(kind["type"], "_", " ")), kind["type"])
+    digits = lambda pattern: f"flatten(transform(regexp_extract_all({text}, {_quoted(pattern)}, 0), s -> regexp_extract_all(s, '[0-9]+', 0)))"
+    taboo = f"transform(concat({digits(NUMBERED_STANDARD)}, {digits(STANDARD_CONTEXT)}, regexp_extract_all({text}, {_quoted(YEAR)}, 0)), n -> CAST(n AS double))"
+    each = ", ".join(_kept(text, kind, "(?i)" + p) for kind, p in VALUE_PATTERNS.items())
+    return F.expr(f"CASE WHEN {text} RLIKE '[0-9]' THEN transform(array({taboo}), taboo -> flatten(array({each})))[0] ELSE {_NOTHING} END")
 
 
 def subjects_related(a: Column, b: Column) -> Column:

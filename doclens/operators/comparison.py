@@ -15,9 +15,14 @@ from ..functions import text as T
 from ..functions import values as V
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all tasks: partitions small in bytes would put the work of patterns on few of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def chunk_values(chunks: DataFrame) -> DataFrame:
     """(chunk_id, file_name, i, type, value, original, start, subject) of every value; i counts a chunk's values from 0."""
-    rows = chunks.select("chunk_id", "file_name", F.posexplode(V.typed(F.col("text"))).alias("i", "v"))
+    rows = spread(chunks.select("chunk_id", "file_name", "text")).select("chunk_id", "file_name", F.posexplode(V.typed("text")).alias("i", "v"))
     return rows.select("chunk_id", "file_name", "i", "v.*")
 
 
@@ -81,7 +86,7 @@ def requirement_conflicts(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     wanted = mandatory_requirements(chunks)
     found = best_chunks(wanted, chunks, pairs)
-    required = wanted.select("chunk_id", "sentence_pos", "sentence", F.posexplode(V.typed(F.col("sentence"))).alias("i", "v")).select("chunk_id", "sentence_pos", "sentence", "i", F.col("v.type").alias("type"), F.col("v.value").alias("required_value"), F.col("v.subject").alias("required_subject"))
+    required = spread(wanted.select("chunk_id", "sentence_pos", "sentence")).select("chunk_id", "sentence_pos", "sentence", F.posexplode(V.typed("sentence")).alias("i", "v")).select("chunk_id", "sentence_pos", "sentence", "i", F.col("v.type").alias("type"), F.col("v.value").alias("required_value"), F.col("v.subject").alias("required_subject"))
     first = chunk_values(chunks).groupBy(F.col("chunk_id").alias("source_chunk"), "type").agg(F.min_by(F.struct("value", "subject"), "i").alias("s"))
     rows = found.join(required, ["chunk_id", "sentence_pos"]).join(first, ["source_chunk", "type"]).filter(F.col("s.value") != F.col("required_value"))
     keys = ["source_doc", "reference_doc", "chunk_id", "sentence_pos"]

@@ -10,21 +10,21 @@ from ..functions import text as T
 from ..functions.values import places
 
 
-def positioned(text: Column, pattern: str) -> Column:
-    """(start, match) of each match, from 0, by cutting the text at its matches."""
-    return places(text, F.lit(pattern))
+def positioned(text: str, pattern: str) -> Column:
+    """(start, match) of each match in a text column, from 0, by cutting the text at its matches."""
+    return F.expr(places(text, pattern))
 
 
 def standards(chunks: DataFrame) -> DataFrame:
     """(chunk_id, file_name, key, reference, start): the first occurrence of each standard in a chunk."""
-    rows = chunks.select("chunk_id", "file_name", F.explode(positioned(F.col("text"), patterns.STANDARD)).alias("m"))
+    rows = chunks.select("chunk_id", "file_name", F.explode(positioned("text", patterns.STANDARD)).alias("m"))
     rows = rows.select("chunk_id", "file_name", patterns.canonical(F.col("m.match")).alias("key"), F.col("m.match").alias("reference"), F.col("m.start").alias("start"))
     return rows.groupBy("chunk_id", "file_name", "key").agg(F.min_by("reference", "start").alias("reference"), F.min("start").alias("start"))
 
 
 def quantities(chunks: DataFrame, around: int = 30) -> DataFrame:
     """(chunk_id, file_name, value, unit, kind, start, context): each quantity with the characters around it."""
-    found = positioned(F.col("text"), patterns.QUANTITY.replace("(?:[^A-Za-z0-9]|$)", "(?=[^A-Za-z0-9]|$)"))
+    found = positioned("text", patterns.QUANTITY.replace("(?:[^A-Za-z0-9]|$)", "(?=[^A-Za-z0-9]|$)"))
     rows = chunks.select("chunk_id", "file_name", "text", F.explode(found).alias("m"))
     kinds = F.create_map(*[F.lit(x) for pair in patterns.UNITS.items() for x in pair])
     unit = F.regexp_extract("m.match", "[A-Za-z][A-Za-z0-9]*$", 0)
