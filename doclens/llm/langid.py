@@ -127,7 +127,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A model of the rows that hold a letter and a language; None if there are none.
 
     Document frequencies count all of them; the weights are fitted on the same
-    number of rows from each language, sample_rows in all, picked by a hash of the id.
+    number of rows from each language, sample_rows in all and no more however ids
+    and rows repeat, picked by a hash of id and text.  Rows without an id aren't picked.
     """
     rows = labelled.filter(has_letter(text_col) & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
@@ -154,11 +155,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     # a share of each language by the hash, several times what is wanted, so that no language is ranked whole
     key = F.xxhash64("id", "text")
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, OVERSHOOT * wanted / n))) for lang, n in held.items()])
-    keyed = rows.select("id", "lang", key.alias("key")).filter(F.pmod("key", F.lit(1 << 30)) <= share * (1 << 30))
+    keyed = rows.select("id", "lang", key.alias("key")).filter(F.pmod("key", F.lit(1 << 30)) <= share * (1 << 30)).distinct()
     order = Window.partitionBy("lang").orderBy("key", "id")
-    picked = keyed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= wanted).select("id", "lang", "n")
-    # at most sample_rows rows of an id and a language
-    sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("text", "lang", "n", F.xxhash64("id").alias("h"))
+    picked = keyed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= wanted).select("id", "lang", "key", "n")
+    # rows that share all three are copies of one, which stands for them
+    met = rows.withColumn("key", key).join(F.broadcast(picked), ["id", "lang", "key"])
+    sample = met.groupBy("lang", "n").agg(F.first("text").alias("text"), F.xxhash64(F.first("id")).alias("h"))
 
     def featured(batches):
         for pdf in batches:

@@ -358,3 +358,14 @@ def test_interval_of_one_byte_alphabet():
     docs = [b"a" * 250]
     owner, place, near, far, _ = suffix_dedup.anchors(docs)
     assert sum(far - near + 1) == 151 and set(owner) == {0}
+
+
+def test_language_sample_stays_bounded_under_repeated_ids(spark, monkeypatch):
+    seen = []
+    real = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda x, y, n: (seen.append(len(x)), real(x, y, n))[1])
+    rows = [(7, f"the quick brown fox number {i}", "en") for i in range(75)] + [(7, f"der schnelle braune fuchs nummer {i}", "de") for i in range(75)] + [(8, "the lazy dog", "en")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df) is not None and seen[-1] <= 151
+    assert langid.fit(df, sample_rows=20) is not None and seen[-1] <= 20
+    assert langid.fit(df.limit(0)) is None
