@@ -39,6 +39,8 @@ from .suffix_dedup import _bitmap, _in_bitmap
 MEAN, LEAST, GREATEST, WINDOW = 512, 128, 4096, 32
 #: Fields whose ids a worker keeps; beyond it the store is emptied and fills again.
 KEPT_FIELDS, FIELD_CHARS = 400_000, 64
+#: What stands between fields that go to the library together, and how many do.
+MARK, JOINED = "\x00", 1000
 #: Rows, and characters, that a task works on at a time.
 ROWS, BATCH_CHARS = 500, 1 << 21
 
@@ -57,30 +59,50 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         n = self.library.get_vocab_size(with_added_tokens=True)
+        self.width = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.tokens = [self.library.id_to_token(i) or "" for i in range(n)]
         self.numbers = [str(i) for i in range(n)]
         self.known: dict[str, bytes] = {}
 
+    def _by_library(self, fields: list[str]) -> dict[str, bytes]:
+        """The ids of fields: many in one call, with a mark of a known id between them; those that hold a mark or a special string one by one."""
+        apart = [f for f in fields if self.mark is None or MARK in f or "<|" in f]
+        found = {f: np.array(e.ids, self.width).tobytes() for f, e in zip(apart, self.library.encode_batch_fast(apart, add_special_tokens=False))}
+        rest = fields if not apart else [f for f in fields if f not in found]
+        runs = [rest[i : i + JOINED] for i in range(0, len(rest), JOINED)]
+        for run, e in zip(runs, self.library.encode_batch_fast([f" {MARK} ".join(run) for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.width)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            if len(ends) != len(run):
+                raise ValueError("a mark between fields was not kept")
+            found.update((f, ids[a:b].tobytes()) for f, a, b in zip(run, [0, *[x + 1 for x in ends]], ends))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit numbers; fields are encoded one by one, those met before are looked up."""
+        """The ids of each text as numbers of `width`; fields are encoded one by one, those met before are looked up."""
         fields = [split(t) for t in texts]
-        missing = list({f for run in fields for f in run if f not in self.known})
-        new = {f: np.array(e.ids, "<i4").tobytes() for f, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False))}
+        new = self._by_library(list({f for run in fields for f in run if f not in self.known}))
         if len(self.known) + len(new) > KEPT_FIELDS:
             new |= {f: self.known[f] for run in fields for f in run if f in self.known}
             self.known.clear()
-        known = self.known
-        out = [b"".join([known.get(f) or new.get(f) or b"" for f in run]) for run in fields]
+        known, look = self.known, (new or self.known).get
+        out = [b"".join([known.get(f) or look(f) or b"" for f in run]) for run in fields]
         self.known.update((f, i) for f, i in new.items() if len(f) <= FIELD_CHARS)
         return out
 
+    def field(self, field: str) -> bytes:
+        """The ids of one field."""
+        return self.known.get(field) or self.encode([field])[0]
+
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with special tokens for a file without a decoder: tokens joined by one space."""
         return " ".join([self.tokens[i] for i in ids])
 
     def digests(self, ids: bytes) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded text."""
-        held = np.frombuffer(ids, "<i4").tolist()
+        held = np.frombuffer(ids, self.width).tolist()
         written = " ".join([self.numbers[i] for i in held])
         return len(held), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(self.decode(held).encode()).hexdigest()
 
@@ -148,9 +170,9 @@ def stitched(parts: list[tuple[str | None, bytes | None, str | None, str | None]
 
     def repaired(right: str) -> bytes:
         """Ids of the window, without those of the outer fields that the chunks keep."""
-        whole = codec.encode([window + right])[0]
-        before = codec.encode([split(left)[0]])[0] if left else b""
-        after = codec.encode([split(right)[-1]])[0] if right else b""
+        whole = b"".join([codec.field(f) for f in split(window + right)])
+        before = codec.field(split(left)[0]) if left else b""
+        after = codec.field(split(right)[-1]) if right else b""
         if not (whole.startswith(before) and whole.endswith(after) and len(whole) >= len(before) + len(after)):
             raise ValueError("chunks can't be joined: a token reaches over white space")
         return whole[len(before) : len(whole) - len(after)]
@@ -163,13 +185,12 @@ def stitched(parts: list[tuple[str | None, bytes | None, str | None, str | None]
                 continue
             ids, (head, tail) = codec.encode([text])[0], found
         first, rest = split(head), split(tail)
-        n_head, n_outer = (len(codec.encode([h])[0]) for h in (head, first[1]))
+        n_first = len(codec.field(first[0]))
         if begun is not None:
             out.append(begun)
         out.append(repaired(head))
         # the chunk's own ids from its second field on, up to and with its last but one
-        n_last = len(codec.encode([rest[1]])[0])
-        begun = ids[n_head - n_outer : len(ids) - n_last]
+        begun = ids[n_first : len(ids) - len(codec.field(rest[1]))]
         left = window = tail
     if begun is not None:
         out.append(begun)
