@@ -247,7 +247,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     if not any(m for _, _, m in found):
                         alone.append((doc_id, text))
                         continue
-                    key = hashlib.sha256(text.encode()).digest()
+                    key = digest(text)
                     out.append((LINK, doc_id, key, None, None, None, None, None, None))
                     out += [(PIECE, None, key, n, d, None if m else c, None, None, None) for n, (c, d, m) in enumerate(found)]
                 for (doc_id, _), ids in zip(alone, own.encode([t for _, t in alone])):
