@@ -133,14 +133,69 @@ def metadata_search(spark, sf_dir):
     return R.key_search(keyed(spec_chunks(spark, sf_dir), "chunk_id", "id"), keyed(_questions(spark, sf_dir), "query_id", "query_id"))
 
 
-@query(f"WITH {SPEC_SQL}, {QUESTIONS_SQL}, k AS (SELECT DISTINCT chunk_id AS id, regexp_extract(text, 'rated ([0-9]+ A) ', 1) AS key FROM spec WHERE text LIKE '%shall be rated%'), q AS (SELECT query_id, regexp_extract(text, 'for ([0-9]+ A) ', 1) AS key FROM qs), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id)::INTEGER AS rank FROM q JOIN k USING (key) QUALIFY rank <= 20) SELECT query_id, id, 1::BIGINT AS shared, rank, round(1.0 / rank, 6) AS score FROM r")
+QUANTITY_SQL = "'" + patterns.QUANTITY + "'"
+QUANTITIES_SQL = f"SELECT DISTINCT {{id}} AS {{name}}, replace(v, ',', '.')::DOUBLE::BIGINT || ' ' || u AS key FROM (SELECT {{id}}, unnest(regexp_extract_all(text, {QUANTITY_SQL}, 1)) AS v, unnest(regexp_extract_all(text, {QUANTITY_SQL}, 2)) AS u FROM {{table}})"
+
+
+@query(f"WITH {SPEC_SQL}, {QUESTIONS_SQL}, k AS ({QUANTITIES_SQL.format(id='chunk_id', name='id', table='spec')}), q AS ({QUANTITIES_SQL.format(id='query_id', name='query_id', table='qs')}), c AS (SELECT query_id, id, count(*) AS shared FROM q JOIN k USING (key) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, id)::INTEGER AS rank FROM c QUALIFY rank <= 20) SELECT query_id, id, shared, rank, round(1.0 / rank, 6) AS score FROM r")
 def entity_search(spark, sf_dir):
     def keyed(df, i, name):
         found = F.transform(patterns.quantities(F.col("text")), lambda q: F.concat(q["value"].cast("long").cast("string"), F.lit(" "), q["unit"]))
         return df.select(F.col(i).alias(name), F.explode(F.array_distinct(found)).alias("key"))
 
-    chunks = spec_chunks(spark, sf_dir).filter(F.contains("text", F.lit("shall be rated")))
-    return R.key_search(keyed(chunks, "chunk_id", "id"), keyed(_questions(spark, sf_dir), "query_id", "query_id"))
+    return R.key_search(keyed(spec_chunks(spark, sf_dir), "chunk_id", "id"), keyed(_questions(spark, sf_dir), "query_id", "query_id"))
+
+
+#: What users' turns ask, besides their own words: a question of each intent, in English and Turkish.
+ASKED = (
+    "What is the definition of a cable tray?",
+    "Calculate the current for 2,5 mm2 at 16 A and 230 V.",
+    "See EN 50123-2 and IS3043 on earthing.",
+    "Table value rating for 10 kW motors, 0.75 kV",
+    "hangi kablo kesiti için kaç A ve kaç mm2?",
+    "How are luminaires of 500 lux fixed?",
+)
+TURNS_SQL = "us AS (SELECT conv_id * 1000 + turn AS query_id, text || ' ' || CASE (conv_id + turn) % 6 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(ASKED)) + " END AS text FROM conversations WHERE role = 'user')"
+
+
+def _turns(spark, sf_dir):
+    """The user turns of all conversations, each with one of ASKED behind it."""
+    kind = (F.col("conv_id") + F.col("turn")) % len(ASKED)
+    rows = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat_ws(" ", "text", F.element_at(F.array(*[F.lit(q) for q in ASKED]), (kind + 1).cast("int"))).alias("text"))
+
+
+_WORDS = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+
+
+@query(f"""WITH {TURNS_SQL}, t AS (SELECT query_id, text, lower(replace(text, 'İ', 'i')) AS low, {TOKEN_SQL} AS w, regexp_extract_all(text, '(?:^|[^A-Za-z0-9.,])([0-9]+(?:[.,][0-9]+)?)', 1) AS numbers,
+        list_sort(list_distinct(regexp_extract_all(text, {QUANTITY_SQL}, 2))) AS units, list_sort(list_distinct(list_transform(regexp_extract_all(text, {STANDARD_SQL}), lambda s: {CANON_SQL.format('s')}))) AS refs FROM us),
+    c AS (SELECT *, len(list_filter(w, lambda x: x IN ('table', 'row', 'column', 'value', 'rating'))) AS tables FROM t),
+    i AS (SELECT *, CASE WHEN regexp_matches(low, '\\b(what is|define|definition|meaning)\\b') AND len(numbers) = 0 THEN 'definition' WHEN regexp_matches(low, '\\b(calculate|compute|how many|how much|sum)\\b') THEN 'calculation'
+        WHEN len(refs) > 0 THEN 'reference' WHEN (len(numbers) > 0 AND len(units) > 0 AND tables > 0) OR tables >= 2 THEN 'table_lookup' ELSE 'general' END AS intent FROM c)
+    SELECT query_id, CASE WHEN regexp_matches(low, '[ğışİ]') OR len(list_filter(w, lambda x: x IN {_WORDS(R.TURKISH)})) >= 2 THEN 'tr' ELSE 'en' END AS language, len(numbers)::BIGINT AS n_numbers,
+           round(list_sum(list_transform(numbers, lambda n: replace(n, ',', '.')::DOUBLE)), 6) AS sum_numbers, array_to_string(units, ',') AS units, array_to_string(refs, ',') AS refs, intent,
+           array_to_string(list_sort(list_distinct(list_filter(w, lambda x: length(x) > 3 AND x NOT IN {_WORDS(T.QUESTION_WORDS)}))), ',') AS keywords,
+           CASE intent WHEN 'definition' THEN 0.6 WHEN 'calculation' THEN 0.3 WHEN 'reference' THEN 0.2 WHEN 'table_lookup' THEN 0.2 ELSE 0.5 END::DOUBLE AS vector_weight FROM i""")
+def turn_analysis(spark, sf_dir):
+    """Every user turn analysed: language, numbers, units, references, intent, keywords."""
+    a = R.analyse(_turns(spark, sf_dir))
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    total = F.round(F.when(F.size("numbers") > 0, F.aggregate("numbers", F.lit(0.0), lambda s, x: s + x)), 6)
+    return a.select("query_id", "language", F.size("numbers").cast("long").alias("n_numbers"), total.alias("sum_numbers"), joined("units"), F.array_join(F.array_sort("references"), ",").alias("refs"), "intent", joined("keywords"), F.col("weights")["vector"].alias("vector_weight"))
+
+
+SYNONYMS_SQL = "VALUES ('cable tray', ['ladder', 'raceway']), ('cable', ['conductor', 'wire', 'lead']), ('table value', ['tabulated', 'listed']), ('luminaire', ['lamp', 'fixture', 'light fitting']), ('kablo', ['cable', 'kesit', 'iletken'])"
+
+
+@query(f"""WITH {TURNS_SQL}, y(key, words) AS ({SYNONYMS_SQL}), l AS (SELECT query_id, text, lower(replace(text, 'İ', 'i')) AS low FROM us),
+    h AS (SELECT query_id, low, words FROM l JOIN y ON contains(low, key) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(key) DESC, key DESC) = 1),
+    a AS (SELECT query_id, list_filter(words, lambda w: NOT contains(low, w))[1:3] AS added FROM h)
+    SELECT query_id, CASE WHEN added IS NULL THEN text || ' ' ELSE text || ' ' || array_to_string(added, ' ') END AS expanded FROM us LEFT JOIN a USING (query_id)""")
+def turn_expansion(spark, sf_dir):
+    """Every user turn with the synonyms it lacks, of the longest term it holds."""
+    rows = [("cable tray", ["ladder", "raceway"]), ("cable", ["conductor", "wire", "lead"]), ("table value", ["tabulated", "listed"]), ("luminaire", ["lamp", "fixture", "light fitting"]), ("kablo", ["cable", "kesit", "iletken"])]
+    return R.expand(_turns(spark, sf_dir), spark.createDataFrame(rows, "key string, words array<string>")).select("query_id", "expanded")
 
 
 @query(f"WITH {QUESTIONS_SQL} SELECT query_id, 'en' AS language, len(regexp_extract_all(text, '(?:^|[^A-Za-z0-9.,])([0-9]+(?:[.,][0-9]+)?)', 1)) AS n_numbers, 'A' AS units, 'EN' || (50000 + query_id * 3) || ',IS' || (3000 + query_id) AS refs, 'reference' AS intent, 'rating,does,give,cable,table,value,is' || (3000 + query_id) AS keywords, 0.4::DOUBLE AS metadata_weight FROM qs")
@@ -188,8 +243,8 @@ def feedback_rerank(spark, sf_dir):
     return R.feedback_rerank(_spec_results(spark, sf_dir), scores, ["file_name"]).select("query_id", "id", "score")
 
 
-@query(f"WITH {SPEC_SQL}, {QUESTIONS_SQL}, {RESULTS_SQL}, bad AS (SELECT DISTINCT 'SPEC-' || (coalesce(json_extract_string(props, '$.k')::INTEGER, 0) % 25) AS file_name FROM events WHERE event_type = 'error' AND event_id % 5 = 0), m AS (SELECT res.*, bad.file_name IS NOT NULL AS b FROM res LEFT JOIN bad ON res.file_name = bad.file_name AND section_number LIKE '1.%'), n AS (SELECT query_id, id, b, CASE WHEN b THEN round(score / 2, 6) ELSE score END AS score FROM m) SELECT query_id, id, score FROM n WHERE NOT b OR score >= 0.2")
+@query(f"WITH {SPEC_SQL}, {QUESTIONS_SQL}, {RESULTS_SQL}, bad AS (SELECT DISTINCT 'SPEC-' || (coalesce(json_extract_string(props, '$.k')::INTEGER, 0) % 25) AS file_name FROM events WHERE event_type = 'error'), m AS (SELECT res.*, bad.file_name IS NOT NULL AS b FROM res LEFT JOIN bad ON res.file_name = bad.file_name AND section_number LIKE '1.%'), n AS (SELECT query_id, id, b, CASE WHEN b THEN round(score / 2, 6) ELSE score END AS score FROM m) SELECT query_id, id, score FROM n WHERE NOT b OR score >= 0.2")
 def irrelevance_penalty(spark, sf_dir):
-    bad = feedback(spark, sf_dir).filter("feedback_type = 'negative' AND feedback_id % 5 = 0").select(F.lit("1").alias("pattern"), F.col("document_name").alias("source_ref"))
+    bad = feedback(spark, sf_dir).filter("feedback_type = 'negative'").select(F.lit("1").alias("pattern"), F.col("document_name").alias("source_ref"))
     rows = _spec_results(spark, sf_dir).withColumn("pattern", F.substring_index("section_number", ".", 1)).withColumn("source_ref", F.col("file_name"))
     return R.penalise(rows, bad).select("query_id", "id", "score")
