@@ -6,8 +6,10 @@ emitted floor(rate) times plus one hash-seeded Bernoulli copy whose probability
 is the fraction of the rate.
 
 The per-source sums are partial sums before any shuffle, so a source with a
-third of all rows costs one row per task.  The table of sources is small beside
-the documents (one row each); it is joined back by key, not collected.
+third of all rows costs one row per task.  The table of targets (a row for each
+source) is stored and counted before it is joined back: up to BROADCAST_BYTES of
+them go to every task, so that no text is moved.  Of more sources the largest do so, and the
+documents of the others, each of few words beside the whole, are joined by key.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 #: 52 bits, so that the quotient is a double without rounding.
 _DRAWS = float(1 << 52)
+#: Most bytes of targets, some 100 and the longest name for each source, that are sent to every task.
+BROADCAST_BYTES = 20_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -60,6 +66,17 @@ def draw(*columns: str, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(_DRAWS)
 
 
+def _joined(keyed: DataFrame, targets: DataFrame, key: str, has: str, size: str) -> DataFrame:
+    """The documents with their source's row of targets; sources of most words by broadcast, as many as BROADCAST_BYTES holds."""
+    n, longest = targets.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length(key)), F.lit(0))).first()
+    most = BROADCAST_BYTES // (100 + longest)
+    if n <= most:
+        return keyed.join(F.broadcast(targets), [key, has])
+    largest = written(targets.orderBy(F.desc(size), has, key).limit(most))
+    rest = keyed.join(F.broadcast(largest.select(key, has)), [key, has], "left_anti").join(targets, [key, has])
+    return keyed.join(F.broadcast(largest), [key, has]).unionByName(rest)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, prefix: str = "mix_") -> DataFrame:
     """The documents with size, source_size, target and copies, under names that start with prefix; all rows of docs kept.
 
@@ -72,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = docs.withColumns({size: n_words(F.col(text_col)), key: F.coalesce(F.col(source_col), F.lit("")), has: F.col(source_col).isNotNull()})
     sums = docs.select(F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sums, weights, share, most).select(F.coalesce("source", F.lit("")).alias(key), F.col("source").isNotNull().alias(has), F.col("source_size").alias(source_size), F.col("target").alias(target))
-    out = keyed.join(targets, [key, has]).drop(key, has)
+    out = _joined(keyed, written(targets), key, has, source_size).drop(key, has)
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return out.withColumn(copies, (whole + (draw(id_col) < rate - whole).cast("long")).cast("long"))

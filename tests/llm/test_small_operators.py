@@ -347,6 +347,15 @@ def test_mixture_meets_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixture_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (i % 7), f"s{i % 40}" if i % 3 else "hot") for i in range(900)] + [(901, "w", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r["doc_id"], r["mix_size"], r["mix_source_size"], r["mix_target"], r["mix_copies"])
+    want = sorted(map(key, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 500)
+    assert sorted(map(key, mixing.mix(df).collect())) == want and len(want) == 901
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
