@@ -213,7 +213,7 @@ class Page:
         return " ".join(out)
 
     def features(self) -> np.ndarray:
-        """Rows by node: tag, how its names and those of the elements around it speak, link share and amount of own and of all text below, its share of the page's text."""
+        """Rows by node: tag, how its names and those of the elements around it speak, link share and amount of own and of all text below and how much of its own text is linked, its share of the page's text."""
         n = len(self.tag)
         own, linked = np.array(self.own, float), np.array(self.linked, float)
         below, below_linked = own.copy(), linked.copy()
@@ -222,16 +222,25 @@ class Page:
             below_linked[self.parent[i]] += below_linked[i]
         x = np.zeros((n, N_FEATURES))
         rest = x[:, len(TAGS) + 1 :]
-        for i, (tag, attributes) in enumerate(zip(self.tag, self.attributes)):
+        share = below / max(below[0], 1)
+        tags = np.array(self.tag, dtype=object)
+        # a form around a page's parts, or nearly all of its text, is a mere container
+        parts = np.isin(tags, PARTS)
+        for i in range(n - 1, 0, -1):
+            parts[self.parent[i]] |= parts[i]
+        held = (tags == "form") & (parts | (share > WHOLE))
+        tags[held] = "div"
+        for i, (tag, attributes) in enumerate(zip(tags, self.attributes)):
             x[i, _TAG_AT.get(tag, len(TAGS))] = 1
             if attributes:
                 tokens = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower().split()
+                # that it is a form says nothing of what it holds
+                tokens = [t.replace("form", "") for t in tokens] if held[i] else tokens
                 against = max(map(speaks_against, tokens), default=0)
                 rest[i, 0], rest[i, 1] = against == 2, against == 1
                 rest[i, 2] = not against and any(not FOR.isdisjoint(_WORDS.findall(t)) for t in tokens)
                 rest[i, 3] = attributes.get("hidden", "false").lower() != "false" or attributes.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
-        share = below / max(below[0], 1)
-        apart = np.isin(self.tag, SETS_APART)
+        apart = np.isin(tags, SETS_APART)
         rest[:, 4] = 1
         rest[:, 5] = np.where(own > 0, linked / np.maximum(own, 1), 0)
         rest[:, 6] = np.where(below > 0, below_linked / np.maximum(below, 1), 0)
@@ -242,6 +251,7 @@ class Page:
         rest[:, 11] = rest[:, 2] * share
         rest[:, 12] = apart * share
         rest[:, 13] = rest[:, 6] * share
+        rest[:, 20] = rest[:, 5] * rest[:, 7]
         # what stands around a node: names against, tags that set apart, names for, article or main, with their shares
         around = np.stack([rest[:, 0], apart, rest[:, 2], np.isin(self.tag, ("article", "main"))], axis=1)
         for i in range(1, n):
@@ -254,7 +264,10 @@ class Page:
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 SETS_APART = ("nav", "header", "footer", "aside", "form", "menu", "fieldset", "button", "dialog")
 _TAG_AT = {t: i for i, t in enumerate(TAGS)} | {"#root": TAGS.index("html")}
-N_FEATURES = len(TAGS) + 21
+#: Elements that a page is divided by, as against those of a form, and the share of the text above which a form holds the page.
+PARTS = ("h1", "main", "article", "nav", "header", "footer", "aside")
+WHOLE = 0.8
+N_FEATURES = len(TAGS) + 22
 
 
 def levels(parent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

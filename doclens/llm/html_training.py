@@ -2,7 +2,8 @@
 
 A page is a main part in one of several containers (article, main, marked or
 neutral div, table cell, bare body) among menus, headers, notices, adverts, forms,
-sidebars, reader comments and footers.  Parts vary in number, order, length and
+sidebars, reader comments and footers; now and then one form holds all of them, or
+the paragraphs of the main part are links.  Parts vary in number, order, length and
 markup; words of class attributes stand on the wrong element now and then, so that
 no word alone decides.  Elements with data-main begin content, those with data-off
 end it.
@@ -86,8 +87,14 @@ class Maker:
             return f"<{kind}{self.marked(PART_CLASSES + NEUTRAL_CLASSES, 0.4)}>" + "".join(self.block(False) for _ in range(self.rng.randint(1, 3))) + f"</{kind}>"
         if kind == "open":
             return f"<p>{self.prose()}"
+        if self.maybe(0.08):
+            return self.linked()
         return f"<p>{self.prose()}</p>"
 
+    def linked(self) -> str:
+        """A paragraph that is one link."""
+        return f"<p><a href=/x>{self.words(*self.rng.choice(((12, 50), (40, 160))))}</a></p>"
+
     def off(self, kind: str, inside: bool = False) -> str:
         """A part that is no content."""
         mark, flag = self.marked(OFF[kind], 0.9), " data-off" if inside else ""
@@ -126,7 +133,8 @@ class Maker:
 
     def page(self) -> str:
         blocks = [f"<h1>{self.words(2, 9)}</h1>"] if self.maybe(0.75) else []
-        blocks += [self.block() for _ in range(self.rng.choice((1, 1, 2, 3, 4, 6, 9)))]
+        wholly = self.maybe(0.06)
+        blocks += [self.linked() if wholly else self.block() for _ in range(self.rng.choice((1, 1, 2, 3, 4, 6, 9)))]
         kind = self.rng.choice(("article", "article", "main", "both", "class", "class", "section", "neutral", "neutral", "table", "bare", "bare", "text", "raw"))
         if kind not in ("bare", "text", "raw"):
             for off in self.rng.sample(("share", "ad", "side", "form", "menu", "footer", "related"), self.rng.choice((0, 0, 0, 1, 1, 2))):
@@ -155,6 +163,8 @@ class Maker:
         if self.maybe(0.3) and kind != "bare":
             main = f"<div{self.marked(NEUTRAL_CLASSES, 0.7)}>{main}{self.closed(self.off('side')) if self.maybe(0.3) else ''}</div>"
         body = "".join(before) + main + "".join(after)
+        if self.maybe(0.1) and "<form" not in body:
+            body = f"<form{self.rng.choice((' id=aspnetForm', ' method=post action=/', ' class=page'))}>{body}</form>"
         head = "<!DOCTYPE html><html><head><title>t</title></head>" if self.maybe(0.7) else ""
         return head + (f"<body{self.marked(NEUTRAL_CLASSES, 0.2)}>{body}</body></html>" if self.maybe(0.85) else body)
 

@@ -25,6 +25,11 @@ HELD_OUT = [
     "<body><div class=cookie-banner><p>{p}</p><button>OK</button></div><main><h1>[[H]]</h1><p>[[{p}]]</p><aside><p>{p}</p></aside></main><form class=newsletter><p>{p}</p></form></body>",
     "<body><div class=ad>{p}</div><article><h1>[[H]]</h1><p>[[{p}]]<p>[[{p}]]</article><section class='reader-comments'><h3>Two comments</h3><article class=comment><p>{p}</p></article></section><footer><p>{p}</p></footer></body>",
     "<article><p>[[Area]] <math><mi>[[a]]</mi><mo>[[=]]</mo><mn>[[1]]</mn></math> [[holds]]</p></article>",
+    "<body><form id=aspnetForm><div><h1>[[T]]</h1><p>[[{p}]]</p><p>[[{p}]]</p></div></form></body>",
+    "<body><form id=form1 method=post><div><p>[[{p}]]</p></div></form></body>",
+    "<body><form action=/x><nav><a href=/>Home</a> <a href=/n>News</a></nav><div id=content><h1>[[T]]</h1><p>[[{p}]]</p></div><div class=sidebar><p>{p}</p></div><footer>(c) us</footer></form></body>",
+    "<main><p><a href=x>[[{p}]]</a></p></main><footer>c</footer>",
+    "<body><div class=content><h1>[[H]]</h1><p><a href=x>[[{p}]]</a></p><p>[[{p}]]</p></div><div class=related><ul><li><a href=/a>Another page</a></li><li><a href=/b>One more page</a></li></ul></div></body>",
 ]
 
 
@@ -33,6 +38,7 @@ def test_handmade_pages():
     for source in HELD_OUT:
         source = source.replace("{p}", LONG)
         text = h.main_texts([source.replace("[[", "").replace("]]", "")], h.default_model())[0]
+        assert text, source[:80]
         pieces = [p.split("]]")[0] for p in source.split("[[")[1:]]
         length = sum(len(" ".join(p.split())) for p in pieces)
         held = sum(len(p) for p in pieces if p in text)
