@@ -1,7 +1,7 @@
 """The registered queries and, where SQL can express them, their equivalents."""
 
 from . import registry
-from . import comparison, compliance, composed, documents, entities, feedback, graph, learning, more, retrieval, stores, stream  # noqa: F401  they register
+from . import comparison, compliance, composed, documents, entities, feedback, graph, learning, more, phrases, retrieval, stores, stream  # noqa: F401  they register
 
 
 def queries():
