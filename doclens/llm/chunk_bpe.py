@@ -17,13 +17,17 @@ depend on what stands there alone, so a passage is cut alike wherever it occurs.
    is done when the outer fields' new ids are exactly those of the chunks; this must
    happen, since no token reaches over white space, and is checked at each join.
 
-Ids of one field come from the library and are kept in a store of bounded size.
+Ids of one field are kept in a store of bounded size.  They come from the library, but
+for plain fields (short, of Latin letters, digits and ASCII signs) of a vocabulary for which
+tiktoken is shown to give the same ids; it takes a quarter of the time for a new field.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import Steps, whole_text
 from .shingles import mix
 from .suffix_dedup import _bitmap, _in_bitmap
+from .token_counts import _byte_letters
 
 #: Mean, least and greatest length of a chunk in characters, and the characters that a cut depends on.
 MEAN, LEAST, GREATEST, WINDOW = 512, 128, 4096, 32
@@ -41,6 +46,14 @@ MEAN, LEAST, GREATEST, WINDOW = 512, 128, 4096, 32
 KEPT_FIELDS, FIELD_CHARS = 400_000, 64
 #: What stands between fields that go to the library together, and how many do.
 MARK, JOINED = "\x00", 1000
+#: How a vocabulary file whose plain fields tiktoken may take changes and splits texts, and marks the end of a word.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SPLITS = [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+SUFFIX, END = "</w>", "\x00"
+#: Plain fields, and PATTERN for them in lower case: characters that compose with none of the others, and are letters, digits or signs in all versions of Unicode.
+PLAIN = re.compile(f"[!-~À-ÖØ-öø-ÿ]{{1,{FIELD_CHARS}}}")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-zß-öø-ÿ0-9]+")
 #: Rows, and characters, that a task works on at a time.
 ROWS, BATCH_CHARS = 500, 1 << 21
 
@@ -65,6 +78,58 @@ class Codec:
         self.tokens = [self.library.id_to_token(i) or "" for i in range(n)]
         self.numbers = [str(i) for i in range(n)]
         self.known: dict[str, bytes] = {}
+        self.merger, self.blank = self._merger()
+
+    def _merger(self):
+        """tiktoken's encoder of this vocabulary for words that end in END, and the id it has for a blank; None where its ids could be others.
+
+        It joins any two neighbours that make up a token, the least id first; the library joins those that
+        a merge names.  That is the same where ids rise with the merges and each token, encoded, is itself: what a
+        token is made of is then joined by its own merge alone.
+        """
+        import tiktoken
+        from tokenizers import models
+
+        spec = json.loads(self.library.to_str())
+        vocab, merges = spec["model"].get("vocab"), spec["model"].get("merges")
+        options = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges", "ignore_merges")}
+        expected = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": SUFFIX, "fuse_unk": False, "byte_fallback": False}
+        same = options == expected and spec["normalizer"] == {"type": "Sequence", "normalizers": NORMAL} and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": SPLITS}
+        if not same or any("<|" not in t["content"] for t in spec["added_tokens"]):
+            return None, None
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
+        letters = _byte_letters()
+        made = [vocab[a + b] for a, b in pairs]
+        single = [vocab.get(c + e, len(vocab)) for c in letters for e in ("", SUFFIX)]
+        rising = made == sorted(made) and max(single) < min(made, default=len(vocab)) and all(max(vocab[a], vocab[b]) < i for (a, b), i in zip(pairs, made))
+        if not rising or len(set(single) | set(made)) != len(vocab):
+            return None, None
+        inner = models.BPE(vocab, pairs)
+        ranks = {END.encode(): len(self.tokens)}
+        for t, i in vocab.items():
+            word = t.removesuffix(SUFFIX)
+            if [x.id for x in (inner.tokenize(t) if word == t else self.library.model.tokenize(word))] != [i]:
+                return None, None
+            raw = bytes([letters[c] for c in word])
+            if 0 not in raw:  # plain fields hold no such byte
+                ranks[raw if word == t else raw + END.encode()] = i
+        return tiktoken.Encoding("words", pat_str=f"[^{END} ]+{END}| ", mergeable_ranks=ranks, special_tokens={}), ranks[b" "]
+
+    def _by_words(self, fields: list[str]) -> dict[str, bytes]:
+        """The ids of plain fields, in one call with a blank between them."""
+        ids = self.merger.encode_to_numpy(WORDS.sub(rf"\g<0>{END}", " ".join(fields).lower()))
+        ends = np.append(np.flatnonzero(ids == self.blank), len(ids)).tolist()
+        if len(ends) != len(fields):
+            raise ValueError("a blank between fields was not kept")
+        held, size = ids.astype(self.width).tobytes(), self.width.itemsize
+        return {f: held[size * a : size * b] for f, a, b in zip(fields, [0, *[x + 1 for x in ends]], ends)}
+
+    def _fresh(self, fields: list[str]) -> dict[str, bytes]:
+        """The ids of fields that aren't kept."""
+        plain = [f for f in fields if PLAIN.fullmatch(f) and "<|" not in f] if self.merger else []
+        found = self._by_words(plain) if plain else {}
+        rest = [f for f in fields if f not in found]
+        return found | self._by_library(rest) if rest else found
 
     def _by_library(self, fields: list[str]) -> dict[str, bytes]:
         """The ids of fields: many in one call, with a mark of a known id between them; those that hold a mark or a special string one by one."""
@@ -83,7 +148,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as numbers of `width`; fields are encoded one by one, those met before are looked up."""
         fields = [split(t) for t in texts]
-        new = self._by_library(list({f for run in fields for f in run if f not in self.known}))
+        new = self._fresh(list({f for run in fields for f in run if f not in self.known}))
         if len(self.known) + len(new) > KEPT_FIELDS:
             new |= {f: self.known[f] for run in fields for f in run if f in self.known}
             self.known.clear()
@@ -164,7 +229,7 @@ def edges(text: str) -> tuple[str, str] | None:
 
 
 def stitched(parts: list[tuple[str | None, bytes | None, str | None, str | None]], codec: Codec) -> bytes:
-    """Ids of a text from its chunks in order, each as its text or as (None, ids, first fields, last fields)."""
+    """Ids of a text from its chunks in order, each as its text, with its ids if they are known, or as (None, ids, first fields, last fields)."""
     out, begun, left = [], None, None  # left: the last fields of the last whole chunk; begun: its ids
     window = ""
 
@@ -183,7 +248,7 @@ def stitched(parts: list[tuple[str | None, bytes | None, str | None, str | None]
             if found is None:
                 window += text
                 continue
-            ids, (head, tail) = codec.encode([text])[0], found
+            ids, (head, tail) = codec.encode([text])[0] if ids is None else ids, found
         first, rest = split(head), split(tail)
         n_first = len(codec.field(first[0]))
         if begun is not None:
@@ -285,8 +350,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def stitch(batches):
         own = codec(path)
         for pdf in batches:
-            own.encode([t for parts in pdf["parts"] for p in parts for t in (p["text"], p["head"], p["tail"]) if t])  # one call of the library for all fields
-            found = [own.digests(stitched([(p["text"], p["ids"], p["head"], p["tail"]) for p in parts], own)) for parts in pdf["parts"]]
+            texts = [p["text"] for parts in pdf["parts"] for p in parts if p["text"]]
+            ends = [t for parts in pdf["parts"] for p in parts for t in (p["head"], p["tail"]) if t]
+            ids = iter(own.encode(texts + ends))  # new fields of all of them together
+            found = [own.digests(stitched([(p["text"], next(ids) if p["text"] else p["ids"], p["head"], p["tail"]) for p in parts], own)) for parts in pdf["parts"]]
             yield pd.DataFrame({"key": pdf["key"], "n_tokens": [f[0] for f in found], "ids_sha256": [f[1] for f in found], "decoded_sha256": [f[2] for f in found]})
 
     in_order = F.sort_array(F.collect_list(F.struct("seq", "text", "ids", "head", "tail"))).alias("parts")
