@@ -5,6 +5,9 @@ The tables are fixed values; the rules on them are columns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +44,13 @@ VALUE_PATTERNS = {
     "length": r"(\d+(?:\.\d+)?)\s*(?:m|mm|km)",
     "time": r"(\d+(?:\.\d+)?)\s*(?:ms|s|sec|min|hours?|hrs?)",
 }
+# What the unit of each type can begin with, three characters at most, in lower case: a type is only looked for where a number is followed by one of these.
+HEADS = {
+    "temperature": ("°c", "c"), "voltage": ("v",), "current": ("a",), "power": ("kw", "mw", "w", "va", "kva", "mva"), "resistance": ("ω", "ohm"), "impedance": ("ω", "ohm"), "cable_size": ("mm²", "mm2"), "frequency": ("hz",),
+    "pressure": ("bar", "psi", "kpa", "mpa", "pa"), "flow_rate": ("l/s", "l/m", "m³/", "m3/", "gpm", "cfm"), "speed": ("rpm", "rev"), "torque": ("nm", "n.m", "knm"), "diameter": ("mm", "cm", "in", '"'), "thickness": ("mm", "cm"),
+    "weight": ("kg", "ton", "lb"), "volume": ("m³", "m3", "l", "gal"), "capacity": ("kw", "btu", "ton", "tr"), "u_value": ("w/m",), "r_value": ("m²k", "m2k"), "noise_level": ("db",), "lux_level": ("lux", "lx"), "air_quality": ("ppm", "μg/", "mg/"),
+    "energy_consumption": ("kwh", "mwh", "gj"), "carbon_emission": ("kgc", "tco"), "water_consumption": ("m³/", "l/d", "gal"), "cop": ("cop", "eer", "see"), "percentage": ("%",), "area": ("m²", "m2", "sq", "ft²"), "length": ("m", "km"), "time": ("m", "s", "h"),
+}
 # Least and greatest value of some types.
 RANGES = {"temperature": (-50, 500), "voltage": (None, 50000), "current": (None, 1000), "cable_size": (None, 1000), "percentage": (None, 100), "time": (None, 1000), "length": (None, 5000)}
 # Units to show.
@@ -116,25 +126,35 @@ def places(text: str, pattern: str) -> str:
 def _subject(kind: str) -> str:
     """What a value describes, as SQL: the first pattern of its type in the context c, else the first technical word with the type, else the type."""
     named = [f"nullif(lower(trim(regexp_substr(c, {_quoted('(?i)' + p)}))), '')" for p in SUBJECTS.get(kind, ())]
-    technical = f"get(filter(regexp_extract_all(c, {_quoted(chr(92) + 'b([a-z]{4,})' + chr(92) + 'b')}, 1), w -> w IN ({', '.join(map(_quoted, TECHNICAL_WORDS))})), 0)"
+    technical = "regexp_substr(c, " + _quoted(r"\b(?:" + "|".join(w for w in TECHNICAL_WORDS if len(w) > 3) + r")\b") + ")"
     return f"coalesce({', '.join([*named, f'concat({technical}, {_quoted(" " + kind.replace("_", " "))})', _quoted(kind)])})"
 
 
+_NUMBER = "^[0-9]+(?:[.][0-9]+)?"
+
+
 def _kept(text: str, kind: str, pattern: str) -> str:
-    """The values of one type, as SQL; `taboo` holds the numbers that are none."""
+    """The values of one type, as SQL, from `x`: the cleaned text, its spots and their heads, and the taboo numbers that are none."""
     low, high = RANGES.get(kind, (None, None))
     around = lambda before, after: f"lower(substr({text}, greatest(v.start - {before}, 0) + 1, v.start + length(v.original) + {after} - greatest(v.start - {before}, 0)))"
-    found = f"transform({places(text, pattern)}, p -> named_struct('start', p.start, 'original', p.match, 'value', CAST(regexp_extract(p.match, '^[0-9]+(?:[.][0-9]+)?', 0) AS double)))"
+    unit = pattern.split(r"\s*", 1)[1]
+    if any(c in unit for c in "0123456789"):
+        # such a unit can hold the number of the next spot
+        found = f"transform({places('x.clean', '(?i)' + pattern)}, p -> named_struct('start', p.start, 'original', p.match, 'value', CAST(regexp_extract(p.match, {_quoted(_NUMBER)}, 0) AS double)))"
+    else:
+        found = f"transform(filter(x.spots, s -> s.piece RLIKE {_quoted('(?i)^' + pattern)}), s -> named_struct('start', s.start, 'original', regexp_extract(s.piece, {_quoted('(?i)^' + pattern)}, 0), 'value', s.value))"
     standard = f"(v.value = floor(v.value) AND v.value BETWEEN 1000 AND 99999 AND {around(25, 10)} RLIKE {_quoted(_PREFIX)})"
     inside = [f"v.value >= {low}"] * (low is not None) + [f"v.value <= {high}"] * (high is not None)
-    valid = " AND ".join([f"NOT array_contains(taboo, v.value) AND NOT {standard}", *inside])
+    valid = " AND ".join([f"NOT array_contains(x.taboo, v.value) AND NOT {standard}", *inside])
     # the context is cut out once
     named = f"transform(array({around(60, 20)}), c -> {_subject(kind)})[0]"
     described = f"named_struct('type', {_quoted(kind)}, 'value', v.value, 'original', v.original, 'start', v.start, 'subject', {named})"
-    return f"CASE WHEN {text} RLIKE {_quoted(pattern)} THEN transform(filter({found}, v -> {valid}), v -> {described}) ELSE {_NOTHING} END"
+    here = " OR ".join(f"contains(x.heads, concat('\\u0001', {_quoted(h)}))" for h in HEADS[kind])
+    return f"CASE WHEN {here} THEN transform(filter({found}, v -> {valid}), v -> {described}) ELSE {_NOTHING} END"
 
 
 _NOTHING = "CAST(array() AS array<struct<type:string,value:double,original:string,start:int,subject:string>>)"
+_FAMILIES = ("IS", "EN", "IEC", "BS", "NFPA", "IEEE", "ISO", "ASTM", "DIN")
 
 
 def typed(text: str) -> Column:
@@ -142,33 +162,61 @@ def typed(text: str) -> Column:
 
     Left out are numbers that stand in a standard's number or are years of the
     text, those of 1,000 and more near a standard's prefix, and those outside the
-    range of their type.  The rule stands in the plan once for each type, so that its
-    patterns are constants, and runs where the type's pattern is found.  It is SQL as
-    text, because a column of some ten thousand calls takes longer to build than to run.
+    range of their type.  The text is cut once at its spots, the numbers that something
+    follows; a type is looked for where the start of its unit follows one, and at the
+    spots only.  The rule stands in the plan once for each type, so that its patterns are
+    constants.  It is SQL as text, because a column of some ten thousand calls takes
+    longer to build than to run.
     """
     digits = lambda pattern: f"flatten(transform(regexp_extract_all({text}, {_quoted(pattern)}, 0), s -> regexp_extract_all(s, '[0-9]+', 0)))"
-    taboo = f"transform(concat({digits(NUMBERED_STANDARD)}, {digits(STANDARD_CONTEXT)}, regexp_extract_all({text}, {_quoted(YEAR)}, 0)), n -> CAST(n AS double))"
-    each = ", ".join(_kept(text, kind, "(?i)" + p) for kind, p in VALUE_PATTERNS.items())
-    return F.expr(f"CASE WHEN {text} RLIKE '[0-9]' THEN transform(array({taboo}), taboo -> flatten(array({each})))[0] ELSE {_NOTHING} END")
+    none = "CAST(array() AS array<string>)"
+    family = " OR ".join(f"contains({text}, '{f}')" for f in _FAMILIES)
+    numbered = f"CASE WHEN {family} THEN concat({digits(NUMBERED_STANDARD)}, {digits(STANDARD_CONTEXT)}) ELSE {none} END"
+    years = f"CASE WHEN contains({text}, '19') OR contains({text}, '20') THEN regexp_extract_all({text}, {_quoted(YEAR)}, 0) ELSE {none} END"
+    taboo = f"transform(concat({numbered}, {years}), n -> CAST(n AS double))"
+    clean = f"translate({text}, '\\u0001\\u0002', '  ')"
+    spot = _quoted(r"[0-9]+(?:[.][0-9]+)?(?=\s*[^0-9\s.])")
+    cut = f"split(regexp_replace({clean}, {spot}, '\\u0001$0'), '\\u0001', -1)"
+    step = f"named_struct('at', acc.at + length(piece), 'spots', concat(acc.spots, array(named_struct('start', acc.at, 'piece', piece, 'value', CAST(regexp_extract(piece, {_quoted(_NUMBER)}, 0) AS double)))))"
+    begin = "named_struct('at', length(pieces[0]), 'spots', CAST(array() AS array<struct<start:int,piece:string,value:double>>))"
+    spots = f"aggregate(slice(pieces, 2, size(pieces)), {begin}, (acc, piece) -> {step}, acc -> acc.spots)"
+    ahead = _quoted(r"[0-9](?=\s*([^0-9\s.]\S{0,2}))")
+    heads = f"concat('\\u0001', lower(array_join(regexp_extract_all({clean}, {ahead}, 1), '\\u0001')))"
+    each = ", ".join(_kept(text, kind, p) for kind, p in VALUE_PATTERNS.items())
+    found = f"transform(array(named_struct('clean', {clean}, 'spots', {spots}, 'heads', {heads}, 'taboo', {taboo})), x -> flatten(array({each})))[0]"
+    return F.expr(f"CASE WHEN {text} RLIKE '[0-9]' THEN transform(array({cut}), pieces -> CASE WHEN size(pieces) > 1 THEN {found} ELSE {_NOTHING} END)[0] ELSE {_NOTHING} END")
 
 
 def subjects_related(a: Column, b: Column) -> Column:
     """Whether two subjects describe one thing: equal, one in the other, a word of three letters in common, or words of one related group."""
     words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"\b\w{3,}\b"), F.lit(0))
-    groups = lambda s: F.filter(F.sequence(F.lit(0), F.lit(len(RELATED) - 1)), lambda g: F.arrays_overlap(words(s), F.element_at(F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in RELATED]), g + 1)))
+    shared = lambda x, y: F.arrays_overlap(x, y) | reduce(or_, [F.arrays_overlap(x, g) & F.arrays_overlap(y, g) for g in (F.array(*[F.lit(w) for w in ws]) for ws in RELATED)])
+    # the words are cut out once
+    found = F.element_at(F.transform(F.array(F.struct(words(a).alias("x"), words(b).alias("y"))), lambda w: shared(w["x"], w["y"])), 1)
     x, y = F.lower(a), F.lower(b)
-    return F.contains(x, y) | F.contains(y, x) | F.arrays_overlap(words(a), words(b)) | F.arrays_overlap(groups(a), groups(b))
+    return F.contains(x, y) | F.contains(y, x) | found
 
 
 def spaced_words(text: Column) -> Column:
     """Distinct lower-case runs between white space."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"\s+")), "")
+
+
+def _context(text: Column) -> Column:
+    bare = F.regexp_replace(F.lower(text), r"[^a-z\s]+", "")
+    return F.array_intersect(F.split(bare, r"\s+"), F.array(*[F.lit(w) for w in CONTEXT_WORDS]))
 
 
 def context_words(text: Column) -> Column:
     """Technical context words of a text, sorted."""
-    bare = F.transform(spaced_words(text), lambda w: F.regexp_replace(w, "[^a-z]", ""))
-    return F.array_sort(F.array_distinct(F.filter(bare, lambda w: w.isin(*CONTEXT_WORDS))))
+    return F.array_sort(_context(text))
+
+
+def context_bits(text: Column) -> Column:
+    """Technical context words of a text as bits of one number; CONTEXT_WORDS are at most 63."""
+    at = lambda w: F.array_position(F.array(*[F.lit(c) for c in CONTEXT_WORDS]), w) - 1
+    bits = F.aggregate(_context(text), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at(w).cast("int"))))
+    return F.coalesce(bits, F.lit(0).cast("long"))
 
 
 def topic(sentence: Column) -> Column:

@@ -1,18 +1,27 @@
 """Comparison of documents by their values and requirements.
 
 Documents meet in pairs (source_doc, reference_doc).  Chunks hold chunk_id,
-file_name, pos (order in the document) and text.  Chunks of a pair meet on two
-technical words at once, or on a word of a topic, so no chunk is paired with all of the
-other document.
+file_name, pos (order in the document) and text.  The rows of a pair's reference document
+are moved to where its source document lies, and chunks meet there, as it takes less to compare
+a few chunks with a few others than to send a row for each of their words.  Where a document is
+large, chunks of its pairs meet on two technical words at once, or on a word of a topic,
+in many tasks, so no chunk is paired with all of a large document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..sources.store import stored
+
+#: Rows of a document beyond which it is large.
+LARGE = 1000
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -21,9 +30,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def chunk_values(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, file_name, i, type, value, original, start, subject) of every value; i counts a chunk's values from 0."""
-    rows = spread(chunks.select("chunk_id", "file_name", "text")).select("chunk_id", "file_name", F.posexplode(V.typed("text")).alias("i", "v"))
-    return rows.select("chunk_id", "file_name", "i", "v.*")
+    """(chunk_id, file_name, i, type, value, original, start, subject) of every value; i counts a chunk's values from 0.  A text that occurs again is read once."""
+    # arrays are taken apart by outer generators throughout: Spark would read the texts twice to drop empty arrays before
+    texts = chunks.select("text").distinct().withColumn("v", V.typed("text"))
+    rows = chunks.select("chunk_id", "file_name", "text").join(texts, "text").select("chunk_id", "file_name", F.posexplode_outer("v").alias("i", "v"))
+    return rows.filter("i IS NOT NULL").select("chunk_id", "file_name", "i", "v.*")
 
 
 def similar_chunks(chunks: DataFrame, pairs: DataFrame, technical: int = 2, common: int = 5, k: int = 2) -> DataFrame:

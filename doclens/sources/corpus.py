@@ -127,11 +127,15 @@ def _clause(text: str, quoted) -> list:
 
 def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per order line, a document per order: chunk_id, file_name, section_number, section_title, pos, text."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("long").alias("qty"))
+    name = F.concat(F.lit("DOC-"), F.col("l_orderkey").cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(name.alias("file_name"), "l_orderkey", F.col("l_linenumber").cast("long").alias("line"), "l_partkey", "l_suppkey", "l_quantity")
+    # dealt by document while rows are numbers: what joins or groups documents finds them in place
+    lines = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_name")
+    lines = lines.groupBy("file_name", "l_orderkey", "line").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("long").alias("qty"))
     kinds = " ".join(f"WHEN {i} THEN concat({', '.join(_clause(t, 'STRING'))})" for i, t in enumerate(CLAUSES))
     return lines.select(
         F.concat_ws("-", "l_orderkey", "line").alias("chunk_id"),
-        F.concat(F.lit("DOC-"), F.col("l_orderkey").cast("string")).alias("file_name"),
+        "file_name",
         F.concat_ws(".", F.col("pk") % 9 + 1, "line").alias("section_number"),
         F.when(F.col("pk") % 3 == 0, "").otherwise(F.concat(F.lit("Part "), (F.col("pk") % 100).cast("string"))).alias("section_title"),
         F.col("line").alias("pos"),

@@ -106,3 +106,44 @@ def test_lines_on_documents_tables_and_answers(spark):
     assert one(S.document_summary(text("n"), F.lit(None).cast("string"), text(""), text(""))) == "Document 'n'"
     assert [one(R.informative(text(t))) for t in ("short", "The text is not available in this place", "A long and useful answer to it")] == [False, False, True]
     assert one(R.informative(F.lit(None).cast("string"))) is False
+
+
+def drawn_corpus(spark, seed=11):
+    """Documents of 1 to 6 chunks of technical words, one of them empty and one null, and pairs of them."""
+    rng = random.Random(seed)
+    words = ["cable", "Cable", "trench,", "sand", "motor", "panel", "depth", "voltage", "shall", "must", "shall not", "the", "of", "in", "40 m", "16 A", "230 V", "2.5 mm2", "20 ms", "A;", "x. B", "laid"]
+    rows = [(f"d{d}-{c}", f"d{d}", c, " ".join(rng.choice(words) for _ in range(rng.randint(6, 22)))) for d in range(14) for c in range(rng.randint(1, 6))]
+    rows += [("e-0", "d0", 90, ""), ("e-1", "d1", 91, None)]
+    pairs = [(f"d{d}", f"d{d + 1}") for d in range(13)] + [("d5", "d2"), ("d7", "d9"), ("none", "d1"), ("d1", "none")]
+    return rows, pairs, spark.createDataFrame(rows, "chunk_id string, file_name string, pos long, text string"), spark.createDataFrame(pairs, "source_doc string, reference_doc string")
+
+
+def rows_of(df):
+    return sorted(map(repr, (tuple(r) for r in df.collect())))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_read_once_for_its_values(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "d", t) for i, t in enumerate([*TEXTS, *TEXTS, None])], "chunk_id string, file_name string, text string")
+    values = C.chunk_values(chunks)
+    got = {}
+    for r in sorted(values.collect(), key=lambda r: r["i"]):
+        got.setdefault(r["chunk_id"], []).append((r["type"], r["value"], r["original"], r["start"], r["subject"]))
+    assert got == {f"c{i}": found for i, t in enumerate([*TEXTS, *TEXTS]) if (found := brute_values(t))}
+    assert "Aggregate [text" in plan_of(values)
+
+
+UNITS = "°C C V Volt Volts A Amps kW MW W VA kVA MVA Ω ohm ohms Ω/km mm² mm2 Hz bar psi kPa MPa Pa l/s L/s m³/h m3/h l/min L/min gpm cfm rpm RPM rev/min Nm N.m kNm mm cm inch in \" thick kg ton tonne lb lbs m³ m3 litre liter L gallon BTU BTU/h tons TR W/m²K W/m2K m²K/W m2K/W dB dBA lux lx ppm μg/m³ mg/m³ kWh MWh GJ kgCO2 tCO2 kgCO2e m³/day L/day gallon/day COP EER SEER % m² m2 sq.m sqm ft² sq.ft m km ms s sec min hours hrs".split()
+
+
+def test_every_unit_is_found_behind_any_number(spark):
+    rng = random.Random(8)
+    texts = [f"{n}{gap}{u}{end}" for u in UNITS for n, gap, end in (("7", "", ""), ("2.5", " ", " x"), ("1.2.25", "  ", ".5 mm2"), ("3", "", "2 m2.5 m2 3 m"))]
+    texts += ["".join(rng.choice([*UNITS, "3", "2", ".", " ", "1.5 ", "mm2", "m2", "\x01", "\x02"]) for _ in range(rng.randint(2, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", V.typed("text").alias("v"))
+    for r in df.collect():
+        plain = texts[r["i"]].translate({1: " ", 2: " "})
+        assert [(v["type"], v["value"], v["original"], v["start"]) for v in r["v"]] == [v[:4] for v in brute_values(plain)], texts[r["i"]]
