@@ -24,6 +24,27 @@ from ..sources.store import stored
 LARGE = 1000
 
 
+def _divided(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs of two small documents, and those with a large one; None if no document is large."""
+    large = stored(rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select("file_name"))
+    if large.isEmpty():
+        return pairs, None
+    for name in ("source", "reference"):
+        pairs = pairs.join(large.select(F.col("file_name").alias(f"{name}_doc"), F.lit(True).alias(f"{name}_large")), f"{name}_doc", "left")
+    is_large = F.coalesce("source_large", "reference_large", F.lit(False))
+    return tuple(pairs.filter(c).select("source_doc", "reference_doc") for c in (~is_large, is_large))
+
+
+def _side(rows: DataFrame, name: str, **columns: str) -> DataFrame:
+    return rows.select(F.col("file_name").alias(f"{name}_doc"), *[F.col(c).alias(new) for new, c in columns.items()])
+
+
+def _beside(theirs: DataFrame, mine: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of both documents of each pair; those of the reference are moved, those of the source stay if they are dealt by document."""
+    moved = pairs.join(theirs, "reference_doc").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_doc")
+    return moved.join(mine, "source_doc")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all tasks: partitions small in bytes would put the work of patterns on few of them."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -37,25 +58,40 @@ def chunk_values(chunks: DataFrame) -> DataFrame:
     return rows.filter("i IS NOT NULL").select("chunk_id", "file_name", "i", "v.*")
 
 
+def _similar(chunks: DataFrame, pairs: DataFrame, technical: int = 2, common: int = 5, k: int = 2) -> DataFrame:
+    """The rows of similar_chunks with both texts."""
+    rows = chunks.select("chunk_id", "file_name", "pos", "text", V.context_bits(F.col("text")).alias("context"))
+    mine, theirs = (_side(rows, name, **{f"{name}_chunk": "chunk_id", f"{name}_pos": "pos", f"{name}_text": "text", f"{name}_context": "context"}) for name in ("source", "reference"))
+    order = Window.partitionBy("source_doc", "reference_chunk").orderBy(F.desc("technical"), F.desc("common"), "source_pos", "source_chunk")
+
+    def best(met: DataFrame) -> DataFrame:
+        both = F.bit_count(F.col("reference_context").bitwiseAND(F.col("source_context")))
+        # words are only counted where enough of the technical ones agree
+        words = F.when(both >= technical, F.size(F.array_intersect(V.spaced_words(F.col("reference_text")), V.spaced_words(F.col("source_text"))))).otherwise(-1)
+        met = met.withColumns({"technical": both, "common": words}).filter((F.col("technical") >= technical) & (F.col("common") >= common))
+        out = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return out.select("source_doc", "reference_doc", "reference_chunk", "reference_pos", "source_chunk", "rank", "reference_text", "source_text")
+
+    small, large = _divided(chunks, pairs)
+    out = best(_beside(theirs, mine, small))
+    if large is None:
+        return out
+    # two context words in common: so the chunks share a pair of them
+    context = V.context_words(F.col("text"))
+    couples = F.flatten(F.transform("words", lambda a: F.transform(F.filter("words", lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
+    keyed = chunks.select("chunk_id", "file_name", context.alias("words")).select("chunk_id", "file_name", F.explode(couples).alias("couple"))
+    met = large.join(_side(keyed, "reference", reference_chunk="chunk_id", couple="couple"), "reference_doc").join(_side(keyed, "source", source_chunk="chunk_id", couple="couple"), ["source_doc", "couple"])
+    met = met.select("source_doc", "reference_doc", "reference_chunk", "source_chunk").distinct()
+    return out.unionByName(best(met.join(theirs.drop("reference_doc"), "reference_chunk").join(mine.drop("source_doc"), "source_chunk")))
+
+
 def similar_chunks(chunks: DataFrame, pairs: DataFrame, technical: int = 2, common: int = 5, k: int = 2) -> DataFrame:
-    """(source_doc, reference_doc, reference_chunk, source_chunk, rank): the k source chunks most alike each reference chunk.
+    """(source_doc, reference_doc, reference_chunk, reference_pos, source_chunk, rank): the k source chunks most alike each reference chunk.
 
     Alike are chunks with `technical` (two or more) context words and `common` words in common;
     more context words come first, then more words, then the earlier chunk.
     """
-    rows = chunks.select("chunk_id", "file_name", "pos", V.context_words(F.col("text")).alias("context"), V.spaced_words(F.col("text")).alias("words"))
-    # two context words in common: so the chunks share a pair of them
-    couples = F.flatten(F.transform("context", lambda a: F.transform(F.filter("context", lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-    keyed = rows.filter(F.size("context") >= technical).select("chunk_id", "file_name", F.explode(couples).alias("couple"))
-    mine = keyed.select(F.col("file_name").alias("source_doc"), F.col("chunk_id").alias("source_chunk"), "couple")
-    theirs = pairs.join(keyed.select(F.col("file_name").alias("reference_doc"), F.col("chunk_id").alias("reference_chunk"), "couple"), "reference_doc")
-    met = theirs.join(mine, ["source_doc", "couple"]).select("source_doc", "reference_doc", "reference_chunk", "source_chunk").distinct()
-    side = lambda name: rows.select(F.col("chunk_id").alias(f"{name}_chunk"), F.col("context").alias(f"{name}_context"), F.col("words").alias(f"{name}_words"), F.col("pos").alias(f"{name}_pos"))
-    met = met.join(side("reference"), "reference_chunk").join(side("source"), "source_chunk")
-    met = met.withColumns({"technical": F.size(F.array_intersect("reference_context", "source_context")), "common": F.size(F.array_intersect("reference_words", "source_words"))})
-    order = Window.partitionBy("source_doc", "reference_chunk").orderBy(F.desc("technical"), F.desc("common"), "source_pos", "source_chunk")
-    out = met.filter((F.col("technical") >= technical) & (F.col("common") >= common)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return out.select("source_doc", "reference_doc", "reference_chunk", "reference_pos", "source_chunk", "rank")
+    return _similar(chunks, pairs, technical, common, k).drop("reference_text", "source_text")
 
 
 def value_comparisons(chunks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -126,6 +126,24 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_similar_chunks_equal_brute_force_for_small_and_large_documents(spark, monkeypatch):
+    rows, pairs, chunks, met = drawn_corpus(spark)
+    words = {c: set((t or "").lower().split()) for c, _, _, t in rows}
+    context = {c: {w for w in (re.sub("[^a-z]", "", x) for x in ws) if w in V.CONTEXT_WORDS} for c, ws in words.items()}
+    want = []
+    for s, r in pairs:
+        for c, f, pos, _ in rows:
+            if f == r:
+                found = sorted((-len(context[c] & context[o]), -len(words[c] & words[o]), p, o) for o, g, p, _ in rows if g == s and len(context[c] & context[o]) >= 2 and len(words[c] & words[o]) >= 5)
+                want += [(s, r, c, pos, x[3], n + 1) for n, x in enumerate(found[:2])]
+    small = C.similar_chunks(chunks, met)
+    # no row for each pair of words of a chunk
+    assert rows_of(small) == sorted(map(repr, want)) and len(want) > 5 and "explode(" not in plan_of(small)
+    for most in (0, 3):
+        monkeypatch.setattr(C, "LARGE", most)
+        assert rows_of(C.similar_chunks(chunks, met)) == sorted(map(repr, want))
+
+
 def test_a_text_is_read_once_for_its_values(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", t) for i, t in enumerate([*TEXTS, *TEXTS, None])], "chunk_id string, file_name string, text string")
     values = C.chunk_values(chunks)
