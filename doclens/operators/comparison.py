@@ -98,11 +98,14 @@ def value_comparisons(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Differing values of one type and related subjects in similar chunks: HIGHER or LOWER, difference, percentage of the reference's value, severity.
 
     One row for each (source_doc, type, both values, source's subject), the first.
+    Only the texts of similar chunks are read for values.
     """
-    values = chunk_values(chunks)
-    side = lambda name: values.select(F.col("chunk_id").alias(f"{name}_chunk"), "type", F.col("value").alias(f"{name}_value"), F.col("subject").alias(f"{name}_subject"), F.col("i").alias(f"{name}_i"))
-    rows = similar_chunks(chunks, pairs).join(side("reference"), "reference_chunk").join(side("source"), ["source_chunk", "type"])
-    rows = rows.filter((F.col("source_value") != F.col("reference_value")) & V.subjects_related(F.col("source_subject"), F.col("reference_subject")))
+    rows = _similar(chunks, pairs).withColumns({"theirs": V.typed("reference_text"), "mine": V.typed("source_text")}).drop("reference_text", "source_text")
+    rows = rows.select("*", F.posexplode_outer("theirs").alias("reference_i", "r")).drop("theirs").filter(F.exists("mine", lambda v: v["type"] == F.col("r.type")))
+    rows = rows.select("*", F.posexplode_outer("mine").alias("source_i", "s")).drop("mine").filter("r.type = s.type AND s.value <> r.value")
+    value = lambda name, v: [F.col(f"{v}.value").alias(f"{name}_value"), F.col(f"{v}.subject").alias(f"{name}_subject"), f"{name}_i"]
+    rows = rows.select("source_doc", "reference_doc", "reference_chunk", "reference_pos", "source_chunk", "rank", F.col("r.type").alias("type"), *value("reference", "r"), *value("source", "s"))
+    rows = rows.filter(V.subjects_related(F.col("source_subject"), F.col("reference_subject")))
     first = Window.partitionBy("source_doc", "type", "source_value", "reference_value", "source_subject").orderBy("reference_doc", "reference_pos", "reference_chunk", "rank", "reference_i", "source_i")
     rows = rows.withColumn("n", F.row_number().over(first)).filter("n = 1")
     difference = F.round(F.col("source_value") - F.col("reference_value"), 6)

@@ -66,7 +66,7 @@ def similar_clauses(spark, sf_dir):
     p AS (SELECT *, CASE WHEN reference_value <> 0 THEN round((source_value - reference_value) / reference_value * 100, 6) ELSE 0 END AS percentage FROM f)
     SELECT source_doc, reference_doc, source_chunk, reference_chunk, type, CASE WHEN ss <> type THEN ss ELSE rs END AS subject, source_value, reference_value, CASE WHEN source_value > reference_value THEN 'HIGHER' ELSE 'LOWER' END AS status, round(source_value - reference_value, 6) AS difference, percentage, {SEVERITY_SQL.format(p='abs(percentage)')} AS severity FROM p""")
 def clause_comparison(spark, sf_dir):
-    return C.value_comparisons(stored(clause_chunks(spark, sf_dir)), order_pairs(spark, sf_dir))
+    return C.value_comparisons(clause_chunks(spark, sf_dir), order_pairs(spark, sf_dir))
 
 
 SENTENCES_SQL = f"""

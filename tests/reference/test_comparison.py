@@ -154,6 +154,13 @@ def test_a_text_is_read_once_for_its_values(spark):
     assert "Aggregate [text" in plan_of(values)
 
 
+def test_values_come_from_texts_that_met_and_need_no_join(spark):
+    _, _, chunks, pairs = drawn_corpus(spark)
+    for df in (C.value_comparisons(chunks, pairs), C.requirement_conflicts(chunks, pairs)):
+        # one brings the reference's rows to the pairs, one the source's
+        assert plan_of(df).count("Join Inner") == 2
+
+
 UNITS = "°C C V Volt Volts A Amps kW MW W VA kVA MVA Ω ohm ohms Ω/km mm² mm2 Hz bar psi kPa MPa Pa l/s L/s m³/h m3/h l/min L/min gpm cfm rpm RPM rev/min Nm N.m kNm mm cm inch in \" thick kg ton tonne lb lbs m³ m3 litre liter L gallon BTU BTU/h tons TR W/m²K W/m2K m²K/W m2K/W dB dBA lux lx ppm μg/m³ mg/m³ kWh MWh GJ kgCO2 tCO2 kgCO2e m³/day L/day gallon/day COP EER SEER % m² m2 sq.m sqm ft² sq.ft m km ms s sec min hours hrs".split()
 
 
