@@ -178,13 +178,16 @@ def conflict_analysis(chunks: DataFrame, pairs: DataFrame, k: int = 5) -> DataFr
     differ; high where either obliges.
     """
     turned = pairs.select(F.col("source_doc").alias("reference_doc"), F.col("reference_doc").alias("source_doc"))
-    met = similar_chunks(chunks, turned, k=k).select(F.col("reference_doc").alias("source_doc"), F.col("source_doc").alias("reference_doc"), F.col("reference_chunk").alias("base_chunk"), F.col("source_chunk").alias("compared_chunk"))
-    low = F.lower("text")
-    topics = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in group]), lambda w: F.contains(low, w)), F.lit(group[0])) for group in CONFLICT_WORDS]))
-    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+\.?\d*"), F.lit(0))))
-    rows = chunks.select("chunk_id", topics.alias("topics"), numbers.alias("numbers"), low.rlike("shall|must|required|mandatory").alias("hard"))
-    side = lambda name, i: rows.select(F.col("chunk_id").alias(name), *[F.col(c).alias(f"{c}{i}") for c in ("topics", "numbers", "hard")])
-    out = met.join(side("base_chunk", 1), "base_chunk").join(side("compared_chunk", 2), "compared_chunk")
+    met = _similar(chunks, turned, k=k).select(F.col("reference_doc").alias("source_doc"), F.col("source_doc").alias("reference_doc"), F.col("reference_chunk").alias("base_chunk"), F.col("source_chunk").alias("compared_chunk"), F.col("reference_text").alias("text1"), F.col("source_text").alias("text2"))
+
+    def read(i: int) -> dict:
+        text = F.col(f"text{i}")
+        low = F.lower(text)
+        topics = F.array_compact(F.array(*[F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in group]), F.lit(group[0])) for group in CONFLICT_WORDS]))
+        numbers = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+\.?\d*"), F.lit(0))))
+        return {f"topics{i}": topics, f"numbers{i}": numbers, f"hard{i}": low.rlike("shall|must|required|mandatory")}
+
+    out = met.withColumns(read(1) | read(2))
     shared = F.array_intersect("topics1", "topics2")
     out = out.filter((F.size(shared) > 0) & (F.size("numbers1") > 0) & (F.size("numbers2") > 0) & (F.col("numbers1") != F.col("numbers2")))
     return out.select("source_doc", "reference_doc", "base_chunk", "compared_chunk", F.initcap(F.array_join(shared, ", ")).alias("topic"), F.when(F.col("hard1") | F.col("hard2"), "high").otherwise("medium").alias("severity"))

@@ -130,7 +130,7 @@ _GROUPS_SQL = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(
     SELECT source_doc, reference_doc, base_chunk, compared_chunk, array_to_string(list_transform(list_filter(t1, lambda x: list_contains(t2, x)), lambda x: upper(x[1]) || x[2:]), ', ') AS topic, CASE WHEN hard THEN 'high' ELSE 'medium' END AS severity
     FROM m WHERE list_has_any(t1, t2) AND len(n1) > 0 AND len(n2) > 0 AND n1 <> n2""")
 def conflict_analysis(spark, sf_dir):
-    return C.conflict_analysis(stored(clause_chunks(spark, sf_dir)), order_pairs(spark, sf_dir))
+    return C.conflict_analysis(clause_chunks(spark, sf_dir), order_pairs(spark, sf_dir))
 
 
 @query(f"WITH {CLAUSE_SQL}, m AS (SELECT DISTINCT file_name FROM cl WHERE regexp_matches(text, '(?i)\\bmandatory\\b')) SELECT DISTINCT file_name FROM cl WHERE file_name NOT IN (SELECT file_name FROM m)")
