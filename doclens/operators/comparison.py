@@ -120,13 +120,30 @@ def mandatory_requirements(chunks: DataFrame) -> DataFrame:
     return rows.filter(F.col("sentence").rlike(V.MANDATORY)).withColumn("topic", V.topic(F.col("sentence")))
 
 
+def _best(requirements: DataFrame, chunks: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of best_chunks with the requirement's sentence and the source chunk's text."""
+    mine = _side(chunks, "source", source_chunk="chunk_id", source_pos="pos", source_text="text")
+    theirs = requirements.select(F.col("file_name").alias("reference_doc"), "chunk_id", "sentence_pos", "sentence", "topic")
+    keys = ["source_doc", "reference_doc", "chunk_id", "sentence_pos"]
+
+    def best(met: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect(V.spaced_words(F.col("topic")), V.spaced_words(F.col("source_text"))))
+        met = met.withColumn("n", shared).filter(F.col("n") >= least)
+        return met.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "source_pos", "source_chunk"))).filter("rank = 1").select(*keys, "source_chunk", "sentence", "source_text")
+
+    small, large = _divided(chunks, pairs)
+    out = best(_beside(theirs, mine, small))
+    if large is None:
+        return out
+    words = chunks.select(F.col("file_name").alias("source_doc"), F.col("chunk_id").alias("source_chunk"), F.explode(V.spaced_words(F.col("text"))).alias("word"))
+    wanted = requirements.select(F.col("file_name").alias("reference_doc"), "chunk_id", "sentence_pos", F.explode(V.spaced_words(F.col("topic"))).alias("word"))
+    met = wanted.join(large, "reference_doc").join(words, ["source_doc", "word"]).groupBy(*keys, "source_chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).drop("n")
+    return out.unionByName(best(met.join(theirs.drop("reference_doc"), ["chunk_id", "sentence_pos"]).join(mine.drop("source_doc"), "source_chunk")))
+
+
 def best_chunks(requirements: DataFrame, chunks: DataFrame, pairs: DataFrame, least: int = 2) -> DataFrame:
     """(source_doc, reference_doc, chunk_id, sentence_pos, source_chunk): the source chunk that shares most words with each topic, `least` at least; the earliest of equals."""
-    words = chunks.select(F.col("file_name").alias("source_doc"), F.col("chunk_id").alias("source_chunk"), F.col("pos").alias("source_pos"), F.explode(V.spaced_words(F.col("text"))).alias("word"))
-    wanted = requirements.select(F.col("file_name").alias("reference_doc"), "chunk_id", "sentence_pos", F.explode(V.spaced_words(F.col("topic"))).alias("word"))
-    keys = ["source_doc", "reference_doc", "chunk_id", "sentence_pos"]
-    shared = wanted.join(pairs, "reference_doc").join(words, ["source_doc", "word"]).groupBy(*keys, "source_chunk", "source_pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return shared.groupBy(*keys).agg(F.min_by("source_chunk", F.struct(-F.col("n"), F.col("source_pos"), F.col("source_chunk"))).alias("source_chunk"))
+    return _best(requirements, chunks, pairs, least).drop("sentence", "source_text")
 
 
 def requirement_conflicts(chunks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -144,6 +144,20 @@ def test_similar_chunks_equal_brute_force_for_small_and_large_documents(spark, m
         assert rows_of(C.similar_chunks(chunks, met)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("query", ["value_comparisons", "conflict_analysis", "requirement_conflicts", "best", "strength"])
+def test_comparisons_are_equal_for_small_and_large_documents(spark, monkeypatch, query):
+    _, _, chunks, pairs = drawn_corpus(spark)
+    sentences = chunks.select(F.concat_ws("/", "chunk_id", "text").alias("id"), "file_name", F.col("text").alias("sentence"), F.when(F.contains("text", F.lit("shall not")), "prohibited").when(F.col("text").rlike("shall|must"), "mandatory").alias("strength"))
+    run = {"best": lambda: C.best_chunks(C.mandatory_requirements(chunks), chunks, pairs), "strength": lambda: C.strength_conflicts(sentences, pairs)}.get(query) or (lambda: getattr(C, query)(chunks, pairs))
+    small = run()
+    want = rows_of(small)
+    # rows of small documents are compared where they lie: words aren't sent one by one
+    assert want and (query not in ("best", "strength") or "explode(array_" not in plan_of(small))
+    for most in (0, 3):
+        monkeypatch.setattr(C, "LARGE", most)
+        assert rows_of(run()) == want
+
+
 def test_a_text_is_read_once_for_its_values(spark):
     chunks = spark.createDataFrame([(f"c{i}", "d", t) for i, t in enumerate([*TEXTS, *TEXTS, None])], "chunk_id string, file_name string, text string")
     values = C.chunk_values(chunks)
