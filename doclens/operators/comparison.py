@@ -45,11 +45,6 @@ def _beside(theirs: DataFrame, mine: DataFrame, pairs: DataFrame) -> DataFrame:
     return moved.join(mine, "source_doc")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows over all tasks: partitions small in bytes would put the work of patterns on few of them."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def chunk_values(chunks: DataFrame) -> DataFrame:
     """(chunk_id, file_name, i, type, value, original, start, subject) of every value; i counts a chunk's values from 0.  A text that occurs again is read once."""
     # arrays are taken apart by outer generators throughout: Spark would read the texts twice to drop empty arrays before
@@ -151,16 +146,17 @@ def requirement_conflicts(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A required value of zero has no percentage and counts as critical.
     """
-    wanted = mandatory_requirements(chunks)
-    found = best_chunks(wanted, chunks, pairs)
-    required = spread(wanted.select("chunk_id", "sentence_pos", "sentence")).select("chunk_id", "sentence_pos", "sentence", F.posexplode(V.typed("sentence")).alias("i", "v")).select("chunk_id", "sentence_pos", "sentence", "i", F.col("v.type").alias("type"), F.col("v.value").alias("required_value"), F.col("v.subject").alias("required_subject"))
-    first = chunk_values(chunks).groupBy(F.col("chunk_id").alias("source_chunk"), "type").agg(F.min_by(F.struct("value", "subject"), "i").alias("s"))
-    rows = found.join(required, ["chunk_id", "sentence_pos"]).join(first, ["source_chunk", "type"]).filter(F.col("s.value") != F.col("required_value"))
-    keys = ["source_doc", "reference_doc", "chunk_id", "sentence_pos"]
-    out = rows.groupBy(*keys).agg(F.min_by(F.struct("source_chunk", "type", "s", "required_value", "required_subject", "sentence"), "i").alias("r")).select(*keys, "r.*")
+    rows = _best(mandatory_requirements(chunks), chunks, pairs).withColumn("required", V.typed("sentence"))
+    rows = rows.withColumn("found", F.when(F.size("required") > 0, V.typed("source_text"))).drop("sentence", "source_text")
+    # values stand by type, then place: the first of a type is the first in the array
+    both = F.transform("required", lambda r: F.struct(r.alias("r"), F.get(F.filter("found", lambda s: s["type"] == r["type"]), F.lit(0)).alias("s")))
+    first = F.slice(F.filter(both, lambda v: v["s"]["value"] != v["r"]["value"]), 1, 1)
+    rows = rows.select("*", F.explode_outer(first).alias("v")).drop("required", "found").filter("v IS NOT NULL")
+    keys = ["source_doc", "reference_doc", "chunk_id", "sentence_pos", "source_chunk"]
+    out = rows.select(*keys, F.col("v.r.type").alias("type"), F.col("v.s").alias("s"), F.col("v.r.value").alias("required_value"), F.col("v.r.subject").alias("required_subject"))
     percent = F.when(F.col("required_value") != 0, F.round(F.abs(F.col("s.value") - F.col("required_value")) / F.col("required_value") * 100, 6))
     subject = F.when(F.col("s.subject") != F.col("type"), F.col("s.subject")).otherwise(F.col("required_subject"))
-    return out.select(*keys, "source_chunk", "type", subject.alias("subject"), F.col("s.value").alias("source_value"), "required_value", F.when(percent.isNull(), "critical").otherwise(T.severity(percent)).alias("severity"), F.concat(F.lit("Review and align "), subject, F.lit(" value with "), "reference_doc", F.lit(" requirements")).alias("recommendation"))
+    return out.select(*keys, "type", subject.alias("subject"), F.col("s.value").alias("source_value"), "required_value", F.when(percent.isNull(), "critical").otherwise(T.severity(percent)).alias("severity"), F.concat(F.lit("Review and align "), subject, F.lit(" value with "), "reference_doc", F.lit(" requirements")).alias("recommendation"))
 
 
 def strength_conflicts(requirements: DataFrame, pairs: DataFrame, least: float = 0.3) -> DataFrame:

@@ -96,7 +96,7 @@ def best_clauses(spark, sf_dir):
     q AS (SELECT *, CASE WHEN ss <> type THEN ss ELSE rs END AS subject, CASE WHEN required_value <> 0 THEN round(abs(source_value - required_value) / required_value * 100, 6) END AS p FROM c WHERE n = 1)
     SELECT source_doc, reference_doc, chunk_id, sentence_pos, source_chunk, type, subject, source_value, required_value, CASE WHEN p IS NULL THEN 'critical' ELSE {SEVERITY_SQL.format(p='p')} END AS severity, 'Review and align ' || subject || ' value with ' || reference_doc || ' requirements' AS recommendation FROM q""")
 def clause_compliance(spark, sf_dir):
-    return C.requirement_conflicts(stored(clause_chunks(spark, sf_dir)), order_pairs(spark, sf_dir))
+    return C.requirement_conflicts(clause_chunks(spark, sf_dir), order_pairs(spark, sf_dir))
 
 
 STRENGTH_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(sentence), '\\b{w}\\b') THEN '{k}'" for w, k in patterns.REQUIREMENTS) + " END"
