@@ -162,22 +162,35 @@ def requirement_conflicts(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 def strength_conflicts(requirements: DataFrame, pairs: DataFrame, least: float = 0.3) -> DataFrame:
     """Mandatory sentences of one document against prohibited ones of the other, either way, whose words overlap by more than `least` of the larger set.
 
-    requirements: (id, file_name, sentence, strength).  Two sets that overlap so
-    share one of the first n - ceil(least * n) + 1 words of either in one order, rare words
-    first, so only those words meet; the overlap is then counted on whole sets.
+    requirements: (id, file_name, sentence, strength).  In large documents sentences meet on
+    words: two sets that overlap so share one of the first n - ceil(least * n) + 1 words of either
+    in one order, rare words first, so only those words meet; the overlap is then
+    counted on whole sets.
     """
-    rows = requirements.filter("strength IN ('mandatory', 'prohibited')").select("id", "file_name", "sentence", "strength", V.spaced_words(F.col("sentence")).alias("words"))
-    each = rows.select("id", F.explode("words").alias("word"))
+    rows = requirements.filter("strength IN ('mandatory', 'prohibited')").select("id", "file_name", "sentence", "strength")
+    mine, theirs = (_side(rows, name, **{f"{c}{i}": c for c in ("id", "sentence", "strength")}) for i, name in ((1, "source"), (2, "reference")))
+
+    def conflicts(met: DataFrame) -> DataFrame:
+        x, y = (V.spaced_words(F.col(f"sentence{i}")) for i in (1, 2))
+        # words are only counted where the strengths differ
+        overlap = F.when(F.col("strength1") != F.col("strength2"), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(-1.0)
+        met = met.withColumn("overlap", overlap).filter(F.col("overlap") > least)
+        return met.select("source_doc", "reference_doc", "id1", "strength1", "sentence1", "id2", "strength2", "sentence2", F.round("overlap", 6).alias("overlap"), F.lit("high").alias("severity"))
+
+    small, large = _divided(requirements, pairs)
+    out = conflicts(_beside(theirs, mine, small))
+    if large is None:
+        return out
+    held = large.select(F.explode(F.array("source_doc", "reference_doc")).alias("file_name")).distinct()
+    rows = stored(rows.join(held, "file_name", "left_semi"))
+    each = rows.select("id", F.explode(V.spaced_words(F.col("sentence"))).alias("word")).distinct()
     ordered = each.join(each.groupBy("word").agg(F.count(F.lit(1)).alias("k")), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("kw"))
     n = F.size("kw")
-    keyed = ordered.select("id", F.explode(F.slice("kw", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("kw")).join(rows, "id").select("id", "file_name", "strength", F.col("kw.word").alias("word"))
-    a = keyed.select(F.col("file_name").alias("source_doc"), F.col("id").alias("id1"), F.col("strength").alias("strength1"), "word")
-    b = pairs.join(keyed.select(F.col("file_name").alias("reference_doc"), F.col("id").alias("id2"), F.col("strength").alias("strength2"), "word"), "reference_doc")
-    met = a.join(b, ["source_doc", "word"]).filter("strength1 <> strength2").select("source_doc", "reference_doc", "id1", "id2").distinct()
-    side = lambda i: rows.select(F.col("id").alias(f"id{i}"), F.col("sentence").alias(f"sentence{i}"), F.col("strength").alias(f"strength{i}"), F.col("words").alias(f"words{i}"))
-    met = met.join(side(1), "id1").join(side(2), "id2")
-    overlap = F.size(F.array_intersect("words1", "words2")) / F.greatest(F.size("words1"), F.size("words2"))
-    return met.withColumn("overlap", F.round(overlap, 6)).filter(overlap > least).select("source_doc", "reference_doc", "id1", "strength1", "sentence1", "id2", "strength2", "sentence2", "overlap", F.lit("high").alias("severity"))
+    first = ordered.select("id", F.explode(F.slice("kw", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("kw")).select("id", F.col("kw.word").alias("word"))
+    keyed = rows.select("id", "file_name", "strength").distinct().join(first, "id")
+    a, b = (_side(keyed, name, **{f"id{i}": "id", f"strength{i}": "strength"}, word="word") for i, name in ((1, "source"), (2, "reference")))
+    met = a.join(large.join(b, "reference_doc"), ["source_doc", "word"]).filter("strength1 <> strength2").select("source_doc", "reference_doc", "id1", "id2").distinct()
+    return out.unionByName(conflicts(met.join(mine, ["source_doc", "id1"]).join(theirs, ["reference_doc", "id2"])))
 
 
 # Groups of words that make two chunks speak of one topic.

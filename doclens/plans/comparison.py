@@ -9,7 +9,6 @@ from ..functions import values as V
 from ..operators import comparison as C
 from ..operators import entities as E
 from ..sources.corpus import CLAUSE_SQL, clause_chunks, order_pairs
-from ..sources.store import stored
 from .registry import query
 
 
@@ -110,7 +109,7 @@ def strength_conflicts(spark, sf_dir):
     chunks = clause_chunks(spark, sf_dir)
     rows = chunks.select("chunk_id", "file_name", F.explode(patterns.sentences(F.col("text"))).alias("sentence"))
     rows = rows.select(F.concat_ws("/", "chunk_id", "sentence").alias("id"), "file_name", "sentence", patterns.strength(F.col("sentence")).alias("strength"))
-    return C.strength_conflicts(stored(rows), order_pairs(spark, sf_dir))
+    return C.strength_conflicts(rows, order_pairs(spark, sf_dir))
 
 
 @query(f"WITH {CLAUSE_SQL} SELECT chunk_id, coalesce(nullif(section_title, ''), nullif(regexp_extract(substr(text, 1, 100), '[A-Z][a-z]+(?:\\s+[A-Za-z]+){{0,3}}', 0), ''), substr(text, 1, 50)) AS topic FROM cl")
