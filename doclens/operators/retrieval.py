@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import patterns, text as T
 from ..sources.store import stored
@@ -29,27 +33,102 @@ def ranked(df: DataFrame, k: int, score: str = "score", by: str = "query_id", ti
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+#: Questions that are scored in one pass over the texts; scores that a task holds at a time; what rounding can make of two scores.
+SCORED, HELD, MARGIN = 2000, 1_000_000, 2 * 10.0**-DIGITS
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", query_col: str = "query_id") -> DataFrame:
     """(query_id, id, score, rank): idf = ln((N - df + .5) / (df + .5) + 1); repeated query terms count again; only scores above 0.
 
-    The texts are scanned once: each chunk gives its entries of the questions' terms
-    and one entry of no term, which carries its length; only these are stored, and counts of
-    terms and chunks come from them.  The questions' terms are stored too, so that
-    their size is known and they are sent to the scan where they are few.
+    The texts are scanned twice and nothing of them is shuffled or stored: once for the counts
+    of the questions' terms, once for the scores, which each task sums up where the texts lie; it
+    returns what can be among a question's k best.  Questions go in blocks of bounded
+    size.  Ids are unique.
     """
     asked = stored(questions.select(F.col(query_col).alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
-    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
     words = chunks.select(F.col(id_col).alias("id"), T.tokens(F.col("text")).alias("words"))
-    entries = words.select("id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit("")))).alias("term")).join(wanted, "term", "left_semi")
-    entries = stored(entries.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")))
-    sizes = entries.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean")).first()
-    entries = entries.filter("term <> ''")
-    df = F.col("df")
-    idf = F.log((F.lit(sizes["n"] or 0) - df + 0.5) / (df + 0.5) + 1)
-    weights = asked.join(entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(sizes["mean"] or 1.0)))
-    total = entries.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
-    return ranked(total, k)
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // SCORED))
+    out = None
+    for block in range(blocks):
+        part = _scored(words, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block), k, k1, b)
+        out = part if out is None else out.unionByName(part)
+    return ranked(out.withColumn("score", F.round("score", DIGITS)).filter("score > 0"), k)
+
+
+def _scored(words: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score), not rounded, of all rows of words (id, words) that can be among the k best of a question of asked (query_id, term, times)."""
+    spark, types = words.sparkSession, {c: t for df in (words, asked) for c, t in df.dtypes}
+    # one entry of no term carries the length
+    wanted = asked.select("term").distinct().unionByName(spark.createDataFrame([("",)], "term string"))
+    entries = words.select(F.size("words").alias("length"), F.explode(F.array_append(F.array_distinct("words"), "")).alias("term")).join(F.broadcast(wanted), "term", "left_semi")
+    counts = {r["term"]: r for r in entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean")).collect()}
+    n, mean = (counts[""]["df"], counts[""]["mean"] or 1.0) if "" in counts else (0, 1.0)
+    rows = [r for r in asked.collect() if r["term"] in counts]
+    terms, queries = ({x: i for i, x in enumerate(dict.fromkeys(r[c] for r in rows))} for c in ("term", "query_id"))
+    rows.sort(key=lambda r: (terms[r["term"]], queries[r["query_id"]]))
+    of_term, of_query = (np.array([names[r[c]] for r in rows], np.int64) for names, c in ((terms, "term"), (queries, "query_id")))
+    df = np.array([counts[r["term"]]["df"] for r in rows], np.float64)
+    weights = np.log((n - df + 0.5) / (df + 0.5) + 1) * np.array([r["times"] for r in rows], np.float64)
+    begins = np.searchsorted(of_term, np.arange(len(terms) + 1))
+    vocabulary, names = pa.array(list(terms), pa.string()), list(queries)
+
+    def best(pool: pa.Table) -> pa.Table:
+        """What can be among the k best; of equal scores the k first."""
+        pool = pool.take(pc.sort_indices(pool, [("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        q, score = pool["q"].to_numpy(), pool["score"].to_numpy()
+        at = np.arange(len(q))
+        own = np.flatnonzero(np.diff(q, prepend=-1))
+        first = np.repeat(own, np.diff(np.append(own, len(q))))
+        equal = np.flatnonzero((np.diff(q, prepend=-1) != 0) | (np.diff(score, prepend=-1) != 0))
+        place = at - np.repeat(equal, np.diff(np.append(equal, len(q))))
+        last = np.minimum(first + k - 1, np.repeat(np.append(own[1:], len(q)) - 1, np.diff(np.append(own, len(q)))))
+        # with fewer than k rows all stay
+        least = np.where(last - first == k - 1, score[last] - MARGIN, 0.0)
+        return pool.filter(pa.array((place < k) & (score >= least)))
+
+    def score(batches):
+        pool, fresh = None, 0
+        least = np.zeros(len(names))
+        for batch in batches:
+            lists, ids = batch.column(1), batch.column(0)
+            step = max(1, min(1000, HELD // max(len(names), 1)))
+            for begin in range(0, len(batch) if names else 0, step):
+                part = lists.slice(begin, step)
+                length = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                code = pc.index_in(part.flatten(), value_set=vocabulary)
+                doc = np.repeat(np.arange(len(part)), length)
+                held = code.is_valid().to_numpy(zero_copy_only=False)
+                keys, tf = np.unique(doc[held] * len(terms) + code.drop_null().to_numpy(), return_counts=True)
+                if not len(keys):
+                    continue
+                doc, term = keys // len(terms), keys % len(terms)
+                impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+                # entries in steps, each for all questions of its term
+                size = np.cumsum(begins[term + 1] - begins[term])
+                scores = np.zeros(len(part) * len(names))
+                cuts = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1], HELD)), len(size)))
+                for a, z in zip(np.append(0, cuts[cuts > 0][:-1]), cuts[cuts > 0]):
+                    some = term[a:z]
+                    times = begins[some + 1] - begins[some]
+                    entry = np.repeat(np.arange(a, z), times)
+                    use = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times) + begins[term[entry]]
+                    np.add.at(scores, doc[entry] * len(names) + of_query[use], weights[use] * impact[entry])
+                found = np.flatnonzero((scores > 0) & (scores.reshape(len(part), -1) >= least).ravel())
+                new = pa.table({"q": found % len(names), "id": ids.slice(begin, step).take(pa.array(found // len(names))), "score": scores[found]})
+                pool, fresh = new if pool is None else pa.concat_tables([pool, new]), fresh + len(new)
+                if fresh > HELD // 4:
+                    pool, fresh = best(pool).combine_chunks(), 0
+                    q = pool["q"].to_numpy()
+                    many = np.bincount(q, minlength=len(names)) >= k
+                    ends = np.searchsorted(q, np.arange(len(names))) + k - 1
+                    least[many] = pool["score"].to_numpy()[ends[many]] - MARGIN
+        if pool is not None and len(pool):
+            pool = best(pool).combine_chunks()
+            q = pa.array([names[i] for i in pool["q"].to_pylist()], query_type)
+            yield from pa.table({"query_id": q, "id": pool["id"], "score": pool["score"]}).to_batches()
+
+    query_type = to_arrow_type(asked.schema["query_id"].dataType)
+    return words.mapInArrow(score, f"query_id {types['query_id']}, id {types['id']}, score double")
 
 
 #: Questions whose vectors are sent to every task at a time.

@@ -1,6 +1,9 @@
 """Search with a stored index against search without one: equal rows for BM25, measured recall for vectors."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -54,3 +57,39 @@ def test_recall_of_the_vector_index(spark, monkeypatch):
     assert {(r["query_id"], r["id"]): r["score"] for r in every} == {k: s for k, s in exact.items() if k[0] < 200}
     none = own.limit(0)
     assert vector_index.search(vector_index.build(none, vector_index.fit(none)), vector_index.fit(none), none, asked.limit(0)).count() == 0
+
+
+def brute_bm25(texts, asked, k):
+    words = {i: re.findall("[a-z0-9_]+", (t or "").lower()) for i, t in texts}
+    mean, out = sum(map(len, words.values())) / len(words), []
+    df = Counter(w for ws in words.values() for w in set(ws))
+    for q, t in asked:
+        terms, scores = Counter(re.findall("[a-z0-9_]+", (t or "").lower())), {}
+        for i, ws in words.items():
+            tf = Counter(ws)
+            s = sum(math.log((len(words) - df[w] + 0.5) / (df[w] + 0.5) + 1) * c * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w, c in terms.items() if tf[w])
+            if round(s, 6) > 0:
+                scores[i] = round(s, 6)
+        out += [(q, i, s, n + 1) for n, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k])]
+    return sorted(out)
+
+
+def test_bm25_scores_texts_where_they_lie(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(500)]
+    texts = [(f"d{i:04d}", drawn(rng, rng.randint(0, 30), words)) for i in range(300)]
+    # copies tie: the smaller ids come first, and no task holds all of them
+    texts += [(f"c{i:04d}", "w1 w2 copy") for i in rng.sample(range(900), 400)] + [("e1", None), ("e2", "")]
+    rng.shuffle(texts)
+    asked = [(q, drawn(rng, 5, words)) for q in range(12)] + [(50, "copy w1 copy"), (51, "nowhere"), (52, ""), (53, None)]
+    docs, questions = spark.createDataFrame(texts, "doc_id string, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    want = brute_bm25(texts, asked, 4)
+    got = lambda: sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in retrieval.bm25(docs, questions, 4).collect())
+    assert got() == want
+    monkeypatch.setattr(retrieval, "SCORED", 5)
+    monkeypatch.setattr(retrieval, "HELD", 40)
+    assert got() == want
+    assert retrieval.bm25(docs.limit(0), questions).count() == 0 == retrieval.bm25(docs, questions.limit(0)).count()
+    # neither texts nor entries are shuffled: only the window over the found rows is
+    plan = retrieval.bm25(docs, questions)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
