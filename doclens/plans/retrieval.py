@@ -91,8 +91,9 @@ def _lists(spark, sf_dir):
     # tokens first, as a column: inside the n-gram expression they would be cut anew for each n-gram
     key = lambda df, i: df.select(F.col(i).alias("id"), T.tokens(F.col("text")).alias("w")).select("id", F.explode(F.array_distinct(T.ngrams(F.col("w"), 3))).alias("key"))
     keys = key(table(spark, sf_dir, "documents"), "doc_id")
-    # stored, so that their size is known: few are sent to the documents' keys, which then aren't shuffled
+    # stored and counted: up to a million are sent to the documents' keys, which then aren't shuffled
     asked = stored(key(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("id", "query_id"))
+    asked = F.broadcast(asked) if asked.count() <= 1_000_000 else asked
     return lexical.unionByName(R.key_search(keys, asked, 10).select(F.lit("keys").alias("source"), "query_id", "id", "score", "rank"))
 
 
