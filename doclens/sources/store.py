@@ -21,10 +21,10 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(rows: DataFrame) -> DataFrame:
+def stored(rows: DataFrame, compression: str = "snappy") -> DataFrame:
     """rows, written once to the shared folder and read back, for a plan that reads them several times."""
     path = f"{scratch(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
