@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 
 from doclens.operators import impact_index, retrieval, vector_index
+from doclens.plans.retrieval import _lists
 from doclens.sources.store import stored
 
 DOCS = "doc_id long, text string"
@@ -38,7 +39,7 @@ def test_pruned_search_equals_bm25_and_reads_less(spark, monkeypatch):
 
 def test_the_index_is_made_by_moving_texts_once(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(impact_index, "stored", lambda df: seen.append(df) or stored(df))
+    monkeypatch.setattr(impact_index, "stored", lambda df, *how: seen.append(df) or stored(df, *how))
     monkeypatch.setattr(impact_index, "WORDS", 40)
     rng = random.Random(2)
     texts = [(f"d{i:03d}", drawn(rng, i % 7, ["a", "b", "c", "d"])) for i in range(60)] + [("x", None)]
@@ -111,3 +112,16 @@ def test_bm25_scores_texts_where_they_lie(spark, monkeypatch):
     # neither texts nor entries are shuffled: only the window over the found rows is
     plan = retrieval.bm25(docs, questions)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_keys_of_questions_are_sent_to_the_documents(spark, tmp_path):
+    spark.createDataFrame([(i, f"one two three w{i} four five six") for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "one two three w3 four"), (1, "w5 four five")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = _lists(spark, str(tmp_path))
+        assert "SortMergeJoin" not in lists._jdf.queryExecution().executedPlan().toString()
+        assert {(r["query_id"], r["id"]) for r in lists.filter("source = 'keys' AND rank = 1").collect()} == {(0, 3), (1, 5)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
