@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -21,10 +22,26 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, the shuffle files of a query go when the query ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(rows: DataFrame, compression: str = "snappy") -> DataFrame:
     """rows, written once to the shared folder and read back, for a plan that reads them several times."""
     path = f"{scratch(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path, compression=compression)
+    with shuffles_dropped(rows.sparkSession):
+        rows.write.parquet(path, compression=compression)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
